@@ -17,6 +17,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.secrets import KINDS, listed, scan
 
@@ -59,4 +65,4 @@ m AS (SELECT n, r.host || r.path AS rule, action, row_number() OVER (PARTITION B
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
 """
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets}
