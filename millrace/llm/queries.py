@@ -38,6 +38,23 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_table(spark))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import remainder, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.langid import identify, train
+    from millrace.llm.quality import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs.filter(remainder(F.col("doc_id"), 4) != 2)))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 SQL: dict[str, str] = {}
 
 SQL["op5_decontaminate"] = r"""
@@ -65,4 +82,4 @@ m AS (SELECT n, r.host || r.path AS rule, action, row_number() OVER (PARTITION B
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
 """
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op8_quality": op8_quality, "op9_language": op9_language}
