@@ -52,7 +52,7 @@ class Level:
     words: list[int]
 
     def passes(self, key: Column) -> Column:
-        cells, out = F.lit(self.words), F.lit(True)
+        cells, out = F.lit(self.words).cast("array<bigint>"), F.lit(True)
         for slot in slots(key, self.number, self.hashes, 64 * len(self.words)):
             out = out & (F.getbit(F.get(cells, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1)
         return out
