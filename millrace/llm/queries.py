@@ -23,6 +23,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.media import as_media, read_back
+
+    return read_back(as_media(table(spark, sf_dir, "documents")))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.secrets import KINDS, listed, scan
 
@@ -38,6 +44,19 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), rules_table(spark))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document before and after each run of three digits or more is masked, by incremental edits."""
+    from millrace.llm.secrets import located
+    from millrace.llm.tokencount import apply_edits, token_trees
+
+    number = "[0-9]{3,}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("found", F.regexp_extract_all("text", F.lit(number), F.lit(0)))
+    mask = F.transform("at", lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("stop"), F.lit("<NUM>").alias("insert")))
+    docs = docs.withColumn("at", located(F.col("text"), number, F.col("found"))).withColumn("edits", mask)
+    done = apply_edits(token_trees(docs, edits="edits"))
+    return done.select("doc_id", "n_edits", "n_before", "n_tokens", "n_encoded", (F.size("tokens") / 2).cast("long").alias("n_leaves"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality import remainder, score, train
 
@@ -82,4 +101,4 @@ m AS (SELECT n, r.host || r.path AS rule, action, row_number() OVER (PARTITION B
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
 """
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op8_quality": op8_quality, "op9_language": op9_language}
+QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op4_media": op4_media, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_language": op9_language}
