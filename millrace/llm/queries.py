@@ -17,6 +17,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.mixing import Target, mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, Target(entropy=0.98)).select("doc_id", "source", "mix_pass", "mix_block", "mix_key")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.neardup import near_duplicates
 
@@ -111,4 +118,28 @@ m AS (SELECT n, r.host || r.path AS rule, action, row_number() OVER (PARTITION B
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
 """
 
-QUERIES = {"op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op4_media": op4_media, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii}
+SQL["op1_mixture"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, greatest(1, CAST(ceil(strlen(coalesce(text, '')) / 4) AS BIGINT)) AS tokens FROM documents),
+s AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY source),
+p AS (SELECT tokens / (SELECT sum(tokens) FROM s) AS p FROM s),
+b(step, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN e >= 0.98 * ln(n) THEN (low + high) / 2 ELSE low END, CASE WHEN e >= 0.98 * ln(n) THEN high ELSE (low + high) / 2 END
+  FROM (SELECT step, low, high, count(*) AS n,
+               ln(sum(pow(p, (low + high) / 2))) - (low + high) / 2 * sum(pow(p, (low + high) / 2) * ln(p)) / sum(pow(p, (low + high) / 2)) AS e
+        FROM b, p WHERE step < 50 GROUP BY step, low, high)),
+one AS (SELECT ln(count(*)) AS top, -sum(p * ln(p)) AS e FROM p),
+a AS (SELECT CASE WHEN (SELECT count(*) FROM p) < 2 OR (SELECT e >= 0.98 * top FROM one) THEN 1.0 ELSE (SELECT max(low) FROM b WHERE step = 50) END AS a),
+w AS (SELECT source, tokens, pow(tokens / (SELECT sum(tokens) FROM s), (SELECT a FROM a)) AS x FROM s),
+q AS (SELECT source, tokens, CAST(floor(x * (SELECT max(tokens / x) FROM w WHERE tokens = (SELECT max(tokens) FROM s)) + 0.5) AS BIGINT) AS budget FROM w),
+r AS (SELECT source, budget // tokens AS passes, budget % tokens AS rest FROM q),
+k AS (SELECT doc_id, d.source, tokens, passes, rest, md5('1:' || passes || ':' || doc_id) AS key FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+o AS (SELECT *, CAST(('0x' || substr(key, 1, 8)) AS BIGINT) % 1024 AS block FROM k),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY block, key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM o),
+n AS (SELECT doc_id, source, passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS n FROM u),
+m AS (SELECT doc_id, source, unnest(range(0, n)) AS mix_pass FROM n)
+SELECT doc_id, source, mix_pass, CAST(('0x' || substr(md5('1:' || mix_pass || ':' || doc_id), 1, 8)) AS BIGINT) % 1024 AS mix_block, md5('1:' || mix_pass || ':' || doc_id) AS mix_key FROM m
+"""
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op4_media": op4_media, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii}
