@@ -1,0 +1,11 @@
+"""The library's registered queries."""
+
+from importlib import import_module
+
+from millrace.plans.registry import QUERIES, SQL
+
+MODULES = ("relational_queries",)
+for _name in MODULES:
+    import_module(f"millrace.plans.{_name}")
+
+__all__ = ["QUERIES", "SQL"]
