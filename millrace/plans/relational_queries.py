@@ -97,9 +97,9 @@ def _(spark, d):
     return t.join(b, on).select(F.col("take_key").alias("a"), F.col("take_key2").alias("b"))
 
 
-@query("interval_overlap_join", "SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.entity_slug IS NOT DISTINCT FROM b.entity_slug AND a.claim_metric IS NOT DISTINCT FROM b.claim_metric AND a.id < b.id AND a.claim_value <> b.claim_value AND (a.valid_from IS NULL OR b.valid_until IS NULL OR a.valid_from < b.valid_until) AND (b.valid_from IS NULL OR a.valid_until IS NULL OR b.valid_from < a.valid_until)", "facts")
+@query("interval_overlap_join", "SELECT a.id AS a, b.id AS b FROM facts a JOIN facts b ON a.entity_slug IS NOT DISTINCT FROM b.entity_slug AND a.claim_metric IS NOT DISTINCT FROM b.claim_metric AND a.id < b.id AND a.claim_value <> b.claim_value AND (a.valid_from IS NULL OR b.valid_until IS NULL OR a.valid_from < b.valid_until + INTERVAL 30 DAY) AND (b.valid_from IS NULL OR a.valid_until IS NULL OR b.valid_from < a.valid_until + INTERVAL 30 DAY)", "facts")
 def _(spark, d):
-    return R.overlapping(Tables(spark, d).facts, ["entity_slug", "claim_metric"], "id", "claim_value")
+    return R.overlapping(Tables(spark, d).facts.withColumn("valid_until", F.date_add("valid_until", 30)), ["entity_slug", "claim_metric"], "id", "claim_value")
 
 
 @query("null_safe_join", "SELECT a.superseded_by AS k, count(*) AS n FROM facts a JOIN (SELECT DISTINCT superseded_by FROM facts WHERE id % 7 = 0) b ON a.superseded_by IS NOT DISTINCT FROM b.superseded_by GROUP BY 1", "facts")
