@@ -7,11 +7,12 @@ Sets that agree in AGREE coordinates share one of the COORDS - AGREE + 1 rarest
 prefixes are merged, and the long lists of frequent values are skipped; agreement is then counted on the signatures
 themselves, and every pair that reaches AGREE is confirmed on full sets.
 
-No list is expanded into all its pairs. First each list is compared with its smallest member alone, which joins groups
-of near copies. Then only lists that still span several components are looked at, and only pairs across components:
-members outside the list's largest component against all members. Long lists of that kind (a passage that makes up
-most of many short documents) go through a prefix join on their full sets instead: similar sets share one of the rarest
-fifth of their shingles. Nothing is capped or left out.
+No list is expanded into all its pairs. First each list is compared with its most central member alone, which joins groups
+of near copies; long lists that still span several components are compared with one more member at a time, while that
+helps. Then only lists that span components are left, and only pairs across components are looked at: members outside the
+list's largest component against all members. Long lists of that kind (a passage that makes up most of many short
+documents, outliers of a large group) go through a prefix join on their full sets: similar sets share one of the rarest fifth of
+their shingles, and what a set shares with no other bounds its similarity to any. Nothing is capped or left out.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; fewer words than `shingle` are one
 shingle; rows with one doc_id count as one document; equal rows all get their row; an empty table gives an empty
@@ -32,6 +33,10 @@ from millrace.llm.stash import stash
 COORDS, AGREE = 64, 36
 #: Lists of more members that still span components after the first pass are joined on full sets.
 LONG_LIST = 64
+#: Bits of a set that are compared before a pair of such a join is taken on.
+BITS = 512
+#: Ratio of the bounds of a band of set sizes in such a join.
+BAND = 1.05
 _rng = np.random.default_rng(64)
 _MUL = _rng.integers(1, 2**63, COORDS, dtype=np.uint64) | U(1)
 _ADD = _rng.integers(0, 2**63, COORDS, dtype=np.uint64)
@@ -115,22 +120,41 @@ def _sized(a: str, b: str, percent: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def _across(post: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(list statistics, function's input): posts of lists that span components, with `major`, whether in the largest one."""
-    per = post.groupBy("tok", "comp").agg(F.count("*").alias("c"))
+def _spanning(post: DataFrame, labels: DataFrame) -> DataFrame:
+    """The posts of lists that span components, with comp, members (of the list) and major (whether comp is its largest)."""
+    own = post.drop("comp", "members", "major").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    per = own.groupBy("tok", "comp").agg(F.count("*").alias("c"))
     lists = stash(per.groupBy("tok").agg(F.count("*").alias("comps"), F.sum("c").alias("members"), F.max(F.struct("c", "comp"))["comp"].alias("top")).filter("comps > 1"))
-    return lists, post.join(lists, "tok").withColumn("major", F.col("comp") == F.col("top"))
+    return stash(own.join(lists, "tok").withColumn("major", F.col("comp") == F.col("top")).drop("comps", "top"))
 
 
-def _pairs_across(post: DataFrame, percent: int, agree: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components in one list, that sizes (and signatures) allow."""
-    cols = ["tok", "node", "n", "comp", "major", "seen"] + (["pack"] if agree else [])
-    y = post.select("tok", *[F.col(c).alias(f"{c}2") for c in cols[1:]])
+def _leads(post: DataFrame) -> DataFrame:
+    """Per list, its most central member that has not led it yet: the one whose values are the most common ones."""
+    lead = post.filter(~F.col("seen")).groupBy("tok").agg(F.max(F.struct("weight", "node", "n", "pack", "comp")).alias("lead"))
+    return stash(lead.select("tok", F.col("lead.node").alias("lead"), F.col("lead.n").alias("n2"), F.col("lead.pack").alias("pack2"), F.col("lead.comp").alias("comp2")))
+
+
+def _led(post: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a list's leader with its members of other components."""
+    pairs = post.join(lead, "tok").filter((F.col("comp") != F.col("comp2")) & _sized("n", "n2", percent) & (_agree("pack", "pack2") >= AGREE))
+    return pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+
+
+def _pairs_across(post: DataFrame, percent: int, sets: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different components in one list, that sizes and signatures allow; for posts of sets, that
+    sizes and `least` allow (see _set_posts)."""
+    cols = ["tok", "node", "n", "comp", "major", "seen", *(["shared", "bits"] if sets else ["pack"])]
+    y = post.select(*[F.col(c).alias(f"{c}2") for c in cols])
     x = post.select(*cols).filter(~F.col("major"))
     cond = (F.col("comp") != F.col("comp2")) & (F.col("major2") | (F.col("node") < F.col("node2"))) & ~F.col("seen") & ~F.col("seen2") & _sized("n", "n2", percent)
-    if agree:
+    if sets:
+        # In common: at most what a set shares with any other, less one for each bit that it has and the other lacks.
+        lacks = lambda a, b: " - ".join(f"bit_count(element_at(bits{a}, {i}) & ~element_at(bits{b}, {i}))" for i in range(1, BITS // 64 + 1))
+        for most in ("least(shared, shared2)", f"shared - {lacks('', '2')}", f"shared2 - {lacks('2', '')}"):
+            cond = cond & F.expr(f"{100 + percent} * ({most}) >= {percent} * (n + n2)")
+    else:
         cond = cond & (_agree("pack", "pack2") >= AGREE)
-    return x.join(y, "tok").filter(cond).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    return x.join(y, (F.col("tok") == F.col("tok2")) & cond).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
@@ -143,17 +167,28 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingl
     return stash(both.filter(F.expr(f"100 * common >= {percent} * (size(sa) + size(sb) - common)")).select("a", "b").distinct())
 
 
-def _labelled(post: DataFrame, labels: DataFrame) -> DataFrame:
-    return post.join(labels.select("node", "label"), "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-
-
 def _set_posts(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Posts of each set under the rarest of its shingles, as many as two similar sets can't both miss."""
+    """Posts of each set under the rarest of its shingles, as many as it and a similar set can't both miss.
+
+    How many that are depends on both sizes, so a list belongs to a shingle and to two bands of sizes, BAND apart. Shingles
+    that no other set has are in no list; a set with many of them is in few lists or none. `shared` counts the others; `bits`
+    has a bit for each of them, modulo BITS: where one set's bit is missing in another, so is at least one shingle.
+    """
     one = sets.select("node", F.explode("set").alias("tok"))
     freq = stash(one.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1"))
     mine = one.join(freq, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks")).join(sizes, "node")
-    take = F.expr(f"cast(n - ceil(n * {percent} / 100.0) + 1 - (n - size(toks)) as int)")
-    return mine.filter(take > 0).select("node", "n", F.inline(F.slice("toks", F.lit(1), take))).drop("c")
+    bits = F.expr(f"transform(sequence(0, {BITS // 64 - 1}), w -> aggregate(filter(toks, t -> shiftright(t.tok & {BITS - 1}, 6) = w), 0L, (b, t) -> b | shiftleft(1L, cast(t.tok & 63 as int))))")
+    mine = mine.withColumns({"shared": F.size("toks"), "bits": bits})
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)))
+    low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)
+    mine = mine.withColumn("own", band(F.col("n"))).withColumn("other", F.explode(F.sequence(band(low), band(high))))
+    # The least size in the other band, or one less.
+    floor = F.greatest(low, F.ceil(F.pow(F.lit(BAND), F.col("other"))) - 1)
+    take = F.col("shared") - F.ceil((F.col("n") + floor) * percent / (100 + percent)) + 1
+    mine = mine.withColumn("take", take.cast("int")).filter("take > 0")
+    posts = mine.select("node", "n", "shared", "bits", "own", "other", F.inline(F.slice("toks", F.lit(1), F.col("take"))))
+    key = F.xxhash64("tok", F.least("own", "other"), F.greatest("own", "other"))
+    return posts.select(key.alias("tok"), "node", "n", "shared", "bits", F.lit(False).alias("seen"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -172,30 +207,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     freq = stash(coords.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1"))
     rare = coords.join(freq, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
     take = F.expr(f"{COORDS - AGREE + 1} - ({COORDS} - size(toks))")
-    post = rare.filter(take > 0).join(nodes.select("node", "n", "pack"), "node").select("node", "n", "pack", F.inline(F.slice("toks", F.lit(1), take))).drop("c")
-    post = stash(post)
-
-    # Each list against its smallest member.
-    lead = stash(post.groupBy("tok").agg(F.min(F.struct("n", "node", "pack")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("tok", F.col("lead.n").alias("n2"), F.col("lead.node").alias("lead"), F.col("lead.pack").alias("pack2")))
-    led = post.join(lead, "tok")
-    star = led.filter((F.col("node") != F.col("lead")) & _sized("n", "n2", percent) & (_agree("pack", "pack2") >= AGREE))
-    star = star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-    edges = _confirmed(star, docs, doc_id, text, shingle, percent)
-    labels = components(edges)
+    weight = F.aggregate("toks", F.lit(0).cast("long"), lambda x, t: x + t["c"])
+    post = rare.filter(take > 0).join(nodes.select("node", "n", "pack"), "node").select("node", "n", "pack", weight.alias("weight"), F.inline(F.slice("toks", F.lit(1), take))).drop("c")
+    post = stash(post.withColumn("seen", F.lit(False)).withColumn("comp", F.col("node")))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return _confirmed(pairs, docs, doc_id, text, shingle, percent)
 
-    # Lists that still span components: pairs across them.
-    _, mixed = _across(_labelled(led.select("tok", "node", "n", "pack", (F.col("node") == F.col("lead")).alias("seen")), labels), percent)
-    mixed = stash(mixed)
-    more = _confirmed(_pairs_across(mixed.filter(f"members <= {LONG_LIST}"), percent, True), docs, doc_id, text, shingle, percent)
-    long = mixed.filter(f"members > {LONG_LIST}").select("node", "n").distinct()
-    if not long.isEmpty():
-        labels = components(edges.unionByName(more))
-        long = stash(long)
+    # Each list against its leader; then long lists that still span components against further ones, while that joins some.
+    lead = _leads(post)
+    edges = confirm(_led(post, lead, percent))
+    labels = components(edges)
+    after = lambda p, lead: p.join(lead.select("tok", "lead"), "tok", "left").withColumn("seen", F.col("seen") | F.coalesce(F.col("node") == F.col("lead"), F.lit(False))).drop("lead")
+    mixed = _spanning(after(post, lead), labels)
+    outside = F.sum((~F.col("major")).cast("int"))
+    last, left = None, mixed.filter(f"members > {LONG_LIST}").agg(outside).first()[0]
+    while left and (last is None or left < 0.9 * last):
+        long = mixed.filter(f"members > {LONG_LIST}")
+        lead = _leads(long)
+        edges = edges.unionByName(confirm(_led(long, lead, percent)))
+        labels = components(edges)
+        mixed = _spanning(after(mixed, lead), labels)
+        last, left = left, mixed.filter(f"members > {LONG_LIST}").agg(outside).first()[0]
+
+    # What still spans components: pairs across them, in long lists by way of full sets.
+    edges = edges.unionByName(confirm(_pairs_across(mixed.filter(f"members <= {LONG_LIST}"), percent)))
+    labels = components(edges)
+    if left:
+        long = stash(mixed.filter(f"members > {LONG_LIST}").select("node", "n").distinct())
         posts = _set_posts(stash(_sets(docs, doc_id, text, long, shingle)), long, percent)
-        _, mixed = _across(_labelled(posts.withColumn("seen", F.lit(False)), labels), percent)
-        more = more.unionByName(_confirmed(_pairs_across(stash(mixed), percent, False), docs, doc_id, text, shingle, percent))
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+        labels = components(edges.unionByName(confirm(_pairs_across(_spanning(posts, labels), percent, True))))
     out = rows.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
     kept = F.col("doc_id") == F.col("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), (kept & F.col("leads")).alias("first_copy"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 32
-MEMO = 400_000
+MEMO = 800_000
 EDITS = "array<struct<start:bigint,stop:bigint,insert:string>>"
 
 
@@ -59,12 +59,14 @@ class Counter:
 
     def tokens(self, pieces: list[str]) -> list[int]:
         memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = [p for p in set(pieces) if p not in memo]
-        if new:
+        out = list(map(memo.get, pieces))
+        if None in out:
+            if len(memo) > MEMO:
+                memo.clear()
+            new = [p for p in set(pieces) if p not in memo]
             memo.update(zip(new, map(len, self.coder.encode_ordinary_batch(new, num_threads=1)), strict=True))
-        return [memo[p] for p in pieces]
+            out = list(map(memo.get, pieces))
+        return out
 
 
 class Tree:
@@ -75,7 +77,7 @@ class Tree:
         self.width = len(chars) // 2
 
     @classmethod
-    def of(cls, chars: list[int], tokens: list[int]) -> Tree:
+    def of(cls, chars: np.ndarray, tokens: np.ndarray) -> Tree:
         width = 1 << max(0, (len(chars) - 1).bit_length())
         out = []
         for leaves in (chars, tokens):
@@ -100,7 +102,7 @@ class Tree:
                 node += 1
         return node - self.width, first
 
-    def put(self, first: int, chars: list[int], tokens: list[int]) -> None:
+    def put(self, first: int, chars: np.ndarray, tokens: np.ndarray) -> None:
         """New values of neighbouring leaves, and new sums above them."""
         for heap, leaves in ((self.chars, chars), (self.tokens, tokens)):
             a = self.width + first
@@ -111,16 +113,17 @@ class Tree:
                 heap[a:b] = heap[2 * a : 2 * b].reshape(-1, 2).sum(1)
 
 
-def _leaves(sizes: list[int], counts: list[int], n: int | None = None) -> tuple[list[int], list[int]]:
+def _leaves(sizes: list[int], counts: list[int], n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Leaves of LEAF pre-tokens; or n leaves of about equal numbers of them."""
-    bounds = list(range(0, len(sizes), LEAF)) or [0] if n is None else [len(sizes) * i // n for i in range(n)]
-    ends = [*bounds[1:], len(sizes)]
-    return [sum(sizes[a:b]) for a, b in zip(bounds, ends, strict=True)], [sum(counts[a:b]) for a, b in zip(bounds, ends, strict=True)]
+    bounds = np.arange(0, max(len(sizes), 1), LEAF) if n is None else len(sizes) * np.arange(n) // n
+    ends = np.append(bounds[1:], len(sizes))
+    add = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int64)]))[ends] - c[bounds]
+    return add(sizes), add(counts)
 
 
 def build(text: str, c: Counter) -> Tree:
     pieces = c.pattern.findall(text)
-    return Tree.of(*_leaves([len(p) for p in pieces], c.tokens(pieces)))
+    return Tree.of(*_leaves(list(map(len, pieces)), c.tokens(pieces)))
 
 
 def ordered(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
@@ -155,11 +158,11 @@ def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], c: Counter) -
             j = tree.width - 1
         counts = c.tokens(pieces)
         again += len(pieces)
-        tree.put(i, *_leaves([len(p) for p in pieces], counts, j - i + 1))
+        tree.put(i, *_leaves(list(map(len, pieces)), counts, j - i + 1))
         text = new
         if len(pieces) > 8 * LEAF * (j - i + 1):  # leaves have grown large: cut the text anew, once
             pieces = c.pattern.findall(text)
-            tree = Tree.of(*_leaves([len(p) for p in pieces], c.tokens(pieces)))
+            tree = Tree.of(*_leaves(list(map(len, pieces)), c.tokens(pieces)))
             again += len(pieces)
     return text, tree, again
 
