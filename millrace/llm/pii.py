@@ -170,7 +170,7 @@ def word_features(w: Words, at: np.ndarray) -> np.ndarray:
 
     digits = counts // U(64)
     parts = [shape, counts, digits, np.zeros(len(at), U), cue(-1), cue(-2), cue(1), shape * U(31) + digits, mix(shape) ^ cue(-1)]
-    return np.stack([mix(p + U(0x9E3779B97F4A7C15) * U(k + 1)) & U(BUCKETS - 1) for k, p in enumerate(parts)], 1).astype(np.int64)
+    return np.stack([mix(p + U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) & U(BUCKETS - 1) for k, p in enumerate(parts)], 1).astype(np.int64)
 
 
 @dataclass
