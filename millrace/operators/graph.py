@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.relational import top_per_group
+from millrace.sources.shared import settled
 
 
 def neighbours(links: DataFrame, slug: str, direction: str = "both", limit: int | None = 100) -> DataFrame:
@@ -55,7 +56,7 @@ def inbound(links: DataFrame, skip: Sequence[str] = ("mentions",)) -> DataFrame:
 def traverse(links: DataFrame, seeds: Sequence[str], depth: int = 3, direction: str = "out", types: Sequence[str] | None = None) -> DataFrame:
     """(slug, depth): pages reached from seeds with their least depth, by one join a level and an anti-join with what was seen.
 
-    Frontiers stay distributed. The plan grows by one join a level, and depth is bounded by the caller.
+    Frontiers stay distributed. Deeper traversals write each frontier, so that a level's plan doesn't hold those before it.
     """
     if types is not None:
         links = links.filter(F.col("type").isin(*types))
@@ -68,7 +69,9 @@ def traverse(links: DataFrame, seeds: Sequence[str], depth: int = 3, direction:
     seen = links.sparkSession.createDataFrame([(s, 0) for s in seeds], "slug string, depth int")
     front = seen
     for level in range(1, depth + 1):
-        front = front.join(edge, front["slug"] == edge["a"]).select(F.col("b").alias("slug")).distinct().join(seen.select("slug"), "slug", "left_anti").withColumn("depth", F.lit(level))
+        front = front.join(edge, F.col("slug") == F.col("a")).select(F.col("b").alias("slug")).distinct().join(seen.select("slug"), "slug", "left_anti").withColumn("depth", F.lit(level))
+        if depth > 2:
+            front = settled(front)
         seen = seen.unionByName(front)
     return seen
 
