@@ -30,6 +30,27 @@ def search_all(docs: DataFrame, terms: Sequence[str], doc_id: str = "doc_id", te
     return counted.filter(F.forall(F.lit(list(terms)), lambda x: F.array_contains("t", x))).select("id", F.round(score, 9).alias("score"))
 
 
+def cover_density(text: Column, terms: Sequence[str]) -> Column:
+    """Sum of 1 / width over the shortest spans that hold every term, one for each place where such a span can begin."""
+    wanted = F.lit(list(terms))
+
+    def step(s: Column, x: Column) -> Column:
+        k = F.array_position(wanted, x["w"])
+        last = F.when(k > 0, F.transform(s["last"], lambda v, i: F.when(i == k - 1, x["i"]).otherwise(v))).otherwise(s["last"])
+        first = F.array_min(last)
+        new = (k > 0) & (first >= 0) & (first != s["first"])
+        return F.struct(last.alias("last"), F.when(new, first).otherwise(s["first"]).alias("first"), (s["score"] + F.when(new, 1.0 / (x["i"] - first + 1)).otherwise(0.0)).alias("score"))
+
+    zero = F.struct(F.array_repeat(F.lit(-1), len(terms)).alias("last"), F.lit(-1).alias("first"), F.lit(0.0).alias("score"))
+    return F.aggregate(F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), zero, step)["score"]
+
+
+def search_ranked(docs: DataFrame, terms: Sequence[str], n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The n documents with every term in which the terms stand closest together: id, score."""
+    found = docs.filter(F.forall(F.lit(list(terms)), lambda x: F.array_contains(tokens(F.col(text)), x)))
+    return found.select(F.col(doc_id).alias("id"), F.round(cover_density(F.col(text), terms), 9).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
 def search_any(docs: DataFrame, terms: Sequence[str], doc_id: str = "doc_id", text: str = "text", most: int = 16) -> DataFrame:
     """Documents with some term of at least three letters that is no stop word: id, score (terms found)."""
     kept = [t for t in dict.fromkeys(terms) if len(t) >= 3 and t not in STOPWORDS][:most]

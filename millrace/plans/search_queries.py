@@ -37,6 +37,20 @@ def _(spark, d):
     return S.search_all(Tables(spark, d).documents, ["the", "from"])
 
 
+@query("keyword_cover_density")
+def _(spark, d):
+    return S.search_ranked(Tables(spark, d).documents, ["the", "from", "and"], 50)
+
+
+@query("query_intents", "SELECT intent, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(q, '^\\W*\"[^\"]+\"\\W*$') THEN 'exact' WHEN regexp_matches(q, '(?i)\\b(how (do|to|can)|steps?)\\b') THEN 'howto' WHEN regexp_matches(q, '(?i)\\b(my|mine|i|me)\\b') THEN 'personal' WHEN regexp_matches(q, '(?i)\\b(who|when|where|which|what)\\b|\\?') THEN 'factual' ELSE 'topic' END AS intent FROM (SELECT CASE turn % 5 WHEN 0 THEN 'how to ' || text WHEN 1 THEN '\"' || replace(text, '\"', '') || '\"' WHEN 2 THEN 'who is ' || text ELSE text END AS q FROM conversations)) GROUP BY 1")
+def _(spark, d):
+    from millrace.functions.questions import intent
+
+    t = F.col("text")
+    q = F.when(F.col("turn") % 5 == 0, F.concat(F.lit("how to "), t)).when(F.col("turn") % 5 == 1, F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit("")), F.lit('"'))).when(F.col("turn") % 5 == 2, F.concat(F.lit("who is "), t)).otherwise(t)
+    return Tables(spark, d).conversations.groupBy(intent(q).alias("intent")).agg(F.count("*").alias("n"))
+
+
 @query("keyword_any_term", f"SELECT doc_id AS id, len(list_distinct(list_filter({TOKENS}, lambda x: x IN ('ingoned', 'haste', 'ende', 'thing', 'tion')))) AS score FROM documents WHERE score > 0")
 def _(spark, d):
     return S.search_any(Tables(spark, d).documents, TERMS)

@@ -194,3 +194,19 @@ def test_loop_states(spark, tmp_path):
     J.drain(s.writeStream.format("memory").queryName("loops").outputMode("append"))
     assert {(r.thread, r.state) for r in spark.table("loops").collect()} >= {(1, "open"), (2, "closed")}
     assert J.delete_ratio_held(spark.range(10), spark.range(9), "id") and not J.delete_ratio_held(spark.range(100), spark.range(99), "id")
+
+
+def test_cover_density_by_hand(spark):
+    df = spark.createDataFrame([("a x b a",), ("b b a",), ("a only",)], "t string")
+    assert [r[0] for r in df.select(S.cover_density(F.col("t"), ["a", "b"])).collect()] == pytest.approx([1 / 3 + 1 / 2, 1 / 2, 0.0])
+
+
+def test_questions(spark):
+    from millrace.functions.questions import intent, relation, wants_recent
+
+    asked = ['"as is"', "how to bake", "where are my keys", "when was it?", "storage engines"]
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    assert [r[0] for r in df.select(intent(F.col("q"))).collect()] == ["exact", "howto", "personal", "factual", "topic"]
+    assert tuple(one(spark, relation(F.col("t")), t="Who works at Acme Corp?")) == ("works_at", "in", "Acme Corp")
+    assert one(spark, relation(F.col("t")), t="storage engines") is None
+    assert one(spark, wants_recent(F.col("t")), t="the latest notes")
