@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.stash import stash
 
-MAX_BITS = 1 << 22
+MAX_BITS = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
