@@ -1,6 +1,6 @@
 """Words of whole texts as numpy arrays, straight from Arrow's UTF-8 buffers.
 
-A chunk is a run of documents of about CHUNK bytes (a longer document is a chunk of its own). Words are
+A chunk is a run of documents of about CHUNK (half a million) bytes (a longer document is a chunk of its own). Words are
 maximal runs of word bytes inside one document; each gets a 64-bit hash of its bytes, so n-grams, shingles
 and features are computed for a chunk at once, with no Python object per word.
 """
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -143,3 +143,23 @@ def grams(w: Words, k: int, of: np.ndarray | None = None) -> tuple[np.ndarray, n
     for j in range(k):
         out = out * U(_GRAM) + h[j : j + n]
     return mix(out + U(k)), w.row[:n] == w.row[k - 1 : k - 1 + n]
+
+
+def bitmap(rows, column, max_bits: int = 27) -> np.ndarray:
+    """Words of a bit table with a bit for each 64-bit hash in a DataFrame's column, modulo its size: a power of two of about 16
+    bits a hash, at most 2**max_bits. At most 2**max_bits / 64 words come to the driver; a fuller table only lets more through."""
+    from pyspark.sql import functions as F
+
+    n = rows.select(F.approx_count_distinct(column)).first()[0]
+    bits = 1 << min(max_bits, max(16, int(np.ceil(np.log2(16 * n + 1)))))
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    cells = rows.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(bits // 64, np.int64)
+    out[[r.cell for r in cells]] = [r.bits for r in cells]
+    return out.view(U)
+
+
+def marked(cells: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set."""
+    s = g & U(len(cells) * 64 - 1)
+    return (cells[(s >> U(6)).astype(np.int64)] >> (s & U(63))) & U(1) == 1

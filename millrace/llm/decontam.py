@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bytewords import ALNUM, U, Words, grams, words
+from millrace.llm.bytewords import ALNUM, U, Words, bitmap, grams, marked, words
 from millrace.llm.stash import stash
 
 HIT = "hash long, pos long, lead int, ctx string, short int"
@@ -87,28 +87,13 @@ def fingerprint_items(items: DataFrame, item_id: str, text: str, gram: int, span
     return items.select(F.col(item_id).cast("string"), F.col(text).cast("string")).mapInArrow(run, f"item_id string, {HIT}")
 
 
-def _bitmap(marks: DataFrame, max_bits: int) -> np.ndarray:
-    """One bit for hash modulo the bitmap's size; at most max_bits bits come to the driver."""
-    n = marks.select(F.approx_count_distinct("hash")).first()[0]
-    bits = 1 << min(max_bits, max(16, int(np.ceil(np.log2(16 * n + 1)))))
-    slot = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    cells = marks.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(hash & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(bits // 64, np.int64)
-    out[[r.cell for r in cells]] = [r.bits for r in cells]
-    return out.view(U)
-
-
 def _probe(docs: DataFrame, doc_id: str, text: str, marks: np.ndarray, shorts: tuple[int, ...], gram: int, span: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(marks)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        cells = shared.value
-        top = U(len(cells) * 64 - 1)
-
         def passes(g: np.ndarray) -> np.ndarray:
-            s = g & top
-            return (cells[(s >> U(6)).astype(np.int64)] >> (s & U(63))) & U(1) == 1
+            return marked(shared.value, g)
 
         for b in batches:
             count, hits = np.zeros(b.num_rows, np.int64), [[] for _ in range(b.num_rows)]
@@ -139,7 +124,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     """(each document row: doc_id, rid, n_words), (each hit: rid, item_id, from_word, to_word)."""
     marks = stash(fingerprint_items(items, item_id, item_text, gram, span))
     shorts = tuple(r[0] for r in marks.filter("short > 0").select("short").distinct().collect())  # fewer than span values
-    seen = stash(_probe(docs, doc_id, text, _bitmap(marks, max_bits), shorts, gram, span))
+    seen = stash(_probe(docs, doc_id, text, bitmap(marks, "hash", max_bits), shorts, gram, span))
     hits = seen.filter(F.size("hits") > 0).select("rid", F.inline("hits"))
     both = hits.join(marks.select("item_id", "hash", "short", F.col("lead").alias("item_lead"), F.col("ctx").alias("item_ctx")), ["hash", "short"])
 

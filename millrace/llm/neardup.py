@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bytewords import SPACED, U, Words, grams, mix, words
+from millrace.llm.bytewords import SPACED, U, Words, bitmap, grams, marked, mix, words
 from millrace.llm.components import components
 from millrace.llm.stash import stash
 
@@ -96,17 +96,23 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFra
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, set): the sorted shingle hashes of the documents in nodes."""
+    """(node, set): the sorted shingle hashes of the documents in nodes, and of a few more.
+
+    A bit table of the nodes' ids picks the documents where they are read, so no text is shuffled.
+    """
     kind = docs.schema[doc_id].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(nodes.select(F.xxhash64("node").alias("h")), "h"))
 
     def run(batches):
+        cells = shared.value
         for b in batches:
+            b = b.filter(pa.array(marked(cells, b.column(2).to_numpy(zero_copy_only=False).view(U))))
             ids = b.column(0)
             for w in words(b.column(1), SPACED):
                 h, head = shingles(w, shingle)
                 yield pa.RecordBatch.from_arrays([ids.slice(w.first, w.last - w.first), _lists(h.view(np.int64), head, pa.int64())], ["node", "set"])
 
-    mine = docs.select(F.col(doc_id).alias("node"), F.col(text).cast("string").alias("text")).join(nodes, "node", "left_semi")
+    mine = docs.select(F.col(doc_id).alias("node"), F.col(text).cast("string").alias("text"), F.xxhash64(doc_id).alias("h"))
     return mine.mapInArrow(run, f"node {kind}, set array<long>")
 
 
@@ -235,7 +241,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(edges)
     if left:
         long = stash(mixed.filter(f"members > {LONG_LIST}").select("node", "n").distinct())
-        posts = _set_posts(stash(_sets(docs, doc_id, text, long, shingle)), long, percent)
+        posts = _set_posts(stash(_sets(docs, doc_id, text, long, shingle).join(long.select("node"), "node", "left_semi")), long, percent)
         labels = components(edges.unionByName(confirm(_pairs_across(_spanning(posts, labels), percent, True))))
     out = rows.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
     kept = F.col("doc_id") == F.col("component_id")
