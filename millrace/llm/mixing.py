@@ -149,7 +149,8 @@ def mix(docs: DataFrame, target: Target, doc_id: str = "doc_id", source: str = "
     sizes = stash(docs.select(F.col(source).cast("string").alias("source"), F.col(doc_id).alias("doc_id"), tokens.alias("tokens")))
     plan = stash(weights(sizes, target, budget))
     end = stash(cuts(sizes, plan, seed, blocks))
-    marks = _with_plan(plan.select("source", "passes", "rest"), end, "left").withColumnsRenamed({c: f"__{c}" for c in ("source", "passes", "rest", "cut_block", "cut_key")})
+    # Written, so that its size is known where the join is planned.
+    marks = stash(_with_plan(plan.select("source", "passes", "rest"), end, "left").withColumnsRenamed({c: f"__{c}" for c in ("source", "passes", "rest", "cut_block", "cut_key")}))
     row = docs.join(marks, F.col(source).cast("string").eqNullSafe(F.col("__source")))
     row = row.withColumn("__key", order_key(F.col(doc_id), F.col("__passes"), seed)).withColumn("__block", block_of(F.col("__key"), blocks))
     part = (F.col("__rest") > 0) & ((F.col("__block") < F.col("__cut_block")) | ((F.col("__block") == F.col("__cut_block")) & (F.col("__key") < F.col("__cut_key"))))
