@@ -23,3 +23,9 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch, and so what a Python worker holds at once; applications call it, operators don't."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
