@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.decontam import contamination
+from millrace.llm.dropping import without_ids
 from millrace.llm.mixing import Target, mix
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.quality import keep_good, train
 from millrace.llm.secrets import redact
-from millrace.llm.stash import stash
+from millrace.llm.stash import small_batches, stash
 
 #: Most passes that the mixture makes over any source.
 REPEATS = 2.0
@@ -22,13 +23,15 @@ REPEATS = 2.0
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    small_batches(spark)
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    small_batches(spark)
     found = stash(near_duplicates(docs, shingle=5, percent=80))
-    rest = docs.join(found.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    rest = without_ids(docs, found.filter("not kept").select("doc_id"))
     # Rows that repeat an id; others need no shuffle of texts.
     again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
     return rest if again.isEmpty() else rest.dropDuplicates(["doc_id"])
@@ -36,8 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
-    return docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, stash(hit.select("doc_id")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
