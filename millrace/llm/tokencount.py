@@ -1,34 +1,34 @@
 """Edit-aware token counts: a segment tree of pre-tokens per document.
 
 A text is cut into pre-tokens by the tokenizer's pattern; each is encoded on its own, so a text's count is the sum of its
-pre-tokens' counts. Leaves hold LEAF pre-tokens (characters, tokens); inner nodes hold sums. An edit finds its leaves by
-character offset, cuts and encodes again from the leaf that holds the second character before it (the pattern looks at most
-that far ahead past a boundary), and stops at the first old leaf boundary behind the edit that is a boundary again: the
-pattern never looks back, so all that follows is as before. Only those leaves and their ancestors change.
+pre-tokens' counts. No pre-token holds a space behind a letter or digit, so every such place is a boundary whatever lies around
+it. Leaves are runs of pre-tokens of about LEAF characters between such places (characters, tokens); inner nodes hold sums. An
+edit finds the leaves that hold the characters from the second before it to the first behind it; their outer boundaries
+are untouched, so only these leaves are encoded again, and only sums above them change.
 
 The tree travels as two arrays in heap order (node 1 is the root, node i has children 2i and 2i + 1) beside its text, so a
 later batch of edits needs the text and the arrays, not a new count. Building is one pass with no shuffle; edits from a table
 are joined by document id.
 
-Edge cases: a null or empty text has no pre-tokens and one empty leaf; edits are (start, stop, insert) in code points of the
-unedited text, cut to its bounds, null inserts counting as deletion; an edit that overlaps one that starts before it (of
-equal starts: ends before it) applies to the rest of its range; repeated rows each get a row; other columns are dropped.
+Edge cases: a null or empty text has no pre-tokens and one empty leaf; a text without such places is one leaf; edits are (start,
+stop, insert) in code points of the unedited text, cut to its bounds, null inserts counting as deletion; an edit that overlaps one
+that starts before it (of equal starts: ends before it) applies to the rest of its range; repeated rows each get a row; other
+columns are dropped.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 32
-MEMO = 800_000
+LEAF = 256
 EDITS = "array<struct<start:bigint,stop:bigint,insert:string>>"
 
 
@@ -42,31 +42,31 @@ def default_vocabulary() -> str:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: A letter or digit before a space: a pre-token ends here.
+_PLACE = re.compile(r"\w(?= )")
+
+
 @cache
 def counter(vocabulary: str, pattern: str = PATTERN) -> Counter:
     return Counter(vocabulary, pattern)
 
 
 class Counter:
-    """Pre-tokens and their token counts, remembered for the most recent MEMO different ones at least."""
-
     def __init__(self, vocabulary: str, pattern: str) -> None:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(pattern)
-        self.memo: dict[str, int] = {}
 
-    def tokens(self, pieces: list[str]) -> list[int]:
-        memo = self.memo
-        out = list(map(memo.get, pieces))
-        if None in out:
-            if len(memo) > MEMO:
-                memo.clear()
-            new = [p for p in set(pieces) if p not in memo]
-            memo.update(zip(new, map(len, self.coder.encode_ordinary_batch(new, num_threads=1)), strict=True))
-            out = list(map(memo.get, pieces))
-        return out
+    def leaves(self, text: str) -> tuple[list[int], list[int]]:
+        """Characters and tokens of each leaf of a text that starts at a boundary."""
+        encode, sizes, counts, at, n = self.coder.encode_ordinary, [], [], 0, len(text)
+        while at < n:
+            m = _PLACE.search(text, at + LEAF) if n - at > LEAF + LEAF // 2 else None
+            end = m.end() if m else n
+            sizes.append(end - at)
+            counts.append(len(encode(text[at:end])))
+            at = end
+        return sizes or [0], counts or [0]
 
 
 class Tree:
@@ -77,7 +77,7 @@ class Tree:
         self.width = len(chars) // 2
 
     @classmethod
-    def of(cls, chars: np.ndarray, tokens: np.ndarray) -> Tree:
+    def of(cls, chars: list[int], tokens: list[int]) -> Tree:
         width = 1 << max(0, (len(chars) - 1).bit_length())
         out = []
         for leaves in (chars, tokens):
@@ -102,7 +102,7 @@ class Tree:
                 node += 1
         return node - self.width, first
 
-    def put(self, first: int, chars: np.ndarray, tokens: np.ndarray) -> None:
+    def put(self, first: int, chars: list[int], tokens: list[int]) -> None:
         """New values of neighbouring leaves, and new sums above them."""
         for heap, leaves in ((self.chars, chars), (self.tokens, tokens)):
             a = self.width + first
@@ -113,17 +113,16 @@ class Tree:
                 heap[a:b] = heap[2 * a : 2 * b].reshape(-1, 2).sum(1)
 
 
-def _leaves(sizes: list[int], counts: list[int], n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves of LEAF pre-tokens; or n leaves of about equal numbers of them."""
-    bounds = np.arange(0, max(len(sizes), 1), LEAF) if n is None else len(sizes) * np.arange(n) // n
-    ends = np.append(bounds[1:], len(sizes))
-    add = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int64)]))[ends] - c[bounds]
-    return add(sizes), add(counts)
+def build(text: str, c: Counter) -> Tree:
+    return Tree.of(*c.leaves(text))
 
 
-def build(text: str, c: Counter) -> Tree:
-    pieces = c.pattern.findall(text)
-    return Tree.of(*_leaves(list(map(len, pieces)), c.tokens(pieces)))
+def _fit(leaves: list[int], n: int) -> list[int]:
+    """The same sums in n leaves: neighbours put together, or empty leaves added."""
+    if len(leaves) <= n:
+        return leaves + [0] * (n - len(leaves))
+    bounds = [len(leaves) * i // n for i in range(n + 1)]
+    return [sum(leaves[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def ordered(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
@@ -138,32 +137,22 @@ def ordered(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
 
 
 def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], c: Counter) -> tuple[str, Tree, int]:
-    """(new text, new tree, pre-tokens that were encoded again); edits as from ordered(). Late edits first, so that offsets hold."""
+    """(new text, new tree, tokens of what was encoded again); edits as from ordered(). Late edits first, so that offsets hold."""
     again = 0
     for start, stop, insert in reversed(edits):
-        new = text[:start] + insert + text[stop:]
-        shift, behind = len(new) - len(text), start + len(insert)
         i, a = tree.find(max(0, start - 2))
         j, first = tree.find(stop)
-        end = first + int(tree.chars[tree.width + j]) + shift  # of leaf j, in the new text
-        pieces = []
-        for m in c.pattern.finditer(new, a):
-            pieces.append(m[0])
-            while end < m.end() and j < tree.width - 1:
-                j += 1
-                end += int(tree.chars[tree.width + j])
-            if m.end() == end and end >= behind:
-                break
-        else:
-            j = tree.width - 1
-        counts = c.tokens(pieces)
-        again += len(pieces)
-        tree.put(i, *_leaves(list(map(len, pieces)), counts, j - i + 1))
-        text = new
-        if len(pieces) > 8 * LEAF * (j - i + 1):  # leaves have grown large: cut the text anew, once
-            pieces = c.pattern.findall(text)
-            tree = Tree.of(*_leaves(list(map(len, pieces)), c.tokens(pieces)))
-            again += len(pieces)
+        b = first + int(tree.chars[tree.width + j])
+        part = text[a:start] + insert + text[stop:b]
+        text = text[:a] + part + text[b:]
+        n = j - i + 1
+        if len(part) > 16 * LEAF * n:  # the leaves would grow large
+            tree = build(text, c)
+            again += int(tree.tokens[1])
+            continue
+        chars, tokens = c.leaves(part)
+        again += sum(tokens)
+        tree.put(i, _fit(chars, n), _fit(tokens, n))
     return text, tree, again
 
 
@@ -196,7 +185,7 @@ def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(trees: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Per row of trees: doc_id, text (edited), n_edits, n_before, n_tokens, n_encoded (pre-tokens encoded again), chars, tokens."""
+    """Per row of trees: doc_id, text (edited), n_edits, n_before, n_tokens, n_encoded (tokens of what was encoded again), chars, tokens."""
     vocabulary = vocabulary or default_vocabulary()
     kind = trees.schema["doc_id"].dataType.simpleString()
 
