@@ -1,11 +1,13 @@
 """Secret scan with DataFrame functions only.
 
 Base spans are regular-expression matches of three kinds. The method adds `entropy` spans: a candidate (a run of
-base64 characters) belongs to the narrowest class that holds all its characters (hex, letters, mixed); a window of
-WINDOW characters slides over it, and its Shannon entropy is kept up to date from the counts of the one character
-that leaves and the one that enters. The span reaches from the first to the last window whose entropy is at least
-the class's threshold. Candidates on the allow-list (digits only, UUIDs, placeholders, plain runs of the alphabet)
-are suppressed; base spans never are.
+base64 characters) belongs to the narrowest class that holds all its characters (hex, letters of one case, letters,
+letters of one case and digits, mixed); a window of WINDOW characters slides over it, and its Shannon entropy is kept
+up to date from the counts of the one character that leaves and the one that enters. The span reaches from the first to
+the last window whose entropy is at least the class's threshold: what about 98 of 100 windows of random characters of
+its alphabet reach. Digits only and UUIDs are allowed as whole candidates. Placeholders, plain runs of the alphabet, and
+in a path of words its words of fewer than WINDOW letters are passed over: the windows hold what is left of the
+candidate, on both sides of them. Base spans are never suppressed.
 
 Offsets count code points, end exclusive. Spans are sorted by start, then kind in the order assign, access, hex,
 entropy. Every character of every text is scanned, in one pass over the table with no shuffle.
@@ -28,7 +30,8 @@ ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 LONG_RUN = "[A-Za-z0-9+/_=-]{20,}"  # holds every access, hex and candidate match
 WINDOW = 20
-THRESHOLD = {"hex": 2.85, "letters": 4.05, "mixed": 3.65}
+THRESHOLD = {"hex": 2.85, "single": 3.28, "letters": 3.62, "plain": 3.4, "mixed": 3.65}
+CLASSES = {"hex": "^[0-9A-Fa-f]+$", "single": "^([a-z]+|[A-Z]+)$", "letters": "^[A-Za-z]+$", "plain": "^([a-z0-9]+|[A-Z0-9]+)$"}
 ALLOW = (
     "^[0-9]+$",
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
@@ -36,6 +39,10 @@ ALLOW = (
     "(?i)abcdefghij|0123456789|qwertyuiop",
     "^[-_/+]*[A-Za-z]+([-_/][A-Za-z]+){2,}[-_/+]*$",
 )
+DIGITS, UUID, PATH = ALLOW[0], ALLOW[1], ALLOW[4]
+#: What is passed over inside a candidate; the alphabet as far as it goes on.
+PART = f"example|sample|placeholder|changeme|dummy|lorem|0123456789|qwertyuiop(asdfghjkl(zxcvbnm)?)?|abcdefghij{''.join(f'({c}' for c in 'klmnopqrstuvwxyz')}{')?' * 16}"
+WORDS = f"(?<![a-z])[a-z]{{1,{WINDOW - 1}}}(?![a-z])|[-_/+]"
 KINDS = ("assign", "access", "hex", "entropy")
 SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
 
@@ -44,7 +51,7 @@ def _none(kind: str = SPAN) -> Column:
     return F.array().cast(kind)
 
 
-def located(text: Column, pattern: str, found: Column) -> Column:
+def located(text: Column, pattern: str | Column, found: Column) -> Column:
     """(start, match) of each of `found`, all matches of pattern in text, from the lengths of what lies between."""
     between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     step = lambda s, x: F.struct(
@@ -60,11 +67,23 @@ def _span(start: Column, stop: Column, kind: str) -> Column:
     return F.struct(start.cast("long").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), stop.cast("long").alias("stop"), F.lit(kind).alias("kind"))
 
 
-def hot_window(text: Column) -> Column:
-    """struct(first, last) around the windows over the class's threshold, end exclusive; both -1 if there is none."""
-    codes = F.transform(F.split(text, ""), F.ascii)
+def left_over(cand: Column) -> Column:
+    """A candidate (start, hit) as struct(start, bar, left): left are the code and place of each character that isn't passed over."""
+    hit = cand["hit"]
+    skip = F.when(hit.rlike(PATH), f"(?i){WORDS}|{PART}").otherwise(f"(?i){PART}")
+    ends = F.transform(located(hit, skip, F.regexp_extract_all(hit, skip, F.lit(0))), lambda x: x["start"] + F.length(x["hit"]))
+    chars = lambda at, gap: F.when(gap != "", F.transform(F.split(gap, ""), lambda c, i: F.struct(F.ascii(c).alias("code"), (at + i).alias("at")))).otherwise(_none("array<struct<code:int,at:bigint>>"))
+    left = F.flatten(F.zip_with(F.concat(F.array(F.lit(0).cast("long")), ends), F.split(hit, skip, -1), chars))
+    rest, bar = F.regexp_replace(hit, skip, F.lit("")), F.lit(THRESHOLD["mixed"])
+    for name in reversed(CLASSES):
+        bar = F.when(rest.rlike(CLASSES[name]), THRESHOLD[name]).otherwise(bar)
+    allowed = hit.rlike(UUID) | rest.rlike(DIGITS)
+    return F.struct(cand["start"].alias("start"), bar.alias("bar"), F.when(allowed, _none("array<struct<code:int,at:bigint>>")).otherwise(left).alias("left"))
+
+
+def hot_window(bar: Column, left: Column) -> Column:
+    """struct(first, last) around the windows over the bar, end exclusive; both -1 if there is none."""
     part = F.lit([n * math.log2(n) if n else 0.0 for n in range(WINDOW + 1)])  # n log2 n
-    bar = F.when(text.rlike("^[0-9A-Fa-f]+$"), THRESHOLD["hex"]).when(text.rlike("^[A-Za-z]+$"), THRESHOLD["letters"]).otherwise(THRESHOLD["mixed"])
 
     def step(s: Column, x: Column) -> Column:
         comes, goes, i = x["comes"], x["goes"], x["i"]
@@ -78,12 +97,13 @@ def hot_window(text: Column) -> Column:
             counts.alias("counts"),
             total.alias("total"),
             s["bar"].alias("bar"),
-            F.when(over & (s["first"] < 0), i - (WINDOW - 1)).otherwise(s["first"]).alias("first"),
-            F.when(over, i + 1).otherwise(s["last"]).alias("last"),
+            F.when(over & (s["first"] < 0), x["from"]).otherwise(s["first"]).alias("first"),
+            F.when(over, x["at"] + 1).otherwise(s["last"]).alias("last"),
         )
 
-    steps = F.transform(codes, lambda c, i: F.struct(c.alias("comes"), F.coalesce(F.get(codes, i - WINDOW), F.lit(-1)).alias("goes"), i.alias("i")))
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), bar.alias("bar"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    steps = F.transform(left, lambda c, i: F.struct(c["code"].alias("comes"), F.coalesce(F.get(left, i - WINDOW)["code"], F.lit(-1)).alias("goes"), F.get(left, i - (WINDOW - 1))["at"].alias("from"), c["at"].alias("at"), i.alias("i")))
+    none = F.lit(-1).cast("long")
+    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), bar.alias("bar"), none.alias("first"), none.alias("last"))
     return F.aggregate(steps, zero, step)
 
 
@@ -91,7 +111,6 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFra
     """df with one more column: array of (start, rank, stop, kind), sorted."""
     t = "__text"
     runs = lambda p: F.when(F.col("__long"), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(_none("array<string>"))
-    allowed = lambda x: F.coalesce(*[F.when(x.rlike(p), True) for p in ALLOW], F.lit(False))
     seen = (
         df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
         .withColumn("__assign", F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0)))
@@ -101,7 +120,7 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFra
     )
     whole = lambda k: F.transform(f"__{k}", lambda x: _span(x["start"], x["start"] + F.length(x["hit"]), k))
     kept = F.filter("__assign", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
-    warm = F.transform(F.filter("__cand", lambda x: ~allowed(x["hit"])), lambda x: F.struct(x["start"].alias("start"), hot_window(x["hit"]).alias("w")))
+    warm = F.transform(F.transform("__cand", left_over), lambda x: F.struct(x["start"].alias("start"), hot_window(x["bar"], x["left"]).alias("w")))
     added = F.transform(F.filter("__warm", lambda x: x["w"]["first"] >= 0), lambda x: _span(x["start"] + x["w"]["first"], x["start"] + x["w"]["last"], "entropy"))
     return (
         seen.withColumn("__assign", kept)

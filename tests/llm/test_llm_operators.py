@@ -183,6 +183,30 @@ def test_secrets(spark):
     assert redact(df.limit(0)).count() == 0
 
 
+def test_secrets_of_each_class_and_length(spark):
+    from millrace.llm.secrets import KINDS, redact, scan
+
+    rng = random.Random(5)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"single": lower, "upper": lower.upper(), "letters": lower + lower.upper(), "base32": lower.upper() + "234567", "plain": lower + digits, "hex": digits + "abcdef", "mixed": lower + lower.upper() + digits}
+    texts = [(k, n, "the " + "".join(rng.choice(a) for _ in range(n)) + " end") for k, a in kinds.items() for n in (20, 32, 40) for _ in range(200)]
+    entropy = lambda r: [s for s in r.spans if s.kind == KINDS[3]]
+    rows = scan(table(spark, [(i, t) for i, (_, _, t) in enumerate(texts)])).collect()
+    found = {(k, n): 0 for k, n, _ in texts}
+    for r in rows:
+        found[texts[r.doc_id][:2]] += bool(entropy(r))
+    assert min(found.values()) >= 0.92 * 200 and min(c for (_, n), c in found.items() if n > 20) >= 0.98 * 200, found
+    # What is allowed covers its own characters only, not the key beside it.
+    key, letters = "Zx9QvB7kLm2Pw8RtYu4NsDaT6hJc3XeGf5KbVqWz", "qZvXkWjBmPdRtHgLsYcNfQxKzVbJwTpM"
+    held = [f"/docs/example/{key}", key[:15] + "lorem" + key[15:], key + "sample", "0123456789" + key, f"/docs/path/{letters}", key[:9] + "Dummy" + key[9:18] + "changeme" + key[18:]]
+    for r in scan(table(spark, list(enumerate(held)))).collect():
+        (s,) = entropy(r)
+        assert s.stop - s.start >= 0.7 * len(key if "/path/" not in held[r.doc_id] else letters), held[r.doc_id]
+    assert not any(key[:12] in r.text or key[-12:] in r.text for r in redact(table(spark, [(1, f"see /docs/example/{key} there")])).collect())
+    allowed = ["example-placeholder-changeme", "12345678901234567890123", "lorem12345678901234567890", "123e4567-e89b-12d3-a456-426614174000", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "/usr/share/documentation/examples/python", "qwertyuiopasdfghjklzxcvbnm"]
+    assert not any(entropy(r) for r in scan(table(spark, list(enumerate(allowed)))).collect())
+
+
 def test_token_edits(spark):
     from millrace.llm.tokencount import apply_edits, build, counter, default_vocabulary, edit, ordered, token_trees, with_edits
 
