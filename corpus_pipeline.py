@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.decontam import contamination
-from millrace.llm.dropping import without_ids
+from millrace.llm.dropping import KEY, keyed, without_ids
 from millrace.llm.mixing import Target, mix
 from millrace.llm.neardup import near_duplicates
 from millrace.llm.quality import keep_good, train
@@ -28,20 +28,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document, the one of least id, of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    Rows that repeat an id are one document; rows without an id are a document each, kept if their group has no id.
+    """
     small_batches(spark)
-    found = stash(near_duplicates(docs, shingle=5, percent=80))
-    rest = without_ids(docs, found.filter("not kept").select("doc_id"))
+    columns = docs.columns
+    docs, _ = keyed(docs)
+    found = stash(near_duplicates(docs, doc_id=KEY, shingle=5, percent=80).withColumnRenamed("doc_id", KEY))
+    rest = without_ids(docs, found.filter("not kept").select(KEY), KEY)
     # Rows that repeat an id; others need no shuffle of texts.
-    again = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    return rest if again.isEmpty() else rest.dropDuplicates(["doc_id"])
+    again = found.groupBy(KEY).count().filter("count > 1")
+    return (rest if again.isEmpty() else rest.dropDuplicates([KEY])).select(columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     small_batches(spark)
-    hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated")
-    return without_ids(docs, stash(hit.select("doc_id")))
+    columns = docs.columns
+    docs, _ = keyed(docs)
+    hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=KEY).filter("contaminated")
+    return without_ids(docs, stash(hit.select(F.col("doc_id").alias(KEY))), KEY).select(columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import U, bitmap, marked
+from millrace.llm.stash import stash
+
+KEY = "__key"
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, bool]:
+    """docs with KEY, which is never null and the same each time a row is read; and whether any id is null.
+
+    Without null ids KEY is the id. Else it is a struct (anon, id, row), in which each row without an id has a row number
+    of its own and comes after all ids. Only rows without an id are written for that.
+    """
+    lost = docs.filter(F.col(doc_id).isNull())
+    if lost.isEmpty():
+        return docs.withColumn(KEY, F.col(doc_id)), False
+    key = lambda anon, row: F.struct(F.lit(anon).alias("anon"), F.col(doc_id).alias("id"), row.alias("row"))
+    lost = stash(lost.withColumn(KEY, key(True, F.monotonically_increasing_id())))
+    return docs.filter(F.col(doc_id).isNotNull()).withColumn(KEY, key(False, F.lit(0).cast("long"))).unionByName(lost), True
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", max_bits: int = 27) -> DataFrame:

@@ -15,7 +15,7 @@ documents, outliers of a large group) go through a prefix join on their full set
 their shingles, and what a set shares with no other bounds its similarity to any. Nothing is capped or left out.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; fewer words than `shingle` are one
-shingle; rows with one doc_id count as one document; equal rows all get their row; an empty table gives an empty
+shingle; rows with one doc_id count as one document, rows without one as a document each, after those with one; equal rows all get their row; an empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import SPACED, U, Words, bitmap, grams, marked, mix, words
 from millrace.llm.components import components
+from millrace.llm.dropping import KEY, keyed
 from millrace.llm.stash import stash
 
 COORDS, AGREE = 64, 36
@@ -198,8 +199,16 @@ def _set_posts(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id), and
-    first_copy (kept, and the first row of its document: one row per component)."""
+    """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links; null if no document there has one), kept
+    (the document is the component's first, by doc_id), and first_copy (kept, and the first row of its document: one row per
+    component)."""
+    docs, anon = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    out = _near_duplicates(docs, KEY, "text", shingle, percent)
+    return out.withColumns({c: F.col(c)["id"] for c in ("doc_id", "component_id")}) if anon else out
+
+
+def _near_duplicates(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """near_duplicates for ids that are not null."""
     rows = stash(signatures(docs, doc_id, text, shingle))
     copies = stash(rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "rid")).alias("lead"), F.count("*").alias("c")).filter("c > 1").drop("c"))
     own = rows.join(copies, ["h1", "h2", "n"], "left").withColumn("lead", F.coalesce("lead", F.struct("doc_id", "rid")))

@@ -92,6 +92,20 @@ def test_near_duplicates_edges(spark):
     assert near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_without_ids(spark):
+    from millrace.llm.neardup import near_duplicates
+
+    rng = random.Random(8)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    near = [*a[:-1], "other"]
+    texts = [(3, a), (None, a), (9, a), (4, near), (None, near), (None, b), (None, b), (None, [*b[:-1], "x"]), (None, c), (None, None)]
+    rows = near_duplicates(table(spark, [(i, t and " ".join(t)) for i, t in texts]), shingle=4).collect()
+    assert len(rows) == len(texts) and all(r.kept is not None and r.first_copy is not None for r in rows)
+    assert sorted((str(r.doc_id), r.component_id, r.kept) for r in rows if r.component_id is not None) == [("3", 3, True), ("4", 3, False), ("9", 3, False), ("None", 3, False), ("None", 3, False)]
+    # Of the rest: one row of b and its near copies, c, and the row without a text.
+    assert sum(r.kept for r in rows if r.component_id is None) == sum(r.first_copy for r in rows if r.component_id is None) == 3
+
+
 def test_components(spark):
     from millrace.llm.components import components
 
@@ -314,3 +328,20 @@ def test_pipeline_stages(spark, sf_dir):
     assert ids(five) == ids(four)
     again = spark.createDataFrame(two.limit(3).collect() * 2, two.schema)
     assert p.near_dedup(spark, again, sf_dir).count() <= 3
+
+
+def test_pipeline_keeps_and_drops_rows_without_ids(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (None, c), (7, c), (8, d), (8, d), (None, f"{b} {item}")], "doc_id long, text string")
+    texts = lambda df: sorted((str(r.doc_id), r.text) for r in df.collect())
+    alone = sorted([("None", a), ("None", b), ("7", c), ("8", d)])
+    got = p.near_dedup(spark, docs.filter(F.col("text") != f"{b} {item}"), sf_dir)
+    assert got.columns == docs.columns and texts(got) == alone
+    # The same without a repeated id.
+    assert texts(p.near_dedup(spark, docs.filter(F.col("text") != f"{b} {item}").filter("doc_id is null or doc_id = 7"), sf_dir)) == sorted([("None", a), ("None", b), ("7", c)])
+    clean = p.decontaminate(spark, docs, sf_dir)
+    assert clean.columns == docs.columns and texts(clean) == texts(docs.filter(F.col("text") != f"{b} {item}"))
