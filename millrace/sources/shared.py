@@ -1,7 +1,9 @@
-"""Cutting lineage: a DataFrame as a Parquet table in the folder that spark.checkpoint.dir names."""
+"""Cutting lineage with a Parquet table in the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,16 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a new local one only where none is set, as in tests."""
+    """spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set: an error on a cluster, whose machines share no local folder; a folder that goes with the process in
+    local mode.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-millrace-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="spark-millrace-", dir="/tmp")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        named = f"file://{path}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df, written and read back: loops that join a result with its own past stay small plans, and lost executors cost nothing."""
-    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    """df, written once and read back: later uses neither recompute it nor depend on any executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
