@@ -14,7 +14,8 @@ def first_ranks(ranking: DataFrame) -> DataFrame:
 
 
 def metrics(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """Per query with a relevant id: precision, recall, reciprocal rank and nDCG (linear gain) at k."""
+    """Per query with a relevant id: precision, recall, reciprocal rank and nDCG (linear gain) at k. Repeats of an id count once."""
+    ranking = first_ranks(ranking)
     good = qrels.filter("grade > 0")
     gain = lambda g, r: g / F.log2(r + 1)
     ideal = good.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")))

@@ -65,7 +65,8 @@ def traverse(links: DataFrame, seeds: Sequence[str], depth: int = 3, direction:
         edge = edge.select(F.col("b").alias("a"), F.col("a").alias("b"))
     elif direction == "both":
         edge = edge.unionByName(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edge = edge.distinct()
+    # Deep traversals read the edges once, written by their near end; a shallow one filters them by its frontier first.
+    edge = settled(edge.distinct()) if depth > 2 else edge
     seen = links.sparkSession.createDataFrame([(s, 0) for s in seeds], "slug string, depth int")
     front = seen
     for level in range(1, depth + 1):
@@ -94,16 +95,3 @@ def session_of(path: Column) -> Column:
     """A path up to its date or its chat or session segment; null without one."""
     hit = F.regexp_extract(path, r"^(.*?(?:/\d{4}-\d{2}-\d{2}|/(?:chat|session)s?/[^/]+))", 1)
     return F.when(hit != "", hit)
-
-
-def graph_signals(ranked: DataFrame, links: DataFrame, boost: float = 1.05, damp: float = 0.95, least: int = 2) -> DataFrame:
-    """score x boost for hits that `least` other hits link to; of one session's hits (column `session`), all but the best x damp."""
-    from pyspark.sql import Window
-
-    ids = ranked.select("slug").distinct()
-    inside = links.join(ids.withColumnRenamed("slug", "source_slug"), "source_slug", "left_semi").join(ids.withColumnRenamed("slug", "target_slug"), "target_slug", "left_semi")
-    got = inside.filter("source_slug <> target_slug").groupBy(F.col("target_slug").alias("slug")).agg(F.count_distinct("source_slug").alias("votes"))
-    w = Window.partitionBy("session").orderBy(F.desc("score"), "slug")
-    out = ranked.join(got, "slug", "left").withColumn("__n", F.row_number().over(w))
-    factor = F.when(F.coalesce("votes", F.lit(0)) >= least, boost).otherwise(1.0) * F.when(F.col("session").isNotNull() & (F.col("__n") > 1), damp).otherwise(1.0)
-    return out.withColumn("score", F.col("score") * factor).drop("__n", "votes")

@@ -51,13 +51,30 @@ def leader_clusters(vectors: DataFrame, bucket: str, row_id: str, vector: str, t
     return vectors.groupBy(bucket).applyInPandas(run, schema)
 
 
-def similar_active(facts: DataFrame, keys: Sequence[str], row_id: str, vector: str, least: float = 0.8, n: int = 5) -> DataFrame:
-    """For each fact the n most similar others with its keys: id, other, similarity."""
-    a = facts.select(*keys, F.col(row_id).alias("id"), F.col(vector).alias("u"))
-    b = facts.select(*keys, F.col(row_id).alias("other"), F.col(vector).alias("v"))
-    pairs = a.join(b, list(keys)).filter("id <> other").withColumn("similarity", cosine("u", "v")).filter(F.col("similarity") >= least)
-    w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    return pairs.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).select("id", "other", "similarity")
+def similar_active(facts: DataFrame, queries: DataFrame, key: str, row_id: str, vector: str, least: float = 0.8, n: int = 5) -> DataFrame:
+    """For each of `queries` (rows of the same form) the n most similar facts with its key: id, other, similarity.
+
+    Blocks of queries meet blocks of facts, as in knn_blocks, so a key with a third of all facts makes no pairs beyond n a block.
+    """
+    from millrace.operators.search import knn_blocks
+
+    near = knn_blocks(facts, queries, n, row_id, vector, same=key)
+    return near.filter(F.col("score") >= least).select(F.col("query").alias("id"), F.col("id").alias("other"), F.col("score").alias("similarity"))
+
+
+def merged_threads(*stores: DataFrame) -> DataFrame:
+    """Messages (thread, turn, text) of several stores, each once: the last text by order, and how many copies there were."""
+    every = stores[0]
+    for s in stores[1:]:
+        every = every.unionByName(s)
+    return every.groupBy("thread", "turn").agg(F.count("*").alias("copies"), F.max("text").alias("text"))
+
+
+def collapsed(slugs: DataFrame) -> DataFrame:
+    """Groups of slugs that are one without their separators: folded, n, first."""
+    folded = F.regexp_replace("slug", "[/-]", "")
+    groups = slugs.groupBy(folded.alias("folded")).agg(F.count("*").alias("n"), F.min("slug").alias("first"), F.max("slug").alias("last"))
+    return groups.filter("first <> last").drop("last")
 
 
 def cached_answer(cache: DataFrame, query: Sequence[float], now: str, generation: int, least: float = 0.92, ttl: int = 3600) -> DataFrame:
@@ -68,17 +85,21 @@ def cached_answer(cache: DataFrame, query: Sequence[float], now: str, generation
     return hit.orderBy(F.desc("similarity"), "key").limit(1)
 
 
-def closure(seeds: DataFrame, derived: DataFrame, most: int = 32) -> DataFrame:
-    """(slug, depth): rows derived, directly or not, from seeds; one join a level until nothing new comes."""
+def closure(seeds: DataFrame, derived: DataFrame, most: int = 1000) -> DataFrame:
+    """(slug, depth): rows derived, directly or not, from seeds; one join a level until nothing new comes.
+
+    A chain longer than `most` raises an error: it isn't cut.
+    """
     seen = front = settled(seeds.select("slug").distinct().withColumn("depth", F.lit(0)))
     edges = derived.select(F.col("from_slug").alias("a"), F.col("to_slug").alias("b"))
     for level in range(1, most + 1):
         reached = front.join(edges, F.col("slug") == F.col("a")).select(F.col("b").alias("slug")).distinct()
         front = settled(reached.join(seen.select("slug"), "slug", "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen
+            return seen
+        # Written anew from time to time, so that its plan doesn't grow with the depth.
+        seen = settled(seen.unionByName(front)) if level % 16 == 0 else seen.unionByName(front)
+    raise ValueError(f"a chain of derivations is longer than {most}")
 
 
 def repointed(df: DataFrame, mapping: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -142,7 +163,7 @@ def symbol_at(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """The narrowest symbol around each (path, line), by bins of lines."""
     from millrace.operators.relational import latest_per_key, range_join
 
-    hits = range_join(lines, symbols.withColumnRenamed("path", "__p"), "line", "start_line", "end_line", 64).filter(F.col("path") == F.col("__p"))
+    hits = range_join(lines, symbols, "line", "start_line", "end_line", 64, keys=["path"])
     return latest_per_key(hits, ["path", "line"], [F.col("end_line") - F.col("start_line"), F.col("symbol")]).select("path", "line", "symbol")
 
 

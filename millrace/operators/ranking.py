@@ -18,7 +18,7 @@ INTENTS = {"exact": (0.95, 1.2), "factual": (1.0, 1.15), "howto": (1.0, 1.0), "t
 #: Factors by kind of source (fixed values).
 SOURCES = {"vault": 1.0, "memory": 0.7, "webhook": 0.5, "mailbox": 0.6, "calendar": 0.6, "transcript": 0.65, "code": 0.85, "github": 0.75, "chat": 0.6, "meeting": 0.65, "other": 0.8}
 #: Factors by path prefix (fixed values).
-CURATION = {"originals/": 1.5, "writing/": 1.4, "concepts/": 1.3, "people/": 1.2, "companies/": 1.2, "deals/": 1.2, "meetings/": 1.1, "media/articles/": 1.1, "repos/": 1.1, "daily/": 0.8, "media/x/": 0.7, "chat/": 0.5, "archive/": 0.5, "extracts/": 0.3}
+CURATION = {"originals/": 1.5, "writing/": 1.4, "concepts/": 1.3, "people/": 1.2, "companies/": 1.2, "deals/": 1.2, "meetings/": 1.1, "media/articles/": 1.1, "media/repos/": 1.1, "daily/": 0.8, "media/x/": 0.7, "chat/": 0.5, "archive/": 0.5, "extracts/": 0.3}
 
 
 def arm(hits: DataFrame, order: Sequence[Column], n: int, name: str) -> DataFrame:
@@ -134,10 +134,6 @@ def near_duplicate_hits(result: DataFrame, text: str = "content", limit: float =
     return result.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(lambda rows: keep(rows)[columns], schema)
 
 
-def evidence(title: Column, keyword: Column, vector: Column, rank: Column) -> Column:
-    return F.when(title, "title").when(keyword & vector & (rank <= 3), "both").when(vector & (rank <= 3), "high_vector").when(keyword, "keyword").otherwise("weak")
-
-
 def run_stages(result: DataFrame, stages: Sequence[Stage]) -> DataFrame:
     for s in stages:
         result = s(result)

@@ -112,8 +112,9 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 def top_and_other(df: DataFrame, group: str, value: str, n: int, other: str = "__other") -> DataFrame:
     """Sums of value by group for the n largest groups, and one row for the rest."""
     sums = df.groupBy(group).agg(F.sum(value).alias(value))
-    ranked = sums.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), F.asc(group))))  # one row a group
-    return ranked.groupBy(F.when(F.col("rank") <= n, F.col(group)).otherwise(other).alias(group)).agg(F.sum(value).alias(value))
+    top = sums.orderBy(F.desc(value), F.asc_nulls_first(group)).limit(n).select(F.col(group).alias("__g"), F.lit(True).alias("__top"))
+    marked = sums.join(F.broadcast(top), F.col(group).eqNullSafe(F.col("__g")), "left")  # n rows
+    return marked.groupBy(F.when(F.col("__top"), F.col(group)).otherwise(other).alias(group)).agg(F.sum(value).alias(value))
 
 
 def day_series(df: DataFrame, ts: str, first: str, last: str, aggs: dict[str, Column]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,24 @@ from millrace.functions.vectors import cosine
 from millrace.operators import ranking
 
 #: Words that an any-term retry leaves out (fixed values).
-STOPWORDS = ("and", "are", "but", "der", "die", "das", "for", "from", "has", "ist", "mit", "not", "oder", "that", "the", "und", "von", "was", "were", "with", "you")
+STOPWORDS = (
+    "the and for are but not was were with from this that these those there their they them then than what when where which who whom why how about into onto over also been being have has had does did its can "
+    "will would should could you your our his her all any some der die das und den dem des ein eine einer eines einem einen mit von für auf ist sind nicht auch als wie wer aus bei nach über oder aber sich wir ihr "
+    "sie zum zur dass noch nur war wird werden kann hat haben"
+).split()
+
+
+def identifiers(question: str) -> list[str]:
+    """The words of a question that name one thing: addresses, issue numbers, long numbers, hashes, versions, words with digits."""
+    import re
+
+    out = []
+    for word in re.findall(r"https?://[^\s<>\"`]+|[#\w.%+@/-]+", question):
+        w = word.rstrip(".,;:!?)]}")
+        named = re.match(r"https?://", w) or re.fullmatch(r"[\w.%+-]+@[\w.-]+\.\w{2,}", w) or re.fullmatch(r"#\d+|\d{6,}|[a-f\d]{7,}|v?\d+(\.\d+){2,}([-+][\w.-]+)?", w, re.IGNORECASE)
+        if named or re.fullmatch(r"[^\W_][\w./-]*", w) and re.search(r"\d", w) and re.search(r"[^\W\d_]", w):
+            out.append(w.lower())
+    return list(dict.fromkeys(out))[:16]
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,6 +39,68 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return words.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
+#: Weights of title and body words (fixed values).
+FIELD = {"title": 1.0, "body": 0.4}
+BUCKETS = 64
+
+
+def write_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", title: str | None = None, buckets: int = BUCKETS) -> None:
+    """Postings of a corpus, written once: (term, id, field, tf, positions) in `buckets` folders by checksum of the term, sorted by term.
+
+    A search reads the folders of its terms, and of them the row groups that may hold a term; texts aren't read again.
+    """
+    fields = [("body", text)] + ([("title", title)] if title else [])
+    every = F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("t")) for k, c in fields])
+    one = docs.select(F.col(doc_id).alias("id"), F.inline(every)).select("id", "field", F.posexplode(tokens(F.col("t"))).alias("pos", "term"))
+    post = one.groupBy("term", "id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    post = post.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
+    post.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def read_index(spark, path: str, terms: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """The postings of some terms: other buckets aren't read."""
+    import zlib
+
+    mine = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
+    schema = "term string, id long, field string, tf long, positions array<int>, bucket int"
+    return spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(*mine) & F.col("term").isin(*terms))
+
+
+def indexed_all(spark, path: str, terms: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """As search_all, from an index: id, score (log-damped counts, title words by their weight)."""
+    terms = list(dict.fromkeys(terms))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in FIELD.items() for x in kv]), F.col("field")) / FIELD["body"]
+    got = read_index(spark, path, terms, buckets).groupBy("id").agg(F.count_distinct("term").alias("n"), F.sum(weight * F.log1p("tf")).alias("score"))
+    return got.filter(F.col("n") == len(terms)).select("id", F.round("score", 9).alias("score"))
+
+
+def indexed_any(spark, path: str, terms: Sequence[str], most: int = 16, buckets: int = BUCKETS) -> DataFrame:
+    """As search_any, from an index."""
+    kept = [t for t in dict.fromkeys(terms) if len(t) >= 3 and t not in STOPWORDS][:most]
+    return read_index(spark, path, kept, buckets).groupBy("id").agg(F.count_distinct("term").cast("int").alias("score"))
+
+
+def indexed_ranked(spark, path: str, terms: Sequence[str], n: int, buckets: int = BUCKETS) -> DataFrame:
+    """As search_ranked, from an index: cover density of the terms' positions in bodies."""
+    terms = list(dict.fromkeys(terms))
+    k = F.array_position(F.lit(terms), F.col("term")).cast("int")
+    hits = read_index(spark, path, terms, buckets).filter("field = 'body'").groupBy("id").agg(F.count("*").alias("n"), F.sort_array(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("i"), k.alias("k")))))).alias("hits"))
+    return hits.filter(F.col("n") == len(terms)).select("id", F.round(covers(F.col("hits"), len(terms)), 9).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
+def covers(hits: Column, n: int) -> Column:
+    """Sum of 1 / width over the shortest spans with all n terms, of hits (i, k: place and number of a term, from 1) by place."""
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.transform(s["last"], lambda v, j: F.when(j == x["k"] - 1, x["i"]).otherwise(v))
+        first = F.array_min(last)
+        new = (first >= 0) & (first != s["first"])
+        return F.struct(last.alias("last"), F.when(new, first).otherwise(s["first"]).alias("first"), (s["score"] + F.when(new, 1.0 / (x["i"] - first + 1)).otherwise(0.0)).alias("score"))
+
+    zero = F.struct(F.array_repeat(F.lit(-1), n).alias("last"), F.lit(-1).alias("first"), F.lit(0.0).alias("score"))
+    return F.aggregate(hits, zero, step)["score"]
+
+
 def search_all(docs: DataFrame, terms: Sequence[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents with every term: id, score (log-damped term counts). One scan, no shuffle."""
     t = tokens(F.col(text))
@@ -33,16 +113,8 @@ def search_all(docs: DataFrame, terms: Sequence[str], doc_id: str = "doc_id", te
 def cover_density(text: Column, terms: Sequence[str]) -> Column:
     """Sum of 1 / width over the shortest spans that hold every term, one for each place where such a span can begin."""
     wanted = F.lit(list(terms))
-
-    def step(s: Column, x: Column) -> Column:
-        k = F.array_position(wanted, x["w"])
-        last = F.when(k > 0, F.transform(s["last"], lambda v, i: F.when(i == k - 1, x["i"]).otherwise(v))).otherwise(s["last"])
-        first = F.array_min(last)
-        new = (k > 0) & (first >= 0) & (first != s["first"])
-        return F.struct(last.alias("last"), F.when(new, first).otherwise(s["first"]).alias("first"), (s["score"] + F.when(new, 1.0 / (x["i"] - first + 1)).otherwise(0.0)).alias("score"))
-
-    zero = F.struct(F.array_repeat(F.lit(-1), len(terms)).alias("last"), F.lit(-1).alias("first"), F.lit(0.0).alias("score"))
-    return F.aggregate(F.transform(tokens(text), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), zero, step)["score"]
+    places = F.transform(tokens(text), lambda w, i: F.struct(i.alias("i"), F.array_position(wanted, w).cast("int").alias("k")))
+    return covers(F.filter(places, lambda x: x["k"] > 0), len(terms))
 
 
 def search_ranked(docs: DataFrame, terms: Sequence[str], n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,11 +172,13 @@ def knn_per_group(vectors: DataFrame, query: Sequence[float], n: int, group: str
     return best.select(group, (-F.col("b.k")).alias("id"), F.col("b.score").alias("score")).orderBy(F.desc("score"), "id").limit(n)
 
 
-def knn_blocks(vectors: DataFrame, queries: DataFrame, n: int, row_id: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """The n nearest rows of every query by cosine, exactly: query, id, score, rank; a query isn't its own neighbour.
+def knn_blocks(vectors: DataFrame, queries: DataFrame, n: int, row_id: str = "vec_id", vector: str = "embedding", block: int = 4096, same: str | None = None) -> DataFrame:
+    """The n nearest rows of every query by cosine, exactly: query, id, score, rank; a query isn't its own neighbour. With `same`,
+    only rows that have the query's value in that column count.
 
     Queries and rows are dealt into blocks of about `block`; each pair of blocks is one group, multiplied as matrices, which
-    leaves n rows a query; a last ranking merges those. Work is queries x rows, memory two blocks.
+    leaves n rows a query; a last ranking merges those. Work is queries x rows, memory two blocks. nearest_cells does
+    less work, for most of the neighbours.
     """
     import numpy as np
     import pandas as pd
@@ -113,14 +187,14 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, n: int, row_id: str = "ve
         return max(1, -(-df.count() // block))
 
     nq, nr = blocks(queries), blocks(vectors)
-    e = F.col(vector).cast("array<double>").alias("e")
+    key = F.xxhash64(same) if same else F.lit(0).cast("long")
     deal = lambda k: F.pmod(F.xxhash64(row_id), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    q = queries.select(F.col(row_id).alias("id"), e, deal(nq).alias("qb"), every(nr).alias("rb"))
-    r = vectors.select(F.col(row_id).alias("id"), e, deal(nr).alias("rb"), every(nq).alias("qb"))
+    q = queries.select(F.col(row_id).alias("id"), F.col(vector).alias("e"), key.alias("k"), deal(nq).alias("qb"), every(nr).alias("rb"))
+    r = vectors.select(F.col(row_id).alias("id"), F.col(vector).alias("e"), key.alias("k"), deal(nr).alias("rb"), every(nq).alias("qb"))
 
     def unit(x: pd.Series) -> np.ndarray:
-        m = np.stack(x.to_list())
+        m = np.stack(x.to_list()).astype(np.float64)
         return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +203,7 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, n: int, row_id: str = "ve
         right = right.sort_values("id")
         s = unit(left["e"]) @ unit(right["e"]).T
         ids = right["id"].to_numpy()
-        s[left["id"].to_numpy()[:, None] == ids[None]] = -np.inf
+        s[(left["id"].to_numpy()[:, None] == ids[None]) | (left["k"].to_numpy()[:, None] != right["k"].to_numpy()[None])] = -np.inf
         k = min(n + 1, s.shape[1])
         top = np.argsort(-s, axis=1, kind="stable")[:, :k]
         out = pd.DataFrame({"query": np.repeat(left["id"].to_numpy(), k), "id": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
@@ -140,6 +214,55 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, n: int, row_id: str = "ve
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def centres(vectors: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 8, row_id: str = "vec_id", vector: str = "embedding") -> list[list[float]]:
+    """Unit centres of cells of vectors, by spherical k-means over at most `sample` rows, those of least hash of their id."""
+    import numpy as np
+
+    rows = vectors.select(F.col(vector).alias("e")).orderBy(F.xxhash64(row_id), row_id).limit(sample).toArrow().column("e").to_pylist()
+    if not rows:
+        return []
+    m = np.array(rows, float)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    c = m[:: max(1, len(m) // cells)][:cells].copy()
+    for _ in range(rounds):
+        own = (m @ c.T).argmax(1)
+        for i in range(len(c)):
+            if (own == i).any():
+                c[i] = m[own == i].sum(0)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+    return c.tolist()
+
+
+def in_cells(vectors: DataFrame, cells: Sequence[Sequence[float]], near: int = 1, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(id, e, cell): every vector in the `near` cells whose centres are most like it. An index written once, by cell."""
+    import numpy as np
+
+    c = np.array(cells, np.float64).reshape(len(cells), -1) if len(cells) else np.zeros((0, 0))
+
+    def run(batches):
+        for b in batches:
+            m = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            k = min(near, len(c))
+            top = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :k] if len(c) and b.num_rows else np.zeros((b.num_rows, 0), int)
+            at = np.repeat(np.arange(b.num_rows), top.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(top.ravel().astype(np.int32))], ["id", "e", "cell"])
+
+    kind = vectors.schema[row_id].dataType.simpleString()
+    return vectors.select(F.col(row_id).alias("id"), F.col(vector).cast("array<double>").alias("e")).mapInArrow(run, f"id {kind}, e array<double>, cell int")
+
+
+def nearest_cells(index: DataFrame, queries: DataFrame, cells: Sequence[Sequence[float]], n: int, probe: int = 16, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The n nearest rows of each query among those of its `probe` nearest cells of an index (in_cells): query, id, score, rank.
+
+    A search reads only the cells that its queries come to; a cell of very many rows is a skewed join key, which adaptive
+    execution splits. Neighbours in other cells are missed: test_cells measures how few.
+    """
+    q = in_cells(queries, cells, probe, row_id, vector).select(F.col("id").alias("query"), F.col("e").alias("u"), "cell")
+    hits = q.join(index, "cell").filter(F.col("query") != F.col("id")).select("query", "id", cosine("u", "e").alias("score"))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+
+
 def hybrid(docs: DataFrame, vectors: DataFrame, terms: Sequence[str], query: Sequence[float], n: int = 10, weights: dict[str, float] | None = None) -> DataFrame:
     """Keyword and vector arms, fused by reciprocal rank, best n: id, score, arms. Documents and vectors share their ids."""
     fan = max(20, 3 * n)

@@ -237,9 +237,12 @@ def _(spark, d):
     return n.withColumn("tier", F.when(F.col("n") >= 10, 1).when(F.col("n") >= 5, 2).otherwise(3))
 
 
-@query("duplicate_pages", "SELECT md5(text) AS digest, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_pages", "SELECT doc_id, first, n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
 def _(spark, d):
-    return Tables(spark, d).documents.groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids")).filter("n > 1")
+    """Each page with copies, its group's first page and size: membership, not lists."""
+    docs = Tables(spark, d).documents.filter("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
+    groups = docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    return docs.join(groups, "digest").select("doc_id", "first", "n")
 
 
 @query("newer_mentions", "SELECT DISTINCT l.source_slug, p.updated_at FROM links l JOIN vault p ON p.slug = l.source_slug JOIN vault q ON q.slug = l.target_slug WHERE p.updated_at > q.updated_at AND l.target_slug = 'part/20' ORDER BY p.updated_at DESC, 1 LIMIT 8", "links vault")

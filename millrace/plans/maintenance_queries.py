@@ -16,23 +16,27 @@ from millrace.sources.relations import Tables
 VECTOR = "CAST(embedding AS DOUBLE[])"
 
 
-@query("similar_active_facts", f"SELECT id, other, round(s, 9) AS similarity FROM (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS k FROM (SELECT *, {VECTOR} AS e FROM embeddings) a JOIN (SELECT *, {VECTOR} AS e FROM embeddings) b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.3) WHERE k <= 5")
+@query("similar_active_facts", f"SELECT id, other, round(s, 9) AS similarity FROM (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.vec_id) AS k FROM (SELECT *, {VECTOR} AS e FROM embeddings WHERE vec_id % 20 = 0) a JOIN (SELECT *, {VECTOR} AS e FROM embeddings) b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE k <= 5 AND s >= 0.3")
 def _(spark, d):
-    e = Tables(spark, d).embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return M.similar_active(e, ["label"], "vec_id", "e", 0.3).withColumn("similarity", F.round("similarity", 9))
+    e = Tables(spark, d).embeddings
+    return M.similar_active(e, e.filter("vec_id % 20 = 0"), "label", "vec_id", "embedding", 0.3).withColumn("similarity", F.round("similarity", 9))
 
 
-@query("semantic_cache_lookup", "SELECT id FROM cosines WHERE cos > 0.92 AND id >= 0 ORDER BY cos DESC, id LIMIT 1", "cosines")
+@query("semantic_cache_lookup", "SELECT id FROM cosines WHERE cos > -0.2 AND 1800 + 60 * (id % 40) <= 3600 AND id % 4 >= 2 ORDER BY cos DESC, id LIMIT 1", "cosines")
 def _(spark, d):
-    t = Tables(spark, d)
-    cache = t.embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"), F.lit(3).alias("generation"))
-    return M.cached_answer(cache, t.query_vector, "2024-01-01 00:30:00", 2).select(F.col("key").alias("id"))
+    t, n = Tables(spark, d), F.col("vec_id")
+    made = F.lit("2024-01-01 00:00:00").cast("timestamp") - F.make_dt_interval(mins=(n % 40).cast("int"))
+    cache = t.embeddings.select(n.alias("key"), F.col("embedding").cast("array<double>").alias("vector"), made.alias("created_at"), (n % 4).alias("generation"))
+    return M.cached_answer(cache, t.query_vector, "2024-01-01 00:30:00", 2, least=-0.2).select(F.col("key").alias("id"))
 
 
 @query("consolidate_clusters")
 def _(spark, d):
-    e = Tables(spark, d).embeddings.select(F.col("label").alias("bucket"), "vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return M.leader_clusters(e, "bucket", "vec_id", "e", 0.3)
+    """Facts with a vector, by entity: as many as one entity has facts."""
+    t = Tables(spark, d)
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = t.facts.select("id", F.col("entity_slug").alias("bucket")).join(e, "id").withColumnRenamed("id", "vec_id")
+    return M.leader_clusters(rows, "bucket", "vec_id", "e", 0.0)
 
 
 @query("deterministic_embedding")
@@ -71,16 +75,17 @@ def _(spark, d):
     return f.withColumnRenamed("id", "a").join(g, ["entity_slug", "slot"]).filter((F.col("a") < F.col("b")) & M.divergent(F.col("fact"), F.col("other"))).select("a", "b")
 
 
-@query("message_signals", "SELECT conv_id, turn, contains(text, '?') AS question FROM conversations WHERE role = 'user'")
+@query("message_signals", r"SELECT conv_id, turn, contains(text, '?') OR regexp_matches(text, '(?i)\b(can|could|would) you\b') AS question, regexp_matches(text, '(?i)\bi(''ll| will)\b') AS promise, regexp_matches(text, '(?i)^\W*(thanks|thank you|ok|okay|got it|danke|merci|gracias)\b') AS ack, regexp_matches(text, '(?i)\b(unsubscribe|do not reply|no-?reply|automated message)\b') AS machine FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Thanks! ' WHEN 1 THEN 'I will do it. ' WHEN 2 THEN 'Do not reply: ' ELSE '' END || text AS text FROM conversations)")
 def _(spark, d):
-    s = M.message_signals(F.col("text"))
-    return Tables(spark, d).conversations.filter("role = 'user'").select("conv_id", "turn", s["question"].alias("question"))
+    said = F.concat(F.when(F.col("turn") % 4 == 0, "Thanks! ").when(F.col("turn") % 4 == 1, "I will do it. ").when(F.col("turn") % 4 == 2, "Do not reply: ").otherwise(""), "text")
+    return Tables(spark, d).conversations.select("conv_id", "turn", *[c.alias(k) for k, c in M.message_signals(said).items()])
 
 
-@query("thread_merge", "SELECT conv_id % 10 AS thread, md5(string_agg(text, chr(10) ORDER BY turn, conv_id)) AS digest, count(*) AS n FROM conversations GROUP BY 1")
+@query("thread_merge", "SELECT conv_id AS thread, turn, count(*) AS copies, md5(max(text)) AS digest FROM (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, turn, text FROM conversations WHERE role = 'user') GROUP BY 1, 2")
 def _(spark, d):
-    c = Tables(spark, d).conversations.groupBy((F.col("conv_id") % 10).alias("thread")).agg(F.sort_array(F.collect_list(F.struct("turn", "conv_id", "text"))).alias("m"))
-    return c.select("thread", F.md5(F.array_join(F.transform("m", lambda x: x["text"]), "\n")).alias("digest"), F.size("m").cast("long").alias("n"))
+    """Two stores of a thread's messages put together, each message once; rows of messages, so a long thread is no group."""
+    c = Tables(spark, d).conversations.select(F.col("conv_id").alias("thread"), "turn", "role", "text")
+    return M.merged_threads(c.drop("role"), c.filter("role = 'user'").drop("role")).select("thread", "turn", "copies", F.md5("text").alias("digest"))
 
 
 @query("embed_gaps", "SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id) AND n_chars > 200")
@@ -102,10 +107,11 @@ def _(spark, d):
     return e.withColumn("meeting", F.expr("event_id - event_id % 100")).join(m, "meeting").select(F.concat(F.lit("user/"), "user_id").alias("slug"), "event_id", "kind")
 
 
-@query("concept_grouping", "SELECT w AS concept, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS atoms FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size > 45) GROUP BY 1 HAVING count(*) >= 2")
+@query("concept_grouping", "SELECT w AS concept, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1 HAVING count(*) >= 2")
 def _(spark, d):
-    a = Tables(spark, d).part.filter("p_size > 45").select("p_partkey", F.explode(F.split("p_name", " ")).alias("concept"))
-    return a.groupBy("concept").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("atoms")).filter("n >= 2")
+    """Atoms by concept: their number and ends, since a common concept's list has no bound."""
+    a = Tables(spark, d).part.select("p_partkey", F.explode(F.split("p_name", " ")).alias("concept"))
+    return a.groupBy("concept").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last")).filter("n >= 2")
 
 
 @query("take_drift_candidates", "SELECT take_key FROM takes t JOIN vault v ON v.slug = 'customer/' || t.holder WHERE t.weight BETWEEN 0.3 AND 0.85 AND v.updated_at > TIMESTAMP '2000-02-01'", "takes vault")
@@ -121,10 +127,12 @@ def _(spark, d):
     return R.overlapping(o, ["o_custkey"], "o_orderkey", "o_orderstatus")
 
 
-@query("collapsed_slugs", "SELECT DISTINCT split_part(slug, '/', 1) AS segment FROM vault WHERE split_part(slug, '/', 1) NOT IN (SELECT slug FROM vault)", "vault")
+@query("collapsed_slugs", "SELECT folded, count(*) AS n, min(slug) AS first FROM (SELECT slug, replace(replace(slug, '/', ''), '-', '') AS folded FROM (SELECT slug FROM vault UNION ALL SELECT replace(slug, '/', '-') FROM vault WHERE type = 'company' UNION ALL SELECT replace(slug, 'r/', 'r') FROM vault WHERE slug LIKE 'customer/1%')) GROUP BY folded HAVING count(DISTINCT slug) > 1", "vault")
 def _(spark, d):
-    v = Tables(spark, d).vault
-    return v.select(F.split_part("slug", F.lit("/"), F.lit(1)).alias("segment")).distinct().join(v.select(F.col("slug").alias("segment")), "segment", "left_anti")
+    """Slugs that differ in their separators only."""
+    v = Tables(spark, d).vault.select("slug", "type")
+    every = v.select("slug").unionByName(v.filter("type = 'company'").select(F.replace("slug", F.lit("/"), F.lit("-")).alias("slug"))).unionByName(v.filter("slug like 'customer/1%'").select(F.replace("slug", F.lit("r/"), F.lit("r")).alias("slug")))
+    return M.collapsed(every)
 
 
 @query("job_statistics", "SELECT event_type, count(*) FILTER (event_id % 3 = 0) AS done, count(*) FILTER (event_id % 3 = 1) AS failed, count(*) FILTER (event_id % 3 = 2) AS queued FROM events GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from millrace.operators import search as S
 from millrace.operators.facts import drift
 from millrace.plans.registry import query
 from millrace.sources.relations import Tables
+from millrace.sources.shared import shared_folder
 
 TERMS = ["the", "ingoned", "from", "haste", "ende", "thing", "tion"]
 PAGE = "CASE d.source WHEN 'src0' THEN 'people/' WHEN 'src1' THEN 'media/x/' WHEN 'src2' THEN 'daily/' WHEN 'src3' THEN 'archive/' WHEN 'src4' THEN 'media/articles/' ELSE 'notes/' END || d.doc_id"
@@ -37,11 +40,39 @@ def _(spark, d):
     return S.search_all(Tables(spark, d).documents, ["the", "from"])
 
 
-@query("keyword_cover_density")
+DENSITY = f"""WITH w AS (SELECT doc_id AS id, unnest({TOKENS}) AS t, generate_subscripts({TOKENS}, 1) AS i FROM documents), h AS (SELECT * FROM w WHERE t IN ('the', 'from', 'and')),
+s AS (SELECT id, i, least(max(i) FILTER (t = 'the') OVER u, max(i) FILTER (t = 'from') OVER u, max(i) FILTER (t = 'and') OVER u) AS first, max(i) FILTER (t = 'the') OVER u IS NOT NULL AND max(i) FILTER (t = 'from') OVER u IS NOT NULL AND max(i) FILTER (t = 'and') OVER u IS NOT NULL AS whole FROM h WINDOW u AS (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT id, first, min(i) AS last FROM s WHERE whole GROUP BY id, first)
+SELECT id, round(sum(1.0 / (last - first + 1)), 9) AS score FROM c GROUP BY id ORDER BY 2 DESC, id LIMIT 50"""
+
+
+@query("keyword_cover_density", DENSITY)
 def _(spark, d):
     return S.search_ranked(Tables(spark, d).documents, ["the", "from", "and"], 50)
 
 
+def index(spark, d):
+    """Postings of the documents, written to the shared folder."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    S.write_index(Tables(spark, d).documents, path)
+    return path
+
+
+@query("keyword_index_ranked", DENSITY)
+def _(spark, d):
+    return S.indexed_ranked(spark, index(spark, d), ["the", "from", "and"], 50)
+
+
+@query("keyword_index_all", f"SELECT doc_id AS id, round(ln(1 + len(list_filter(t, lambda x: x = 'the'))) + ln(1 + len(list_filter(t, lambda x: x = 'from'))), 9) AS score FROM (SELECT doc_id, {TOKENS} AS t FROM documents) WHERE list_contains(t, 'the') AND list_contains(t, 'from')")
+def _(spark, d):
+    return S.indexed_all(spark, index(spark, d), ["the", "from"])
+
+
+@query("keyword_index_any", f"SELECT doc_id AS id, len(list_distinct(list_filter({TOKENS}, lambda x: x IN ('ingoned', 'haste', 'ende', 'thing', 'tion')))) AS score FROM documents WHERE score > 0")
+def _(spark, d):
+    return S.indexed_any(spark, index(spark, d), TERMS)
+
+
 @query("query_intents", "SELECT intent, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(q, '^\\W*\"[^\"]+\"\\W*$') THEN 'exact' WHEN regexp_matches(q, '(?i)\\b(how (do|to|can)|steps?)\\b') THEN 'howto' WHEN regexp_matches(q, '(?i)\\b(my|mine|i|me)\\b') THEN 'personal' WHEN regexp_matches(q, '(?i)\\b(who|when|where|which|what)\\b|\\?') THEN 'factual' ELSE 'topic' END AS intent FROM (SELECT CASE turn % 5 WHEN 0 THEN 'how to ' || text WHEN 1 THEN '\"' || replace(text, '\"', '') || '\"' WHEN 2 THEN 'who is ' || text ELSE text END AS q FROM conversations)) GROUP BY 1")
 def _(spark, d):
     from millrace.functions.questions import intent
@@ -69,9 +100,12 @@ def _(spark, d):
     return S.search_exact(Tables(spark, d).documents, "is the", 50)
 
 
-@query("curation_boost", f"SELECT doc_id, CASE WHEN starts_with(p, 'media/articles/') THEN 1.1 WHEN starts_with(p, 'media/x/') THEN 0.7 WHEN starts_with(p, 'archive/') THEN 0.5 WHEN starts_with(p, 'people/') THEN 1.2 WHEN starts_with(p, 'daily/') THEN 0.8 ELSE 1.0 END AS boost FROM (SELECT doc_id, {PAGE} AS p FROM documents d)")
+@query("curation_boost", "SELECT p_partkey AS id, [1.5, 1.4, 1.3, 1.2, 1.2, 1.2, 1.1, 1.1, 1.1, 0.8, 0.7, 0.5, 0.5, 0.3, 1.0][p_partkey % 15 + 1] AS boost FROM part")
 def _(spark, d):
-    return paths(Tables(spark, d).documents).select("doc_id", X.prefix_boost(F.col("path"), K.CURATION).alias("boost"))
+    """Every prefix, dealt over the parts."""
+    prefixes = F.lit([*K.CURATION, "notes/"])
+    path = F.concat(F.element_at(prefixes, (F.col("p_partkey") % (len(K.CURATION) + 1) + 1).cast("int")), F.col("p_partkey"))
+    return Tables(spark, d).part.select(F.col("p_partkey").alias("id"), X.prefix_boost(path, K.CURATION).alias("boost"))
 
 
 @query("hard_exclude", f"SELECT doc_id, p AS path FROM (SELECT doc_id, {PAGE} AS p FROM documents d) WHERE NOT starts_with(p, 'archive/') AND NOT starts_with(p, 'daily/')")
@@ -94,13 +128,6 @@ def _(spark, d):
     return S.fuzzy(Tables(spark, d).vault, "small rign 17")
 
 
-@query("name_variants", "SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON left(a.p_name, 2) = left(b.p_name, 2) AND a.p_name < b.p_name AND levenshtein(a.p_name, b.p_name) <= 5")
-def _(spark, d):
-    n = Tables(spark, d).part.select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 2).alias("k")), n.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 2).alias("k"))
-    return a.join(b, "k").filter((F.col("a") < F.col("b")) & (F.levenshtein("a", "b") <= 5)).select("a", "b")
-
-
 @query("fact_query_match", "SELECT id FROM facts WHERE len(list_intersect(regexp_extract_all(lower(fact), '[a-z0-9]+'), ['1', 'urgent', 'f'])) >= 3", "facts")
 def _(spark, d):
     return Tables(spark, d).facts.filter(F.size(F.array_intersect(X.tokens(F.col("fact")), F.lit(["1", "urgent", "f"]))) >= 3).select("id")
@@ -234,34 +261,17 @@ def _(spark, d):
     return K.type_diversity(c).select("id")
 
 
-@query("token_budget", "WITH t AS (SELECT doc_id AS id, text, source, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200) SELECT id FROM (SELECT id, sum(ceil(length(text) / 4) + ceil(length(source) / 4)) OVER (ORDER BY n_chars DESC, id ROWS UNBOUNDED PRECEDING) AS u FROM t) WHERE u <= 100000")
+@query("token_budget", FUSED + ", t AS (SELECT id, score, text, source FROM fused JOIN documents ON doc_id = id) SELECT id FROM (SELECT id, sum(ceil(coalesce(length(text), 0) / 4) + ceil(coalesce(length(source), 0) / 4)) OVER (ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS u FROM t) WHERE u <= 20000", "cosines")
 def _(spark, d):
-    t = Tables(spark, d).documents.orderBy(F.desc("n_chars"), "doc_id").limit(200).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("title"), F.col("n_chars").alias("score"))
-    return K.token_budget(t, 100000).select("id")
+    docs = Tables(spark, d).documents.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("content"), F.coalesce("source", F.lit("")).alias("title"))
+    return K.token_budget(fused(spark, d).join(docs, "id"), 20000).select("id")
 
 
 @query("near_duplicate_hits")
 def _(spark, d):
-    t = Tables(spark, d).documents.orderBy(F.desc("n_chars"), "doc_id").limit(100)
-    return K.near_duplicate_hits(t.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("n_chars").cast("double").alias("score"))).select("id")
-
-
-@query("evidence_labels", FUSED + " SELECT id, CASE WHEN l.rank IS NOT NULL AND v.rank IS NOT NULL AND least(l.rank, v.rank) <= 3 THEN 'both' WHEN v.rank <= 3 THEN 'high_vector' WHEN l.rank IS NOT NULL THEN 'keyword' ELSE 'weak' END AS evidence FROM fused LEFT JOIN lex l USING (id) LEFT JOIN vec v USING (id)", "cosines")
-def _(spark, d):
-    lex, vec = (a.select("id", F.col("rank").alias(n)) for a, n in zip(arms(spark, d), ("l", "v"), strict=True))
-    f = fused(spark, d).join(lex, "id", "left").join(vec, "id", "left")
-    both = F.col("l").isNotNull() & F.col("v").isNotNull() & (F.least("l", "v") <= 3)
-    label = F.when(both, "both").when(F.col("v") <= 3, "high_vector").when(F.col("l").isNotNull(), "keyword").otherwise("weak")
-    return f.select("id", label.alias("evidence"))
-
-
-@query("stage_pipeline")
-def _(spark, d):
-    """Curation, source and recency factors over a fused result, capped by source: one plan from a list of stages."""
-    docs = paths(Tables(spark, d).documents).select(F.col("doc_id").alias("id"), "path", "source")
-    scale = lambda c: lambda r: r.withColumn("score", F.col("score") * c)
-    stages = [lambda r: r.join(docs, "id"), scale(X.prefix_boost(F.col("path"), K.CURATION)), scale(K.source_boost(F.col("source"))), lambda r: K.cap_per(r, "source", 2)]
-    return K.run_stages(fused(spark, d), stages).select("id", F.round("score", 12).alias("score"))
+    """The hits of one search, whose arms bound their number."""
+    docs = Tables(spark, d).documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return K.near_duplicate_hits(fused(spark, d).select("id", "score").join(docs, "id")).select("id")
 
 
 RANKED = "ranked AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rank <= 10)"

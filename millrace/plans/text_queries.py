@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import entities as N
 from millrace.functions import text as X
 from millrace.operators import relational as R
 from millrace.plans.registry import query
@@ -74,21 +75,30 @@ def _(spark, d):
     return Tables(spark, d).documents.select(F.explode(X.injection_families(t)).alias("family")).groupBy("family").agg(F.count("*").alias("n"))
 
 
-@query("scrub_pii", "SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS had FROM documents")
+SCRUBBED = "text"
+for _kind, _p, _o, _mask in (("email", r"\b[\w.%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b", "gi", "[email]"), ("bearer", r"\b(?:bearer|Bearer)\s+[\w.~+/-]{10,}=*", "g", "[token]"), ("ip", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "g", "[ip]")):
+    SCRUBBED = f"regexp_replace({SCRUBBED}, '{_p}', '{_mask}', '{_o}')"
+
+
+@query("scrub_pii", f"SELECT doc_id, md5(s) AS digest, (length(s) - length(replace(s, '[email]', ''))) // 7 AS emails, (length(s) - length(replace(s, '[ip]', ''))) // 4 AS ips FROM (SELECT doc_id, {SCRUBBED} AS s FROM documents)")
 def _(spark, d):
-    return Tables(spark, d).documents.select("doc_id", F.contains(X.scrub(F.col("text")), F.lit("[EMAIL]")).alias("had"))
+    """Kinds whose patterns both engines read alike; test_masks covers all."""
+    s = N.masked(F.col("text"), ("email", "bearer", "ip4"))
+    n = lambda mask: F.floor((F.length(s) - F.length(F.replace(s, F.lit(mask), F.lit("")))) / len(mask))
+    return Tables(spark, d).documents.select("doc_id", F.md5(s).alias("digest"), n("[email]").alias("emails"), n("[ip]").alias("ips"))
 
 
-@query("snippet_cap", "SELECT doc_id, length(s) <= 120 AS ok FROM (SELECT doc_id, left(text, 100) AS s FROM documents)")
+@query("snippet_cap", r"SELECT doc_id, md5(CASE WHEN length(text) <= 120 THEN text WHEN regexp_matches(substr(text, 121, 1), '^\s$') THEN rtrim(h, ' ') WHEN w <> '' THEN w ELSE h END) AS digest FROM (SELECT doc_id, text, left(text, 120) AS h, regexp_extract(left(text, 120), '^(.*\S)\s+\S*$', 1, 's') AS w FROM documents)")
 def _(spark, d):
-    return Tables(spark, d).documents.select("doc_id", (F.length(X.cut_at_word(F.col("text"), 120)) <= 120).alias("ok"))
+    return Tables(spark, d).documents.select("doc_id", F.md5(X.cut_at_word(F.col("text"), 120)).alias("digest"))
 
 
-@query("word_jaccard", "SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents WHERE n_chars < 300) a JOIN (SELECT doc_id, source, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents WHERE n_chars < 300) b ON a.source = b.source AND a.doc_id < b.doc_id AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) > 0.85")
+@query("word_jaccard", r"WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.w) + len(b.w) = 0 THEN 1 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END, 9) AS similarity FROM w a JOIN w b ON b.doc_id = a.doc_id + 1")
 def _(spark, d):
-    t = Tables(spark, d).documents.filter("n_chars < 300").select("doc_id", "source", X.word_set(F.col("text")).alias("w"))
-    b = t.select(F.col("doc_id").alias("b"), "source", F.col("w").alias("v"))
-    return t.withColumnRenamed("doc_id", "a").join(b, "source").filter((F.col("a") < F.col("b")) & (X.jaccard(F.col("w"), F.col("v")) > 0.85)).select("a", "b")
+    """Word sets of neighbouring documents, over the whole table."""
+    t = Tables(spark, d).documents.filter("text is not null").select("doc_id", X.word_set(F.col("text")).alias("w"))
+    b = t.select((F.col("doc_id") - 1).alias("a"), F.col("doc_id").alias("b"), F.col("w").alias("v"))
+    return t.withColumnRenamed("doc_id", "a").join(b, "a").select("a", "b", F.round(X.jaccard(F.col("w"), F.col("v")), 9).alias("similarity"))
 
 
 @query("chunk_documents")
@@ -108,9 +118,10 @@ def _(spark, d):
     return c.select("conv_id", "l.role", "l.turn")
 
 
-@query("chat_days")
+@query("chat_days", "SELECT 'user' || user_id AS channel, CAST(ts AS DATE) AS day, count(*) AS n, md5(string_agg(strftime(ts, '%H:%M') || ' ' || event_type || ': ' || props, chr(10) ORDER BY ts, event_type, props)) AS digest FROM events GROUP BY 1, 2")
 def _(spark, d):
-    e = Tables(spark, d).events.select(F.col("event_type").alias("channel"), F.col("ts").alias("at"), F.col("user_id").cast("string").alias("who"), F.col("props").alias("text"))
+    """A user's day is a document: as small as a person's day is."""
+    e = Tables(spark, d).events.select(F.concat(F.lit("user"), "user_id").alias("channel"), F.col("ts").alias("at"), F.col("event_type").alias("who"), F.col("props").alias("text"))
     return C.chat_days(e).select("channel", "day", "n", F.md5("body").alias("digest"))
 
 
@@ -182,9 +193,16 @@ def _(spark, d):
     return t.documents.join(e, "doc_id", "left").groupBy(F.col("source").alias("source_id")).agg(F.count("*").alias("documents"), F.count("has").alias("embedded"), F.max("n_chars").alias("longest"))
 
 
-@query("quarantine_patterns", "SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1 ORDER BY n DESC, word LIMIT 3")
+PATTERNS = (("shout", "[A-Z]{12,}"), ("marks", "[!?#%&*]{3,}"), ("again", "(?i)click here"), ("digits", "[0-9]{12,}"))
+
+
+@query("quarantine_patterns", " UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) AS n, min(doc_id) AS first FROM documents WHERE regexp_matches(text, '{p}')" for k, p in PATTERNS))
 def _(spark, d):
-    return Tables(spark, d).part.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(3)
+    """How many documents each pattern of a quarantine would hold, and the first of them; one scan."""
+    hit = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in PATTERNS]))
+    found = Tables(spark, d).documents.select("doc_id", F.explode(hit).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    names = spark.range(1).select(F.explode(F.lit([k for k, _ in PATTERNS])).alias("pattern"))
+    return names.join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"), "first")
 
 
 @query("quality_report", "SELECT quality, toxic, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM labels JOIN documents USING (doc_id) GROUP BY ALL")

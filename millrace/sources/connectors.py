@@ -6,6 +6,9 @@ by inference, so a job's plan doesn't depend on its data.
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,19 +143,67 @@ def issues(pages: DataFrame) -> DataFrame:
     return one.select("number", "i.*")
 
 
+#: Character sets of encoded words that Spark decodes, by the names that headers use (fixed values).
+CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "UTF-8", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "windows-1252", "utf-16": "UTF-16"}
+
+
 def decoded_words(text: Column) -> Column:
-    """=?charset?B?...?= parts of a header decoded (UTF-8 and Latin-1)."""
-    part = r"(?i)=\?(utf-8|iso-8859-1)\?b\?([A-Za-z0-9+/=]*)\?="
-    plain = lambda w: F.decode(F.unbase64(F.regexp_extract(w, part, 2)), "UTF-8")
-    found = F.regexp_extract_all(text, F.lit(part), F.lit(0))
-    return F.aggregate(found, text, lambda s, w: F.replace(s, w, plain(w)))
-
-
-def write_markdown(docs: DataFrame, path: str, body: str = "body", by: str | None = None) -> None:
-    """One text record per document, in folders by a column if one is named."""
-    out = docs.select(F.col(body).alias("value"), *([by] if by else []))
-    writer = out.write.mode("overwrite").option("lineSep", "\n\x1e\n")
-    (writer.partitionBy(by) if by else writer).text(path)
+    """=?charset?B?...?= and =?charset?Q?...?= words of a header decoded, each by its own character set; white space between two of
+    them goes. Words of one character set that follow each other are decoded together, since a character may be cut between them."""
+    word = r"=\?([^?\s*]{1,64})(?:\*[^?\s]{0,32})?\?([BbQq])\?([^?\s]*)\?="
+    joined = F.regexp_replace(text, rf"({word})\s+(?={word})", "$1")
+    found = F.regexp_extract_all(joined, F.lit(word), F.lit(0))
+
+    def octets(w: Column) -> Column:
+        body = F.regexp_extract(w, word, 3)
+        # Q: "_" is a space and "=XX" a byte; other characters are their own byte.
+        quoted = F.regexp_replace(F.regexp_replace(F.hex(F.replace(body, F.lit("_"), F.lit(" "))), "(..)", "$1,"), r"3D,3([0-9]),3([0-9]),", "$1$2,")
+        quoted = F.regexp_replace(F.regexp_replace(F.regexp_replace(quoted, r"3D,3([0-9]),4([1-6]),", "$1<$2,"), r"3D,4([1-6]),3([0-9]),", "<$1$2,"), r"3D,4([1-6]),4([1-6]),", "<$1<$2,")
+        for i, c in enumerate("ABCDEF"):
+            quoted = F.replace(quoted, F.lit(f"<{i + 1}"), F.lit(c))
+        return F.when(F.lower(F.regexp_extract(w, word, 2)) == "q", F.unhex(F.replace(quoted, F.lit(","), F.lit("")))).otherwise(F.unbase64(body))
+
+    def plain(charset: Column, data: Column) -> Column:
+        out = F.decode(data, "UTF-8")
+        for name, spark in CHARSETS.items():
+            out = F.when(charset == name, F.decode(data, spark)).otherwise(out)
+        return out
+
+    # Runs of neighbouring words of one character set: (set, hex so far, text so far).
+    runs = F.regexp_extract_all(joined, F.lit(rf"(?:{word})+"), F.lit(0))
+
+    def run_text(r: Column) -> Column:
+        words = F.regexp_extract_all(r, F.lit(word), F.lit(0))
+        charset = lambda w: F.lower(F.regexp_extract(w, word, 1))
+        zero = F.struct(F.lit("").alias("set"), F.lit("").alias("hex"), F.lit("").alias("out"))
+        done = lambda s: F.concat(s["out"], plain(s["set"], F.unhex(s["hex"])))
+        step = lambda s, w: F.when(s["set"] == charset(w), F.struct(s["set"].alias("set"), F.concat(s["hex"], F.hex(octets(w))).alias("hex"), s["out"].alias("out"))).otherwise(F.struct(charset(w).alias("set"), F.hex(octets(w)).alias("hex"), done(s).alias("out")))
+        return F.aggregate(words, zero, step, done)
+
+    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(runs, joined, lambda s, r: F.replace(s, r, run_text(r))))
+
+
+def write_markdown(docs: DataFrame, path: str, name: str, body: str = "body") -> int:
+    """One Markdown file for each document under `path`, a folder that all executors share, named by a column (`a/b` is b.md in a);
+    how many were written. markdown_files reads them back."""
+    from collections.abc import Iterator
+    from pathlib import Path
+
+    root = path.removeprefix("file://")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts = [p for p in (n or "").split("/") if p not in ("", ".", "..")] or ["untitled"]
+                file = Path(root, *parts[:-1], f"{parts[-1]}.md")
+                file.parent.mkdir(parents=True, exist_ok=True)
+                # A task that runs twice writes the same file: first aside, then in its place.
+                aside = file.with_name(f".{file.name}.{uuid.uuid4().hex}")
+                aside.write_text(t or "", encoding="utf-8")
+                aside.replace(file)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    return docs.select(F.col(name).cast("string"), F.col(body).cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def replace_by_key(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:

@@ -63,7 +63,7 @@ def loop_states(turns: DataFrame, late: str = "1 hour", wait: str = "1 day") ->
         if state.hasTimedOut:
             state.remove()
             if was == "open":
-                yield pd.DataFrame({"thread": [key[0]], "state": ["expired"], "at": [pd.Timestamp.fromtimestamp(state.getCurrentWatermarkMs() / 1000)]})
+                yield pd.DataFrame({"thread": [key[0]], "state": ["expired"], "at": [pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")]})
             return
         last = pd.concat(list(rows)).sort_values("at").iloc[-1]
         now = "open" if last["role"] == "user" else "closed"

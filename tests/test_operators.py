@@ -77,13 +77,6 @@ def test_traverse_gives_least_depths_and_survives_cycles(spark):
     assert {tuple(r) for r in G.traverse(e, ["a"], 5, types=["t"]).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
-def test_graph_signals(spark):
-    hits = spark.createDataFrame([("a", 1.0, "s"), ("b", 0.9, "s"), ("c", 0.8, None)], "slug string, score double, session string")
-    links = spark.createDataFrame([("a", "c"), ("b", "c"), ("x", "a")], "source_slug string, target_slug string")
-    got = {r.slug: r.score for r in G.graph_signals(hits, links).collect()}
-    assert got == pytest.approx({"a": 1.0, "b": 0.9 * 0.95, "c": 0.8 * 1.05})
-
-
 def test_decay_and_slots(spark):
     f = spark.createDataFrame([("event", 1.0, "2020-01-01", None), ("odd", 0.7, "2020-01-01", None), ("fact", 0.9, "2020-01-01", "2020-01-02")], "kind string, confidence double, w string, u string")
     f = f.select("kind", "confidence", F.col("w").cast("timestamp_ntz").alias("written_at"), F.to_date("u").alias("valid_until"))
