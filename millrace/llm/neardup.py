@@ -10,9 +10,12 @@ themselves, and every pair that reaches AGREE is confirmed on full sets.
 No list is expanded into all its pairs. First each list is compared with its most central member alone, which joins groups
 of near copies; long lists that still span several components are compared with one more member at a time, while that
 helps. Then only lists that span components are left, and only pairs across components are looked at: members outside the
-list's largest component against all members. Long lists of that kind (a passage that makes up most of many short
-documents, outliers of a large group) go through a prefix join on their full sets: similar sets share one of the rarest fifth of
-their shingles, and what a set shares with no other bounds its similarity to any. Nothing is capped or left out.
+list's largest component against all members, and a pair that meets in several lists is made in one of them: each post carries
+the FEW least tokens of its node, and where two nodes share some of these, the least of them alone makes the pair. Members of long
+lists of that kind (a passage that makes up most of many short documents, outliers of a large group) go through a prefix join on
+their full sets instead, which is exact: similar sets share one of the rarest fifth of their shingles, and what a set shares with no
+other bounds its similarity to any. Nothing is capped or left out. Whether a list is long changes only the cost: signatures miss a
+pair about once in 10^5, full sets never.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; fewer words than `shingle` are one
 shingle; rows with one doc_id count as one document, rows without one as a document each, after those with one; equal rows all get their row; an empty table gives an empty
@@ -28,12 +31,14 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import SPACED, U, Words, bitmap, grams, marked, mix, words
 from millrace.llm.components import components
-from millrace.llm.dropping import KEY, keyed
+from millrace.llm.dropping import keyed
 from millrace.llm.stash import stash
 
 COORDS, AGREE = 64, 36
 #: Lists of more members that still span components after the first pass are joined on full sets.
 LONG_LIST = 64
+#: Least tokens of a node that each of its posts carries.
+FEW = 8
 #: Bits of a set that are compared before a pair of such a join is taken on.
 BITS = 512
 #: Ratio of the bounds of a band of set sizes in such a join.
@@ -123,6 +128,10 @@ def _agree(a: str, b: str) -> Column:
     return F.expr(f"{COORDS} - ({' + '.join(differ)})")
 
 
+def _few(tokens: Column) -> Column:
+    return F.slice(F.sort_array(tokens), 1, FEW).alias("few")
+
+
 def _sized(a: str, b: str, percent: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
@@ -147,10 +156,10 @@ def _led(post: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
 
-def _pairs_across(post: DataFrame, percent: int, sets: bool = False) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different components in one list, that sizes and signatures allow; for posts of sets, that
-    sizes and `least` allow (see _set_posts)."""
-    cols = ["tok", "node", "n", "comp", "major", "seen", *(["shared", "bits"] if sets else ["pack"])]
+def _across(post: DataFrame, percent: int, sets: bool) -> DataFrame:
+    """Pairs (node, node2) of different components in one list, that sizes and signatures allow; for posts of sets, that sizes and
+    `least` allow (see _set_posts). A pair of many common lists is made in one, or in few if both carry none of them."""
+    cols = ["tok", "node", "n", "comp", "major", "seen", "few", *(["shared", "bits"] if sets else ["pack"])]
     y = post.select(*[F.col(c).alias(f"{c}2") for c in cols])
     x = post.select(*cols).filter(~F.col("major"))
     cond = (F.col("comp") != F.col("comp2")) & (F.col("major2") | (F.col("node") < F.col("node2"))) & ~F.col("seen") & ~F.col("seen2") & _sized("n", "n2", percent)
@@ -161,17 +170,26 @@ def _pairs_across(post: DataFrame, percent: int, sets: bool = False) -> DataFram
             cond = cond & F.expr(f"{100 + percent} * ({most}) >= {percent} * (n + n2)")
     else:
         cond = cond & (_agree("pack", "pack2") >= AGREE)
-    return x.join(y, (F.col("tok") == F.col("tok2")) & cond).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    here = F.col("tok") == F.coalesce(F.array_min(F.array_intersect("few", "few2")), "tok")
+    return x.join(y, (F.col("tok") == F.col("tok2")) & cond & here).select("node", "node2")
+
+
+def _pairs_across(post: DataFrame, percent: int, sets: bool = False) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of _across."""
+    return _across(post, percent, sets).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    """The pairs whose full sets are similar enough.
+
+    No aggregation follows the joins in their stages, so adaptive execution can split a node of very many pairs.
+    """
     pairs = stash(pairs)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stash(_sets(docs, doc_id, text, nodes, shingle))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return stash(both.filter(F.expr(f"100 * common >= {percent} * (size(sa) + size(sb) - common)")).select("a", "b").distinct())
+    return stash(both.filter(F.expr(f"100 * common >= {percent} * (size(sa) + size(sb) - common)")).select("a", "b"))
 
 
 def _set_posts(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -193,17 +211,17 @@ def _set_posts(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     floor = F.greatest(low, F.ceil(F.pow(F.lit(BAND), F.col("other"))) - 1)
     take = F.col("shared") - F.ceil((F.col("n") + floor) * percent / (100 + percent)) + 1
     mine = mine.withColumn("take", take.cast("int")).filter("take > 0")
-    posts = mine.select("node", "n", "shared", "bits", "own", "other", F.inline(F.slice("toks", F.lit(1), F.col("take"))))
-    key = F.xxhash64("tok", F.least("own", "other"), F.greatest("own", "other"))
-    return posts.select(key.alias("tok"), "node", "n", "shared", "bits", F.lit(False).alias("seen"))
+    keys = F.transform(F.slice("toks", F.lit(1), F.greatest("take", F.lit(0))), lambda t: F.xxhash64(t["tok"], F.least("own", "other"), F.greatest("own", "other")))
+    posts = mine.withColumn("keys", keys)
+    return posts.select(F.explode("keys").alias("tok"), "node", "n", "shared", "bits", _few(F.col("keys")), F.lit(False).alias("seen"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least doc_id reachable over links; null if no document there has one), kept
     (the document is the component's first, by doc_id), and first_copy (kept, and the first row of its document: one row per
     component)."""
-    docs, anon = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    out = _near_duplicates(docs, KEY, "text", shingle, percent)
+    docs, key, anon = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    out = _near_duplicates(docs, key, "text", shingle, percent)
     return out.withColumns({c: F.col(c)["id"] for c in ("doc_id", "component_id")}) if anon else out
 
 
@@ -223,7 +241,8 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
     rare = coords.join(freq, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
     take = F.expr(f"{COORDS - AGREE + 1} - ({COORDS} - size(toks))")
     weight = F.aggregate("toks", F.lit(0).cast("long"), lambda x, t: x + t["c"])
-    post = rare.filter(take > 0).join(nodes.select("node", "n", "pack"), "node").select("node", "n", "pack", weight.alias("weight"), F.inline(F.slice("toks", F.lit(1), take))).drop("c")
+    post = rare.filter(take > 0).select("node", weight.alias("weight"), F.transform(F.slice("toks", F.lit(1), F.greatest(take, F.lit(0))), lambda t: t["tok"]).alias("keys")).join(nodes.select("node", "n", "pack"), "node")
+    post = post.select("node", "n", "pack", "weight", _few(F.col("keys")), F.explode("keys").alias("tok"))
     post = stash(post.withColumn("seen", F.lit(False)).withColumn("comp", F.col("node")))
 
     def confirm(pairs: DataFrame) -> DataFrame:

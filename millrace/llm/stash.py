@@ -1,28 +1,13 @@
-"""Cutting lineage with a Parquet table in the folder that the cluster shares."""
+"""Cutting lineage with shared tables, and the bounds of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from millrace.sources.shared import settled as stash
+from millrace.sources.shared import shared_folder as shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's checkpoint folder; a new local one only where neither is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-millrace-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """df, written once and read back: later uses neither recompute it nor depend on any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "small_batches", "stash"]
 
 
 def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
