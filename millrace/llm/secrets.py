@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import free
+
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run that is too short fails as a whole, and so do its ends: the bound can be in the pattern.
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
@@ -44,6 +46,8 @@ DIGITS, UUID, PATH = ALLOW[0], ALLOW[1], ALLOW[4]
 PART = f"example|sample|placeholder|changeme|dummy|lorem|0123456789|qwertyuiop(asdfghjkl(zxcvbnm)?)?|abcdefghij{''.join(f'({c}' for c in 'klmnopqrstuvwxyz')}{')?' * 16}"
 WORDS = f"(?<![a-z])[a-z]{{1,{WINDOW - 1}}}(?![a-z])|[-_/+]"
 KINDS = ("assign", "access", "hex", "entropy")
+#: Matches, or characters, that are worked on at once.
+PART_SIZE = 128
 SPAN = "array<struct<start:bigint,rank:int,stop:bigint,kind:string>>"
 
 
@@ -51,16 +55,40 @@ def _none(kind: str = SPAN) -> Column:
     return F.array().cast(kind)
 
 
+def _let(value: Column, body) -> Column:
+    """body of value, which is worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _appended(items: Column, first: Column, kind: str, step) -> Column:
+    """An array with an item for each of items; step gives (next state, item) from (state, item of items)."""
+
+    def one(s: Column, x: Column) -> Column:
+        state, item = step(s["at"], x)
+        return F.struct(state.alias("at"), F.concat(s["out"], F.array(item)).alias("out"))
+
+    return F.aggregate(items, F.struct(first.alias("at"), _none(f"array<{kind}>").alias("out")), one)["out"]
+
+
 def located(text: Column, pattern: str | Column, found: Column) -> Column:
-    """(start, match) of each of `found`, all matches of pattern in text, from the lengths of what lies between."""
+    """(start, match) of each of `found`, all matches of pattern in text, from the lengths of what lies between.
+
+    Appending to an array copies it, so running sums are taken over parts of PART_SIZE matches, and over the sums of parts.
+    """
     between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    step = lambda s, x: F.struct(
-        (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-        F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), x["hit"].alias("hit")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), _none("array<struct<start:bigint,hit:string>>").alias("out"))
-    pairs = F.zip_with(between, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(_none("array<struct<start:bigint,hit:string>>"))
+    pairs = F.zip_with(between, found, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    kind = "struct<start:bigint,hit:string>"
+    width = lambda x: x["gap"] + F.length(x["hit"])
+
+    def part(items: Column, first: Column) -> Column:
+        return _appended(items, first, kind, lambda at, x: (at + width(x), F.struct((at + x["gap"]).alias("start"), x["hit"].alias("hit"))))
+
+    def placed(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + width(x)))
+        return F.flatten(F.zip_with(parts, _appended(sums, F.lit(0).cast("long"), "bigint", lambda at, n: (at + n, at)), part))
+
+    cut = lambda ps: F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / PART_SIZE).cast("int")), lambda i: F.slice(ps, i * PART_SIZE + 1, F.lit(PART_SIZE)))
+    return F.when(F.size(found) > 0, _let(pairs, lambda ps: _let(cut(ps), placed))).otherwise(_none(f"array<{kind}>"))
 
 
 def _span(start: Column, stop: Column, kind: str) -> Column:
@@ -82,19 +110,24 @@ def left_over(cand: Column) -> Column:
 
 
 def hot_window(bar: Column, left: Column) -> Column:
-    """struct(first, last) around the windows over the bar, end exclusive; both -1 if there is none."""
+    """struct(first, last) around the windows over the bar, end exclusive; both -1 if there is none.
+
+    The counts of a window are the characters of a string, by code, from "0" on: a step reads and writes two of them.
+    """
     part = F.lit([n * math.log2(n) if n else 0.0 for n in range(WINDOW + 1)])  # n log2 n
+    count = lambda counts, code: F.ascii(F.substring(counts, code + 1, 1)) - ord("0")
+    put = lambda counts, code, n: F.overlay(counts, F.char(n + ord("0")), code + 1, F.lit(1))
 
     def step(s: Column, x: Column) -> Column:
         comes, goes, i = x["comes"], x["goes"], x["i"]
-        n = lambda code: F.when(code < 0, 0).otherwise(F.get(s["counts"], code))
-        more = F.get(part, n(comes) + 1) - F.get(part, n(comes))
-        less = F.when(goes < 0, 0.0).otherwise(F.get(part, n(goes) - 1) - F.get(part, n(goes)))
-        total = F.when(comes == goes, s["total"]).otherwise(s["total"] + more + less)
-        counts = F.transform(s["counts"], lambda c, k: c + (k == comes).cast("int") - (k == goes).cast("int"))
+        moves = comes != goes
+        n, m = count(s["counts"], comes), count(s["counts"], goes)
+        less = F.when(goes < 0, 0.0).otherwise(F.get(part, m - 1) - F.get(part, m))
+        total = F.when(moves, s["total"] + F.get(part, n + 1) - F.get(part, n) + less).otherwise(s["total"])
+        fewer = F.when(goes < 0, s["counts"]).otherwise(put(s["counts"], goes, m - 1))
         over = (i >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= s["bar"])
         return F.struct(
-            counts.alias("counts"),
+            F.when(moves, put(fewer, comes, n + 1)).otherwise(s["counts"]).alias("counts"),
             total.alias("total"),
             s["bar"].alias("bar"),
             F.when(over & (s["first"] < 0), x["from"]).otherwise(s["first"]).alias("first"),
@@ -103,30 +136,30 @@ def hot_window(bar: Column, left: Column) -> Column:
 
     steps = F.transform(left, lambda c, i: F.struct(c["code"].alias("comes"), F.coalesce(F.get(left, i - WINDOW)["code"], F.lit(-1)).alias("goes"), F.get(left, i - (WINDOW - 1))["at"].alias("from"), c["at"].alias("at"), i.alias("i")))
     none = F.lit(-1).cast("long")
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), bar.alias("bar"), none.alias("first"), none.alias("last"))
+    zero = F.struct(F.lit("0" * 128).alias("counts"), F.lit(0.0).alias("total"), bar.alias("bar"), none.alias("first"), none.alias("last"))
     return F.aggregate(steps, zero, step)
 
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """df with one more column: array of (start, rank, stop, kind), sorted."""
-    t = "__text"
-    runs = lambda p: F.when(F.col("__long"), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(_none("array<string>"))
+    t, assign, long, access, hexes, cand, warmed = names = free(df, "text", "assign", "long", "access", "hex", "cand", "warm")
+    runs = lambda p: F.when(F.col(long), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(_none("array<string>"))
     seen = (
         df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
-        .withColumn("__assign", F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0)))
-        .withColumn("__long", F.col(t).rlike(LONG_RUN))
-        .withColumns({"__access": runs(ACCESS), "__hex": runs(HEX), "__cand": runs(CANDIDATE)})
-        .withColumns({f"__{k}": located(F.col(t), p, F.col(f"__{k}")) for k, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("cand", CANDIDATE))})
+        .withColumn(assign, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(0)))
+        .withColumn(long, F.col(t).rlike(LONG_RUN))
+        .withColumns({access: runs(ACCESS), hexes: runs(HEX), cand: runs(CANDIDATE)})
+        .withColumns({c: located(F.col(t), p, F.col(c)) for c, p in ((assign, ASSIGN), (access, ACCESS), (hexes, HEX), (cand, CANDIDATE))})
     )
-    whole = lambda k: F.transform(f"__{k}", lambda x: _span(x["start"], x["start"] + F.length(x["hit"]), k))
-    kept = F.filter("__assign", lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
-    warm = F.transform(F.transform("__cand", left_over), lambda x: F.struct(x["start"].alias("start"), hot_window(x["bar"], x["left"]).alias("w")))
-    added = F.transform(F.filter("__warm", lambda x: x["w"]["first"] >= 0), lambda x: _span(x["start"] + x["w"]["first"], x["start"] + x["w"]["last"], "entropy"))
+    whole = lambda c, k: F.transform(c, lambda x: _span(x["start"], x["start"] + F.length(x["hit"]), k))
+    kept = F.filter(assign, lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= 6)
+    warm = F.transform(F.transform(cand, left_over), lambda x: F.struct(x["start"].alias("start"), hot_window(x["bar"], x["left"]).alias("w")))
+    added = F.transform(F.filter(warmed, lambda x: x["w"]["first"] >= 0), lambda x: _span(x["start"] + x["w"]["first"], x["start"] + x["w"]["last"], "entropy"))
     return (
-        seen.withColumn("__assign", kept)
-        .withColumn("__warm", warm)
-        .withColumn(out, F.array_sort(F.concat(whole("assign"), whole("access"), whole("hex"), added)))
-        .drop(t, "__assign", "__long", "__access", "__hex", "__cand", "__warm")
+        seen.withColumn(assign, kept)
+        .withColumn(warmed, warm)
+        .withColumn(out, F.array_sort(F.concat(whole(assign, "assign"), whole(access, "access"), whole(hexes, "hex"), added)))
+        .drop(*names)
     )
 
 
@@ -144,14 +177,15 @@ def listed(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with each span of its text replaced by mark; overlapping spans become one. Texts without spans, null included, stay."""
+    spans, cut = free(df, "spans", "cut")
     step = lambda s, x: F.struct(
         F.greatest(s["at"], x["stop"]).alias("at"),
         F.when(x["start"] >= s["at"], F.concat(s["out"], F.substr(F.col(text), s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
     )
-    got = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
+    got = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
     return (
-        with_spans(df, text, "__spans")
-        .withColumn("__cut", F.when(F.size("__spans") > 0, got))
-        .withColumn(text, F.when(F.col("__cut").isNotNull(), F.concat(F.col("__cut")["out"], F.substr(F.col(text), F.col("__cut")["at"].cast("int") + 1))).otherwise(F.col(text)))
-        .drop("__spans", "__cut")
+        with_spans(df, text, spans)
+        .withColumn(cut, F.when(F.size(spans) > 0, got))
+        .withColumn(text, F.when(F.col(cut).isNotNull(), F.concat(F.col(cut)["out"], F.substr(F.col(text), F.col(cut)["at"].cast("int") + 1))).otherwise(F.col(text)))
+        .drop(spans, cut)
     )
