@@ -1,10 +1,16 @@
 """Edit-aware token counts: a segment tree of pre-tokens per document.
 
 A text is cut into pre-tokens by the tokenizer's pattern; each is encoded on its own, so a text's count is the sum of its
-pre-tokens' counts. No pre-token holds a space behind a letter or digit, so every such place is a boundary whatever lies around
-it. Leaves are runs of pre-tokens of about LEAF characters between such places (characters, tokens); inner nodes hold sums. An
-edit finds the leaves that hold the characters from the second before it to the first behind it; their outer boundaries
-are untouched, so only these leaves are encoded again, and only sums above them change.
+pre-tokens' counts. Some places are boundaries whatever lies around them: before white space behind anything else; between an ASCII
+letter or digit and an ASCII mark; between two letters of scripts written without spaces, or such a letter and a mark of theirs,
+where no entry of the vocabulary holds the two bytes that meet (no merge can cross them). A leaf is a run of pre-tokens, or of
+pieces of a long one, of about LEAF characters between such places (characters, tokens): a leaf for each pre-token would make the
+tree many times as large as its text. Inner nodes hold sums.
+
+A batch of edits finds the leaves that hold the characters from the second before each edit to the first behind it; the outer
+boundaries of neighbouring ones are untouched, so only these leaves are encoded again, and only sums above them change. If they
+become more leaves than they were, sums are added up anew over all leaves; no other leaf is encoded. The text is put together
+once for a batch.
 
 The tree travels as two arrays in heap order (node 1 is the root, node i has children 2i and 2i + 1) beside its text, so a
 later batch of edits needs the text and the arrays, not a new count. Building is one pass with no shuffle; edits from a table
@@ -42,8 +48,10 @@ def default_vocabulary() -> str:
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-#: A letter or digit before a space: a pre-token ends here.
-_PLACE = re.compile(r"\w(?= )")
+#: Letters of scripts written without spaces (kana, ideographs), and marks between them.
+_CJK, _CJK_MARK = "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5", "\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+#: A pre-token ends here, or (a CJK letter before another one) may be cut here.
+_PLACE = re.compile(rf"\S(?=[ \t-\r])|[A-Za-z0-9](?=[!-/:-@\[-`{{-~])|[{_CJK}](?=[{_CJK}{_CJK_MARK}])")
 
 
 @cache
@@ -56,13 +64,26 @@ class Counter:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # Pairs of bytes that meet inside some entry.
+        self.meets = np.zeros((256, 256), bool)
+        for entry in ranks:
+            if len(entry) > 1:
+                x = np.frombuffer(entry, np.uint8)
+                self.meets[x[:-1], x[1:]] = True
+
+    def place(self, text: str, at: int) -> int:
+        """The first boundary behind a character at or after `at`; the text's end if there is none."""
+        for m in _PLACE.finditer(text, at):
+            end = m.end()
+            if m[0] < "\u3041" or not self.meets[m[0].encode()[-1], text[end].encode()[0]]:
+                return end
+        return len(text)
 
     def leaves(self, text: str) -> tuple[list[int], list[int]]:
         """Characters and tokens of each leaf of a text that starts at a boundary."""
         encode, sizes, counts, at, n = self.coder.encode_ordinary, [], [], 0, len(text)
         while at < n:
-            m = _PLACE.search(text, at + LEAF) if n - at > LEAF + LEAF // 2 else None
-            end = m.end() if m else n
+            end = self.place(text, at + LEAF) if n - at > LEAF + LEAF // 2 else n
             sizes.append(end - at)
             counts.append(len(encode(text[at:end])))
             at = end
@@ -117,14 +138,6 @@ def build(text: str, c: Counter) -> Tree:
     return Tree.of(*c.leaves(text))
 
 
-def _fit(leaves: list[int], n: int) -> list[int]:
-    """The same sums in n leaves: neighbours put together, or empty leaves added."""
-    if len(leaves) <= n:
-        return leaves + [0] * (n - len(leaves))
-    bounds = [len(leaves) * i // n for i in range(n + 1)]
-    return [sum(leaves[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-
-
 def ordered(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
     """Edits in order, within the text, without overlaps."""
     out, last = [], 0
@@ -137,23 +150,44 @@ def ordered(edits: list[dict] | None, size: int) -> list[tuple[int, int, str]]:
 
 
 def edit(text: str, tree: Tree, edits: list[tuple[int, int, str]], c: Counter) -> tuple[str, Tree, int]:
-    """(new text, new tree, tokens of what was encoded again); edits as from ordered(). Late edits first, so that offsets hold."""
-    again = 0
-    for start, stop, insert in reversed(edits):
-        i, a = tree.find(max(0, start - 2))
-        j, first = tree.find(stop)
+    """(new text, new tree, tokens of what was encoded again); edits as from ordered()."""
+    groups: list[list] = []  # first and last leaf, bounds in the text, edits
+    for e in edits:
+        i, a = tree.find(max(0, e[0] - 2))
+        j, first = tree.find(e[1])
         b = first + int(tree.chars[tree.width + j])
-        part = text[a:start] + insert + text[stop:b]
-        text = text[:a] + part + text[b:]
-        n = j - i + 1
-        if len(part) > 16 * LEAF * n:  # the leaves would grow large
-            tree = build(text, c)
-            again += int(tree.tokens[1])
-            continue
+        if groups and i <= groups[-1][1]:
+            groups[-1][1], groups[-1][3] = max(j, groups[-1][1]), max(b, groups[-1][3])
+            groups[-1][4].append(e)
+        else:
+            groups.append([i, j, a, b, [e]])
+    out, done, again, new, grown = [], 0, 0, [], False
+    for i, j, a, b, own in groups:
+        parts, at = [], a
+        for start, stop, insert in own:
+            parts += [text[at:start], insert]
+            at = stop
+        part = "".join([*parts, text[at:b]])
+        out += [text[done:a], part]
+        done = b
         chars, tokens = c.leaves(part)
         again += sum(tokens)
-        tree.put(i, _fit(chars, n), _fit(tokens, n))
-    return text, tree, again
+        grown |= len(chars) > j - i + 1
+        new.append((i, j, chars, tokens))
+    out.append(text[done:])
+    if grown:
+        leaves = [], []
+        for k, heap in enumerate((tree.chars, tree.tokens)):
+            old, at = heap[tree.width :].tolist(), 0
+            for i, j, *both in new:
+                leaves[k].extend(old[at:i] + both[k])
+                at = j + 1
+            leaves[k].extend(old[at:])
+        return "".join(out), Tree.of(*leaves), again
+    for i, j, chars, tokens in new:
+        spare = [0] * (j - i + 1 - len(chars))
+        tree.put(i, chars + spare, tokens + spare)
+    return "".join(out), tree, again
 
 
 def _ints(heaps: list[np.ndarray]) -> pa.Array:
