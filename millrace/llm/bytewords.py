@@ -89,6 +89,7 @@ class Words:
     head: np.ndarray  # of each row, its first word's index; one more at the end
     hash: np.ndarray
     bounds: np.ndarray | None = None  # of each row, its first byte; one more at the end
+    raw: np.ndarray | None = None  # the chunk's bytes as they are
 
     @property
     def count(self) -> np.ndarray:
@@ -132,7 +133,7 @@ def words(col: pa.Array, kind: np.ndarray, size: int = CHUNK, hashes: bool = Tru
         start, end = np.flatnonzero(opens), np.flatnonzero(shuts) + 1
         head = np.searchsorted(start, bounds)
         row = np.repeat(np.arange(j - i), np.diff(head))
-        yield Words(i, j, low, start, end, row, head, _hashes(low, start, end) if hashes else start, bounds)
+        yield Words(i, j, low, start, end, row, head, _hashes(low, start, end) if hashes else start, bounds, raw[at[i] : at[j]])
 
 
 def grams(w: Words, k: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -2,12 +2,15 @@
 
 Base spans are matches of four kinds (email, ip, card, phone) that pass their checks; a failing match is dropped and its text
 not searched again. The CRF labels words (maximal runs without white space) with O, or B and I of each of its
-kinds, from word shapes, affixes and neighbouring words. Only words with a digit can have a label other than O, so a text
-decodes exactly by its maximal runs of such words, each with O on both sides: Viterbi runs over all runs of one length of
-a chunk of documents at once. Model spans that overlap a base span are dropped; base spans always stay.
+kinds (telephone and personal numbers, personal names, street addresses), from word shapes with letter case, affixes and
+neighbouring words. Only words with a digit or an upper-case letter can have a label other than O, and so can lower-case ones between
+two of them: a text decodes exactly by its maximal runs of such words, each with O on both sides. Viterbi runs over all runs of
+one length of a chunk of documents at once. A name or address of too many words, or with the end of a sentence inside, is
+dropped, and so are model spans that overlap a base span; base spans always stay.
 
 The model is fitted on the driver to a small labelled table (`SENTENCES`, or a DataFrame of the same form with at most `max_train`
-rows, those of least text checksum). Scoring is one pass over whole texts with no shuffle.
+rows, those of least text checksum). Scoring is one pass over whole texts with no shuffle. A name is found by its cues and its
+form, since a list of names is no part of the method: a name without a cue beside it stays unmarked.
 
 Offsets count code points, end exclusive. Edge cases: a null or empty text has no spans; repeated rows each get a row; other columns
 are ignored, whatever their names.
@@ -25,11 +28,12 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import SPACED, U, Words, mix, utf8, words
 
-KINDS = ("email", "ip", "card", "phone", "tel", "nid")
+KINDS = ("email", "ip", "card", "phone", "tel", "nid", "name", "addr")
 BASE = KINDS[:4]
-LABELS = ("O", "B-tel", "I-tel", "B-nid", "I-nid")
+LABELS = ("O", *(f"{at}-{kind}" for kind in KINDS[4:] for at in "BI"))
 BUCKETS = 1 << 14
-#: The labelled table: sentences with [kind|text] marks; tel: telephone numbers, nid: personal and account numbers.
+#: The labelled table: sentences with [kind|text] marks; tel: telephone numbers, nid: personal and account
+#: numbers, name: personal names, addr: street addresses.
 SENTENCES = """
 Call me at [tel|(743) 555-3824] before noon.
 My number is [tel|555-0142] and I am home after six.
@@ -81,8 +85,99 @@ El 15 de mayo de 2020 hubo 230 casos nuevos.
 MP3 and H2O and CO2 are not numbers; 42 is.
 The model T-800 and the 747-400 of 1989
 Flight LH441 leaves gate B22 at 19:05.
+GB IBAN [nid|GB29 NWBK 6016 1331 9268 19] was charged.
+Her IBAN is [nid|NL91 ABNA 0417 1643 00] she says
+My name is [name|Ann Lee] and I live here.
+my name is [name|Peter Braun] from Leipzig
+Please ask for [name|Maria Lopez] at the desk.
+Dear [name|John Smith], thank you for the note.
+Dear Mr. [name|Smith], we write about the bill.
+Mr. [name|Arthur Hill] signed the lease.
+Mrs. [name|Olga Petrova] will call back.
+Ms [name|Jane Doe] agreed to the terms.
+Dr. [name|Emil Weber] sees patients today.
+Herr [name|Hans Keller] wohnt nebenan.
+Frau [name|Eva Klein] ist krank.
+Mein Name ist [name|Lena Vogel] und ich schreibe Ihnen.
+Je m'appelle [name|Luc Moreau] et je travaille ici.
+Me llamo [name|Pablo Ruiz] y soy de aquí.
+Contact: [name|Nora Field] in sales
+Signed, [name|Tom Baker]
+Regards, [name|Alice Brown]
+Patient name: [name|Carl Jonas] admitted in May
+Send it to [addr|221 Baker Street] please.
+She lives at [addr|14 Elm Road] near the park.
+Address: [addr|1600 Pine Avenue] Springfield
+Our office is at [addr|75 Harbor Drive] now.
+Visit [addr|9 King Lane] or call.
+Er wohnt in der [addr|Lindenstraße 12] im Hof.
+Adresse: [addr|Hauptstraße 5] in Berlin
+Wir sind in die [addr|Gartenweg 27] gezogen.
+Il habite [addr|12 Rue Pasteur] depuis mai.
+Vive en la [addr|Calle Mayor 8] con su madre.
+The Great River runs through Old Town in April.
+Many people in New York and South Wales read The Times.
+Der Hund und die Katze schlafen im Haus am Fluss.
+Die Stadt Berlin hat viele Parks und Museen.
+La Ville de Paris et la Seine sont belles.
+El Museo del Prado está en Madrid, la capital.
+Chapter One: The Road to Nowhere
+However, It Was Late. Then We Left.
+University of Oxford Press, Second Edition
+Monday and Tuesday in March, before Easter Sunday.
+In London the Queen spoke to Parliament.
+NASA and ESA sent a probe to Mars.
+This is the end. That was all. Here we are.
+Buy Now! Best Price! Click Here
+I think that I know what You mean by This.
+Our street is long and the road is wide.
+My name means river in the old language.
+Dear reader, this is the first page.
 """.strip().splitlines()
 
+#: More labelled rows are made by a rule: every cue with values of some of the forms of its kind. In a form, 9 stands for any digit,
+#: A for any capital, and Name for a made-up capitalised word.
+CUES = {
+    "tel": "call|phone:|tel.|mobile|fax|telephone|ring me on|text|my number is|reach me at|Telefon|Handy|appelez le|téléphone|teléfono|llame al|contact",
+    "nid": "SSN|SSN:|social security number|passport no.|passport number|IBAN|iban:|account number|tax id|national insurance|DNI|Ausweis Nr.|Kontonummer|numéro de sécurité|insurance no.|licence number",
+    "name": "my name is|Mr.|Mrs.|Ms|Dr.|Dear|Dear Mr.|Herr|Frau|Mein Name ist|je m'appelle|me llamo|Señor|Madame|Contact:|Signed,|Regards,|Sincerely,|patient name:|ask for",
+    "addr": "lives at|address:|Address:|office at|send it to|visit|delivered to|wohnt in der|Adresse:|habite|vive en la|moved to",
+}
+FORMS = {
+    "tel": "(999) 999-9999|999-999-9999|99999 999999|999 9999999|999-9999|9-999-999-9999|0999 999 999|99 99 99 99 99|999 999 99 99|(0999) 999999|9999999999|999.999.9999",
+    "nid": "999-99-9999|99-9999999|A99A99A99|AA99 9999 9999 9999 9999 99|AA99AAAA99999999999999|9999999999|AA999999A|99999999A|A999999999|AA99 AAAA 9999 9999 9999 99|AA9999999|AA99 AAAA 9999 9999 99",
+    "name": "Name Name|Name|Name A. Name|Name Name-Name|Name Name Name",
+    "addr": "99 Name Street|999 Name Road|99 Name Avenue|9 Name Lane|999 Name Drive|Namestraße 99|Nameweg 9|99 Rue Name|Calle Name 99|9999 Name Boulevard",
+}
+PLAIN = "Name|Name Name|9999|99|999|9.9|99%|99-99|99.99|9,999|99:99|9999-99-99|99/99/9999|A9|AA|AAA999|the|and|99 km|9999 Name|Name 9"
+SYLLABLES = "ba ri so lu te ma no vi ka del mon far gus pel tan wi or en ha jo".split()
+
+
+def by_rule(seed: int = 3, forms: int = 4) -> list[str]:
+    """Labelled rows: each cue with some forms of its kind, and as many rows without personal data."""
+    rng = np.random.default_rng(seed)
+    pick = lambda x: x[int(rng.integers(len(x)))]
+
+    def filled(form: str) -> str:
+        form = re.sub("Name", lambda _: "".join(pick(SYLLABLES) for _ in range(int(rng.integers(2, 4)))).capitalize(), form)
+        return re.sub(r"9|\bA\b|A(?=[A9])|(?<=9)A", lambda m: str(rng.integers(10)) if m[0] == "9" else chr(65 + int(rng.integers(26))), form)
+
+    around = "".join(s for s in SYLLABLES).lower()
+    word = lambda: around[(i := int(rng.integers(len(around) - 8))) : i + int(rng.integers(2, 8))]
+    out = []
+    for kind, cues in CUES.items():
+        for cue in cues.split("|"):
+            for _ in range(forms):
+                out.append(f"{word()} {word()} {cue} [{kind}|{filled(pick(FORMS[kind].split('|')))}]{pick(['', '.', ',', ''])} {word()} {word()}")
+                for _ in range(3):  # prose: sentences with capitals, marks and plain numbers
+                    capital = rng.random() < 0.6
+                    row = [word().capitalize() if capital and rng.random() < 0.3 else word() if rng.random() < 0.75 else filled(pick(PLAIN.split("|"))) for _ in range(10)]
+                    out.append(" ".join(w + pick(["", "", "", "", ".", ",", "!"]) for w in row))
+            again = word().capitalize() + pick(["", ".", "!"])
+            out.append(" ".join([again] * int(rng.integers(3, 9))))
+    return out
+
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A match never ends inside a run of digits, so none starts inside one: the look-behind only saves time.
@@ -132,22 +227,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_KIND = np.full(256, 2, np.uint8)  # of a shape: 0 letter, 1 digit, else the mark itself
-_KIND[97:123] = _KIND[65:91] = _KIND[128:] = 0
-_KIND[48:58] = 1
+_CAPITAL = np.zeros(256, bool)
+_CAPITAL[65:91] = True
+_ALNUM = _DIGIT | _CAPITAL
+_ALNUM[97:123] = True
+#: Of a shape: 0 lower-case letter, 1 digit, 2 other mark, 3 capital, 4 byte of another script, else the mark itself.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[97:123], _KIND[48:58], _KIND[65:91], _KIND[128:] = 0, 1, 3, 4
 for _i, _c in enumerate(b"()+-./,:;%#'\""):
-    _KIND[_c] = 3 + _i
+    _KIND[_c] = 5 + _i
+#: Changes of kind that a shape tells apart.
+SHAPE = 12
 
 
 def runs(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each maximal run of words with a digit."""
-    many = np.concatenate([[0], np.cumsum(_DIGIT[w.low])])
-    with_digit = many[w.end] > many[w.start]
+    """First word and length of each maximal run of words with a digit or a capital, and of single words between two of them."""
     n = len(w.start)
-    opens, shuts = with_digit.copy(), with_digit.copy()
-    if n:
-        opens[1:] &= ~with_digit[:-1] | (w.row[1:] != w.row[:-1])
-        shuts[:-1] &= ~with_digit[1:] | (w.row[1:] != w.row[:-1])
+    marks = np.concatenate([[0], np.cumsum(_DIGIT[w.raw] | _CAPITAL[w.raw])])
+    some = marks[w.end] > marks[w.start]
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = w.row[1:] == w.row[:-1]
+    if n > 2:
+        some[1:-1] |= some[:-2] & some[2:] & same[:-1] & same[1:]
+    opens, shuts = some.copy(), some.copy()
+    opens[1:] &= ~some[:-1] | ~same
+    shuts[:-1] &= ~some[1:] | ~same
     a = np.flatnonzero(opens)
     return a, np.flatnonzero(shuts) + 1 - a
 
@@ -155,12 +260,26 @@ def runs(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def word_features(w: Words, at: np.ndarray) -> np.ndarray:
     """Hashed features of the words at `at`, as many for each."""
     first, last = w.head[w.row[at]], w.head[w.row[at] + 1] - 1
-    shape, counts = np.zeros(len(at), U), np.zeros(len(at), U)
-    for i, (a, b) in enumerate(zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)):
-        s = _KIND[w.low[a : min(b, a + 64)]]
-        packed = s[np.concatenate([[True], s[1:] != s[:-1]])][:12]
-        shape[i] = int.from_bytes(bytes(packed[:7] + 1), "big") + 31 * len(packed)
-        counts[i] = 64 * min(int((s == 1).sum()), 20) + min(int((s == 0).sum()), 20)
+    start, end = w.start[at], w.end[at]
+    kind = _KIND[w.raw]
+    turn = np.ones(len(kind), bool)
+    turn[1:] = kind[1:] != kind[:-1]
+    turn[w.start] = True
+    # A shape: the kinds of a word, each run of one kind once, as far as SHAPE of them.
+    place = np.flatnonzero(turn)
+    head = np.searchsorted(place, start)
+    stop = np.searchsorted(place, end)
+    shape = np.zeros(len(at), U)
+    for i in range(SHAPE):
+        p = head + i
+        has = p < stop
+        if not has.any():
+            break
+        shape[has] = shape[has] * U(31) + kind[place[p[has]]].astype(U) + U(1)
+    shape = mix(shape)
+    count = lambda k: np.diff(np.concatenate([[0], np.cumsum(kind == k)])[np.stack([start, end])], axis=0)[0]
+    digits, letters = np.minimum(count(1), 20).astype(U), np.minimum(count(0) + count(3), 20).astype(U)
+    affix = lambda p: np.bitwise_or.reduce([w.low[np.clip(q, start, end - 1)].astype(U) << U(8 * i) for i, q in enumerate(p)])
     no = U(0xFFFF)
 
     def cue(step: int) -> np.ndarray:
@@ -168,8 +287,21 @@ def word_features(w: Words, at: np.ndarray) -> np.ndarray:
         ok = (p >= first) & (p <= last)
         return np.where(ok, w.hash[np.clip(p, 0, len(w.hash) - 1)], no)
 
-    digits = counts // U(64)
-    parts = [shape, counts, digits, np.zeros(len(at), U), cue(-1), cue(-2), cue(1), shape * U(31) + digits, mix(shape) ^ cue(-1)]
+    def cased(step: int) -> np.ndarray:
+        """Whether the neighbour starts with a capital, a digit, or neither; or isn't there."""
+        p = at + step
+        ok = (p >= first) & (p <= last)
+        return np.where(ok, kind[w.start[np.clip(p, 0, len(w.hash) - 1)]], 31).astype(U)
+
+    def tail(step: int) -> np.ndarray:
+        """The kind of the neighbour's last byte."""
+        p = at + step
+        ok = (p >= first) & (p <= last)
+        return np.where(ok, kind[w.end[np.clip(p, 0, len(w.hash) - 1)] - 1], 31).astype(U)
+
+    parts = [shape, digits * U(32) + letters, digits, np.zeros(len(at), U), cue(-1), cue(-2), cue(1), shape * U(31) + digits, mix(shape) ^ cue(-1)]
+    twice = cue(-1) == w.hash[at]
+    parts += [affix((start, start + 1, start + 2)), affix((end - 1, end - 2, end - 3)), w.hash[at], cased(-1) * U(32) + cased(1), mix(cased(1)) ^ shape, tail(-1) * U(32) + kind[end - 1].astype(U), mix(tail(-1)) ^ shape, twice.astype(U)]
     return np.stack([mix(p + U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) & U(BUCKETS - 1) for k, p in enumerate(parts)], 1).astype(np.int64)
 
 
@@ -197,6 +329,39 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def gradient(p: list[np.ndarray], groups: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """(log-likelihood, its gradients by label of each word of all groups, and by move)."""
+    k, ll, all_d, g = len(p[1]), 0.0, [], np.zeros_like(p[1])
+    for f, y in groups:
+        own = np.empty((*y.shape, k))
+        e = p[0][f].sum(2)
+        n, t = y.shape
+        a, z = [p[1][0] + e[:, 0]], [np.broadcast_to(p[1][:, 0], (n, k))]
+        for i in range(1, t):
+            a.append(_logsum(a[-1][:, :, None] + p[1][None], 1) + e[:, i])
+            z.append(_logsum(p[1][None] + (e[:, t - i] + z[-1])[:, None, :], 2))
+        z = z[::-1]
+        total = _logsum(a[-1] + z[-1], 1)
+        rows, before = np.arange(n), np.zeros(n, np.int64)
+        for i in range(t):
+            d = -np.exp(a[i] + z[i] - total[:, None])
+            d[rows, y[:, i]] += 1
+            own[:, i] = d
+            ll += (e[rows, i, y[:, i]] + p[1][before, y[:, i]]).sum()
+            before = y[:, i]
+            if i == 0:
+                g[0] += d.sum(0)
+            else:
+                both = np.exp(a[i - 1][:, :, None] + p[1][None] + (e[:, i] + z[i])[:, None, :] - total[:, None, None])
+                g -= both.sum(0)
+                np.add.at(g, (y[:, i - 1], y[:, i]), 1)
+            if i == t - 1:
+                g[:, 0] += d.sum(0)
+        ll += p[1][before, 0].sum() - total.sum()
+        all_d.append(own.reshape(-1, k))
+    return ll, np.concatenate(all_d), g
+
+
 def fit(groups: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: float = 0.1, decay: float = 0.002) -> Crf:
     """groups: features (runs x length x features) and labels (runs x length), by length. Maximum likelihood by Adam."""
     k = len(LABELS)
@@ -206,30 +371,16 @@ def fit(groups: list[tuple[np.ndarray, np.ndarray]], steps: int = 150, rate: flo
     for i, name in enumerate(LABELS):  # I- only follows B- or I- of its kind
         if name[0] == "I":
             barred[:, i] = [x[2:] != name[2:] for x in LABELS]
+    # Words of all groups in one row, and for each bucket that occurs the words that have it: sums by bucket are runs of these.
+    flat = np.concatenate([f.reshape(-1, f.shape[2]) for f, _ in groups])
+    order = np.argsort(flat, axis=None, kind="stable")
+    bucket, starts = np.unique(flat.ravel()[order], return_index=True)
+    word = order // flat.shape[1]
     for step in range(1, steps + 1):
         p[1][barred] = -30.0
-        g = [-decay * x for x in p]
-        for f, y in groups:
-            e = p[0][f].sum(2)
-            n, t = y.shape
-            a, z = [p[1][0] + e[:, 0]], [np.broadcast_to(p[1][:, 0], (n, k))]
-            for i in range(1, t):
-                a.append(_logsum(a[-1][:, :, None] + p[1][None], 1) + e[:, i])
-                z.append(_logsum(p[1][None] + (e[:, t - i] + z[-1])[:, None, :], 2))
-            z = z[::-1]
-            total = _logsum(a[-1] + z[-1], 1)
-            for i in range(t):
-                d = -np.exp(a[i] + z[i] - total[:, None])
-                d[np.arange(n), y[:, i]] += 1
-                np.add.at(g[0], f[:, i].ravel(), np.repeat(d, f.shape[2], 0))
-                if i == 0:
-                    g[1][0] += d.sum(0)
-                else:
-                    both = np.exp(a[i - 1][:, :, None] + p[1][None] + (e[:, i] + z[i])[:, None, :] - total[:, None, None])
-                    g[1] -= both.sum(0)
-                    np.add.at(g[1], (y[:, i - 1], y[:, i]), 1)
-                if i == t - 1:
-                    g[1][:, 0] += d.sum(0)
+        _, by_word, by_move = gradient(p, groups)
+        g = [-decay * p[0], by_move - decay * p[1]]
+        g[0][bucket] += np.add.reduceat(by_word[word], starts)
         for i in range(2):
             m[i] = 0.9 * m[i] + 0.1 * g[i]
             v[i] = 0.99 * v[i] + 0.01 * g[i] ** 2
@@ -249,9 +400,9 @@ def marked(sentence: str) -> tuple[str, list[tuple[int, int, str]]]:
     return out, spans
 
 
-def train(sentences: list[str] = SENTENCES) -> Crf:
-    """Fit to sentences with [kind|text] marks."""
-    pairs = [marked(s) for s in sentences]
+def train(sentences: list[str] | None = None) -> Crf:
+    """Fit to sentences with [kind|text] marks; without any, to SENTENCES and those made by rule."""
+    pairs = [marked(s) for s in (SENTENCES + by_rule() if sentences is None else sentences)]
     by: dict[int, list[tuple[np.ndarray, list[int]]]] = {}
     for w in words(pa.array([t for t, _ in pairs], pa.string()), SPACED):
         at = _code_points(w)
@@ -282,15 +433,27 @@ def _row_start(w: Words, at: np.ndarray, row: int) -> int:
     return int(at[w.bounds[row]])
 
 
+#: Most words of a name and of an address.
+LONGEST = {"name": 4, "addr": 6}
+
+
+def _broken(w: Words, i: int, j: int) -> bool:
+    """Whether a sentence or a clause ends inside words i..j-1: behind a word of two bytes or more."""
+    return any(w.raw[e - 1] in b".!?,;:" and e - s > 2 for s, e in zip(w.start[i : j - 1], w.end[i : j - 1], strict=True))
+
+
 def model_spans(w: Words, crf: Crf) -> list[tuple[int, int, int, int]]:
     """(row, kind number, start, end) of what the model finds in a chunk; marks around a span are cut off."""
     a, n = runs(w)
     out = []
     at = None
+    if not len(a):
+        return out
+    head = np.concatenate([[0], np.cumsum(n)])[:-1]  # of each run, its first word among the words of runs
+    f = word_features(w, np.repeat(a - head, n) + np.arange(n.sum()))
     for k in np.unique(n).tolist():
         first = a[n == k]
-        every = (first[:, None] + np.arange(k)).ravel()
-        y = crf.decode(word_features(w, every).reshape(len(first), k, -1))
+        y = crf.decode(f[head[n == k][:, None] + np.arange(k)])
         for r in np.flatnonzero((y > 0).any(1)).tolist():
             at = _code_points(w) if at is None else at
             j = 0
@@ -302,10 +465,12 @@ def model_spans(w: Words, crf: Crf) -> list[tuple[int, int, int, int]]:
                 j += 1
                 while j < k and LABELS[y[r, j]] == f"I-{kind}":
                     j += 1
+                if kind in LONGEST and (j - i > LONGEST[kind] or _broken(w, int(first[r]) + i, int(first[r]) + j)):
+                    continue
                 s, e = int(w.start[first[r] + i]), int(w.end[first[r] + j - 1])
-                while s < e and w.low[s] in b"\"',;:[{<":
+                while s < e and w.raw[s] < 128 and not (_ALNUM[w.raw[s]] or w.raw[s] in b"(+"):
                     s += 1
-                while e > s and w.low[e - 1] in b"\"',;:.!?]}>":
+                while e > s and w.raw[e - 1] < 128 and not (_ALNUM[w.raw[e - 1]] or w.raw[e - 1] == 41):
                     e -= 1
                 if s < e:
                     row = int(w.row[first[r]])
@@ -325,7 +490,7 @@ def scan(docs: DataFrame, crf: Crf, doc_id: str = "doc_id", text: str = "text")
         for b in batches:
             found: list[list[tuple[int, int, int]]] = [[] for _ in range(b.num_rows)]
             raw, at = utf8(b.column(1))
-            some = np.concatenate([[0], np.cumsum(_DIGIT[raw] | (raw == 64))])
+            some = np.concatenate([[0], np.cumsum(_DIGIT[raw] | _CAPITAL[raw] | (raw == 64))])
             texts = {}
             for r in np.flatnonzero(np.diff(some[at]) > 0).tolist():
                 texts[r] = raw[at[r] : at[r + 1]].tobytes().decode()
