@@ -49,9 +49,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.urlfilter import judge, rules_table
+    from millrace.llm.urlfilter import judge, rules_table, spam_list
 
-    return judge(table(spark, sf_dir, "pages"), rules_table(spark))
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, rules_table(spark), blocked=spam_list(pages))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,7 @@ p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#
              regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path, row_number() OVER () AS n FROM pages),
 m AS (SELECT n, r.host || r.path AS rule, action, row_number() OVER (PARTITION BY n ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS k
       FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
-SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (n)
 """
 
 SQL["op1_mixture"] = r"""
