@@ -5,7 +5,9 @@ a validator of the format then walks its structure (chunk lengths and checksums,
 rejects it. The medium at offset 0 that covers most of the payload corrects a declared type; every other valid medium
 that lies outside one already found is carved.
 
-Each row is worked on alone, in one pass with no shuffle. A payload and its working copies must fit in a task's memory.
+Each row is worked on alone, in one pass with no shuffle. A payload and its working copies must fit in a task's memory. What
+validators search for up to the payload's end (trailers of ZIP and PDF) is found once for a payload, and places from which a JPEG
+can't be read are remembered, so that many false magic bytes cost no more than a pass each.
 
 Edge cases: a null or empty payload has type null and nothing to carve; a payload that no validator accepts keeps its declared
 type; repeated rows each get a row; other columns are dropped, whatever their names.
@@ -14,8 +16,10 @@ type; repeated rows each get a row; other columns are dropped, whatever their na
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import cache
 
 import ahocorasick
@@ -51,7 +55,52 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def _png(b: bytes, at: int) -> int | None:
+class Payload:
+    """A payload's bytes, and what is found in them once."""
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.places, self.dead, self.ends = b, {}, set(), None
+
+    def at(self, mark: bytes) -> list[int]:
+        """All places of mark."""
+        if mark not in self.places:
+            self.places[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        return self.places[mark]
+
+    def zip_ends(self) -> dict[int, int]:
+        """Start of each ZIP file that an end record can have, and the file's end."""
+        if self.ends is None:
+            self.ends, b = {}, self.b
+            for end in self.at(b"PK\x05\x06"):
+                if end + 22 <= len(b):
+                    size, start, note = struct.unpack_from("<IIH", b, end + 12)
+                    at = end - size - start
+                    if at >= 0 and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
+                        self.ends.setdefault(at, end + 22 + note)
+        return self.ends
+
+
+#: The checksum of an Ogg page: CRC-32 with polynomial 0x04C11DB7, not reflected, from 0.
+@cache
+def _ogg_table() -> list[int]:
+    out = []
+    for i in range(256):
+        r = i << 24
+        for _ in range(8):
+            r = (r << 1 ^ (0x04C11DB7 if r & 0x80000000 else 0)) & 0xFFFFFFFF
+        out.append(r)
+    return out
+
+
+def ogg_crc(page: bytes) -> int:
+    table, r = _ogg_table(), 0
+    for x in page:
+        r = (r << 8 & 0xFFFFFFFF) ^ table[r >> 24 ^ x]
+    return r
+
+
+def _png(payload: Payload, at: int) -> int | None:
+    b = payload.b
     p, first = at + 8, True
     while p + 12 <= len(b):
         n, kind = struct.unpack_from(">I4s", b, p)
@@ -63,7 +112,8 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _riff(b: bytes, at: int) -> int | None:
+def _riff(payload: Payload, at: int) -> int | None:
+    b = payload.b
     if len(b) < at + 12 or b[at + 8 : at + 12] not in RIFF_TYPES:
         return None
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -74,7 +124,8 @@ def _riff(b: bytes, at: int) -> int | None:
     return end - at if end <= len(b) and p in (end, end + 1) and chunks else None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(payload: Payload, at: int) -> int | None:
+    b = payload.b
     if len(b) < at + 54:
         return None
     size, _, start, head, width, height, planes, bits, packed = struct.unpack_from("<IIIIiiHHI", b, at + 2)
@@ -83,7 +134,8 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if packed or start + (width * bits + 31) // 32 * 4 * abs(height) == size else None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(payload: Payload, at: int) -> int | None:
+    b = payload.b
     def blocks(p: int) -> int:
         while p < len(b) and b[p]:
             p += 1 + b[p]
@@ -104,58 +156,67 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
-    p = at + 2
-    while p + 4 <= len(b) and b[p] == 0xFF:
+def _jpeg(payload: Payload, at: int) -> int | None:
+    b = payload.b
+    p, seen = at + 2, []
+    while p + 4 <= len(b) and b[p] == 0xFF and p not in payload.dead:
+        seen.append(p)
         mark = b[p + 1]
         n = struct.unpack_from(">H", b, p + 2)[0]
         if n < 2 or not 0xC0 <= mark <= 0xFE:
-            return None
+            break
         p += 2 + n
         if mark == 0xDA:
             while True:  # entropy-coded data, up to a marker other than a restart
                 p = b.find(b"\xff", p)
                 if p < 0 or p + 1 >= len(b):
+                    payload.dead.update(seen)
                     return None
                 if b[p + 1] != 0 and not 0xD0 <= b[p + 1] <= 0xD7:
                     break
                 p += 2
             if b[p + 1] == 0xD9:
                 return p + 2 - at
+    payload.dead.update(seen)
     return None
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(payload: Payload, at: int) -> int | None:
+    b = payload.b
     p, serial, ended = at, None, False
     while b[p : p + 4] == b"OggS" and p + 27 <= len(b) and not ended:
         table = b[p + 27 : p + 27 + b[p + 26]]
         if b[p + 4] or serial not in (None, b[p + 14 : p + 18]) or serial is None and not b[p + 5] & 2:
             return None
         serial, ended = b[p + 14 : p + 18], bool(b[p + 5] & 4)
-        p += 27 + len(table) + sum(table)
+        end = p + 27 + len(table) + sum(table)
+        if end > len(b) or ogg_crc(b[p : p + 22] + bytes(4) + b[p + 26 : end]) != struct.unpack_from("<I", b, p + 22)[0]:
+            return None
+        p = end
     return p - at if ended and p <= len(b) else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(payload: Payload, at: int) -> int | None:
+    b = payload.b
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return None
-    end, next_one = b.find(b"%%EOF", at), b.find(b"%PDF-", at + 5)
-    stop = next_one if next_one >= 0 else len(b)
-    end = b.rfind(b"%%EOF", at, stop)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
-
-
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + start + size == end and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return None
+    starts, ends, refs = payload.at(b"%PDF-"), payload.at(b"%%EOF"), payload.at(b"startxref")
+    i = bisect_left(starts, at + 5)
+    stop = starts[i] if i < len(starts) else len(b)
+    j = bisect_left(ends, stop - 4) - 1  # the last one before the next file
+    if j < 0 or ends[j] < at:
+        return None
+    k = bisect_left(refs, at)
+    return ends[j] + 5 - at if k < len(refs) and refs[k] + 9 <= ends[j] else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _zip(payload: Payload, at: int) -> int | None:
+    end = payload.zip_ends().get(at)
+    return end - at if end else None
+
+
+def _gzip(payload: Payload, at: int) -> int | None:
+    b = payload.b
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return None
     d, p = zlib.decompressobj(31), at
@@ -176,10 +237,10 @@ VALID = {"image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "image/bmp":
 
 def sniff(payload: bytes) -> list[tuple[str, int, int]]:
     """(type, start, length) of each valid medium that lies outside those before it."""
-    out, done = [], 0
+    out, done, whole = [], 0, Payload(payload)
     for end, (kind, n) in automaton().iter(payload.decode("latin-1")):
         at = end - n + 1
-        if at >= done and (length := VALID[kind](payload, at)):
+        if at >= done and (length := VALID[kind](whole, at)):
             out.append((RIFF_TYPES[payload[at + 8 : at + 12]] if kind == "riff" else kind, at, length))
             done = at + length
     return out
@@ -206,10 +267,26 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % 64 if text else 64)
 
 
+#: What a stored medium is declared to be; its bytes may tell otherwise.
+DECLARED = ("audio/wav", "image/bmp", "image/png", "text/plain")
+
+
+def declared(payload: bytes) -> str:
+    return DECLARED[(zlib.crc32(payload) >> 8) % len(DECLARED)]
+
+
 def stored(payload: bytes) -> bytes:
-    """The payload, a multiple of 64 bytes, as one of three lossless media of 8-bit samples; its checksum picks which."""
+    """The payload, a multiple of 64 bytes, as one of three lossless media of 8-bit samples, or as the third of these inside a
+    multipart body, from which it is to be carved; its checksum picks which."""
+    pick = zlib.crc32(payload) % 4
+    if pick < 3:
+        return _medium(payload, pick)
+    edge = b"--part\r\n"
+    return edge + b"Content-Type: application/octet-stream\r\n\r\n" + _medium(payload, 2) + b"\r\n" + edge
+
+
+def _medium(payload: bytes, pick: int) -> bytes:
     n = len(payload)
-    pick = zlib.crc32(payload) % 3
     if pick == 0:
         return b"RIFF" + struct.pack("<I4s4sIHHIIHH4sI", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, 8000, 8000, 1, 8, b"data", n) + payload
     if pick == 1:  # rows of SIDE pixels from the top, one byte each
@@ -241,35 +318,39 @@ def samples(media: bytes, kind: str) -> bytes:
 
 
 def as_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes (of the text's UTF-8), media (its padded bytes, stored)."""
+    """Per row: doc_id, n_bytes (of the text's UTF-8), declared (a type that may be wrong), media (its padded bytes, stored)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             texts = [x or b"" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([stored(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([declared(padded(x)) for x in texts]), pa.array([stored(padded(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "declared", "media"])
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    return src.mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return src.mapInArrow(run, f"doc_id {kind}, n_bytes long, declared string, media binary")
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Per row of as_media(): sizes and checksums of the samples and of the medium, and its features: the sniffed type, where
-    it lies, and mean and spread of its samples; then each carved medium."""
+    """Per row of as_media(): sizes and checksums of the samples and of the stored bytes; feature: each medium found (type, place,
+    length), mean and spread of the samples, and media inside them; declared, type (corrected), corrected, and the place of the carved
+    medium that holds the samples (0: nothing had to be carved)."""
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            rows = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-            for m in b.column("media").to_pylist():
+            rows = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "type", "corrected", "carved_at")}
+            for m, was in zip(b.column("media").to_pylist(), b.column("declared").to_pylist(), strict=True):
                 found = sniff(m)
-                payload = samples(m, found[0][0])
+                name, at, size = found[0]
+                payload = samples(m[at : at + size], name)
                 s = np.frombuffer(payload, np.uint8)
                 more = [f"{t}:{a}+{n}" for t, a, n in found]
                 inner = [f"{t}:{a}+{n}" for t, a, n in sniff(payload)]
-                for k, v in zip(rows, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{','.join(more)};mean={s.mean():.3f};spread={s.std():.3f};inside={','.join(inner)}"), strict=True):
+                kept = name if at == 0 else was
+                values = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"{','.join(more)};mean={s.mean():.3f};spread={s.std():.3f};inside={','.join(inner)}", kept, kept != was, at
+                for k, v in zip(rows, values, strict=True):
                     rows[k].append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *[pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]], ["doc_id", "n_bytes", *rows])
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), b.column("declared"), *[pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)]], ["doc_id", "n_bytes", "declared", *rows])
 
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, declared string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, type string, corrected boolean, carved_at long")
