@@ -6,14 +6,19 @@ limit of repetitions. With no budget given, the mixture is the smallest that hol
 least gets one pass. A source whose budget is e passes of its tokens gets floor(e) whole passes and, of one more, the
 documents that fit in the rest.
 
+Tokens are estimated by bytes (a quarter of them) unless a column of counts is given: shares of sources whose texts have other
+than four bytes a token are off by as much.
+
 Each pass of a source is a permutation of blocks: documents fall in `blocks` blocks by a hash of seed, pass and id, and are ordered by
-the hash within their block. A pass that a budget cuts ends inside one block; only that block's documents are ordered to find
-where. Sums by block come from one aggregation with partial sums, so a source with a third of all rows is no hot key; weights and
+the hash within their block. A pass that a budget cuts ends inside one block, and there behind one prefix (three hex digits) of the
+hash; only documents of that block and prefix, a four-millionth of a source, are ordered to find where. Sums by block come from one aggregation with partial sums, so a source with a third of all rows is no hot key; weights and
 cuts (one row a source) are joined back, and copies are made row by row.
 
 Edge cases: a null source is a source of its own; a null or empty text has one token, so every document counts; one
 source alone keeps a = 1; equal rows are ordered alike and are cut together; an empty table gives an empty
-mixture; columns of the input stay as they are, whatever their names.
+mixture; rows without an id are ordered, and cut, alike; columns of the input stay as they are, whatever their names, but for
+mix_pass, mix_key and mix_block of an earlier mixture, which are replaced. However often a document is passed, no array is longer
+than PASSES.
 """
 
 from __future__ import annotations
@@ -25,12 +30,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import free
 from millrace.llm.stash import stash
 
 #: Sources whose shares are bisected on the driver; more are bisected by aggregations.
 DRIVER_SOURCES = 200_000
 
 
+#: Passes of one row that are made at once.
+PASSES = 1 << 12
+
+
 @dataclass
 class Target:
     entropy: float | None = None  # of q, as a part of log(number of sources)
@@ -120,18 +130,25 @@ def cuts(sizes: DataFrame, plan: DataFrame, seed: int, blocks: int) -> DataFrame
     key = order_key(F.col("doc_id"), F.col("passes"), seed)
     rows = _with_plan(sizes, plan.filter("rest > 0").select("source", "passes", "rest"))
     rows = rows.select("source", "rest", "tokens", key.alias("key")).withColumn("block", block_of(F.col("key"), blocks))
-    sums = rows.groupBy("source", "rest", "block").agg(F.sum("tokens").alias("tokens"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # At most `blocks` rows a source.
-    run = sums.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    cut = run.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest"))).select("source", F.col("block").alias("cut_block"), (F.col("rest") - F.col("before")).alias("left"))
-    # The documents of the one block in which each source's budget ends; equal keys stand or fall together.
+    cut = _reached(rows.groupBy("source", "rest", "block").agg(F.sum("tokens").alias("tokens")), "block")
+    cut = cut.withColumnRenamed("at", "cut_block")
     inside = _with_plan(rows.select("source", "block", "key", "tokens"), cut).filter(F.col("block") == F.col("cut_block"))
+    inside = inside.select("source", "cut_block", F.col("left").alias("rest"), "tokens", "key", F.substring("key", 1, 3).alias("head"))
+    cut = _reached(inside.groupBy("source", "cut_block", "rest", "head").agg(F.sum("tokens").alias("tokens")), "head").withColumnsRenamed({"at": "cut_head"})
+    # The documents of the one prefix in which each source's budget ends; equal keys stand or fall together.
+    last = _with_plan(inside.select("source", "cut_block", "key", "head", "tokens"), cut.select("source", "cut_head", "left")).filter(F.col("head") == F.col("cut_head"))
     upto = Window.partitionBy("source").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    over = inside.withColumn("upto", F.sum("tokens").over(upto)).filter("upto > left")
+    over = last.withColumn("upto", F.sum("tokens").over(upto)).filter("upto > left")
     return over.groupBy("source", "cut_block").agg(F.min("key").alias("cut_key"))
 
 
+def _reached(sums: DataFrame, by: str) -> DataFrame:
+    """Of sums (source, rest, `by`, tokens), a bounded number a source: source, at (where running sums pass rest), left (rest before it)."""
+    before = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    run = sums.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
+    return run.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest"))).select("source", F.col(by).alias("at"), (F.col("rest") - F.col("before")).alias("left"))
+
+
 def _with_plan(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
     """rows with plan's columns, by a source that may be null. Plans have one row a source."""
     p = plan.withColumnRenamed("source", "__source")
@@ -150,11 +167,17 @@ def mix(docs: DataFrame, target: Target, doc_id: str = "doc_id", source: str = "
     plan = stash(weights(sizes, target, budget))
     end = stash(cuts(sizes, plan, seed, blocks))
     # Written, so that its size is known where the join is planned.
-    marks = stash(_with_plan(plan.select("source", "passes", "rest"), end, "left").withColumnsRenamed({c: f"__{c}" for c in ("source", "passes", "rest", "cut_block", "cut_key")}))
-    row = docs.join(marks, F.col(source).cast("string").eqNullSafe(F.col("__source")))
-    row = row.withColumn("__key", order_key(F.col(doc_id), F.col("__passes"), seed)).withColumn("__block", block_of(F.col("__key"), blocks))
-    part = (F.col("__rest") > 0) & ((F.col("__block") < F.col("__cut_block")) | ((F.col("__block") == F.col("__cut_block")) & (F.col("__key") < F.col("__cut_key"))))
-    n = F.col("__passes") + F.coalesce(part, F.lit(False)).cast("long")
-    row = row.withColumn("mix_pass", F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))))
+    docs = docs.drop("mix_pass", "mix_key", "mix_block")
+    mine = dict(zip(("source", "passes", "rest", "cut_block", "cut_key"), free(docs, "source", "passes", "rest", "cut_block", "cut_key"), strict=True))
+    marks = stash(_with_plan(plan.select("source", "passes", "rest"), end, "left").withColumnsRenamed(mine))
+    passes, rest, cut_block, cut_key = (F.col(mine[c]) for c in ("passes", "rest", "cut_block", "cut_key"))
+    row = docs.join(marks, F.col(source).cast("string").eqNullSafe(F.col(mine["source"])))
+    key, block, high = free(row, "key", "block", "high")
+    row = row.withColumn(key, order_key(F.col(doc_id), passes, seed)).withColumn(block, block_of(F.col(key), blocks))
+    part = (rest > 0) & ((F.col(block) < cut_block) | ((F.col(block) == cut_block) & (F.col(key) < cut_key)))
+    n = passes + F.coalesce(part, F.lit(False)).cast("long")
+    upto = lambda m: F.sequence(F.lit(0).cast("long"), m)
+    row = row.withColumn(high, F.explode(F.when(n > 0, upto(F.floor((n - 1) / PASSES))).otherwise(F.array().cast("array<bigint>"))))
+    row = row.withColumn("mix_pass", F.explode(upto(F.least(F.lit(PASSES).cast("long"), n - F.col(high) * PASSES) - 1))).withColumn("mix_pass", F.col("mix_pass") + F.col(high) * PASSES)
     row = row.withColumn("mix_key", order_key(F.col(doc_id), F.col("mix_pass"), seed)).withColumn("mix_block", block_of(F.col("mix_key"), blocks))
-    return row.drop(*marks.columns, "__key", "__block")
+    return row.drop(*mine.values(), key, block, high)
