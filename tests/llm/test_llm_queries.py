@@ -40,17 +40,28 @@ def test_sql(spark, sf_dir, name):
 
 
 def test_media_round_trip(got, docs):
+    from millrace.llm.media import declared, padded, stored
+
     rows = got("op4_media")
     assert len(rows) == len(docs)
     for i, text, _ in docs:
         b = (text or "").encode()
         p = b + bytes(-len(b) % 64 if b else 64)
-        r = rows[i]
+        r, m = rows[i], stored(padded(b))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.declared) == (len(m), hashlib.sha256(m).hexdigest(), declared(p))
+        # A medium that stands alone has its own type, whatever it was declared; one inside a multipart body is carved.
+        alone = {b"RIFF": "audio/wav", b"BM": "image/bmp", b"\x89PNG": "image/png"}
+        true = next((t for x, t in alone.items() if m.startswith(x)), None)
+        assert r.type == (true or r.declared) and r.corrected == (r.type != r.declared) and (r.carved_at > 0) == (true is None)
+        s = list(p)
+        mean = sum(s) / len(s)
+        assert f";mean={mean:.3f};spread={math.sqrt(sum((x - mean) ** 2 for x in s) / len(s)):.3f};" in r.feature
+    assert {r.carved_at > 0 for r in rows.values()} == {r.corrected for r in rows.values()} == {True, False}
 
 
 def brute_secrets(t: str) -> tuple[str, str]:
-    from millrace.llm.secrets import ALLOW, ASSIGN, THRESHOLD
+    from millrace.llm.secrets import ASSIGN, CLASSES, DIGITS, PART, PATH, THRESHOLD, UUID, WORDS
 
     base = [(m.start(), 0, m.end(), "assign") for m in re.finditer(ASSIGN, t) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
@@ -58,12 +69,17 @@ def brute_secrets(t: str) -> tuple[str, str]:
     more = []
     for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t):
         x = m[0]
-        if any(re.search(p, x) for p in ALLOW):
+        skip = f"(?i){WORDS}|{PART}" if re.search(PATH, x) else f"(?i){PART}"
+        passed = {i for s in re.finditer(skip, x) for i in range(*s.span())}
+        at = [i for i in range(len(x)) if i not in passed]
+        rest = "".join(x[i] for i in at)
+        if re.search(UUID, x) or re.search(DIGITS, rest):
             continue
-        bar = THRESHOLD["hex" if re.fullmatch("[0-9A-Fa-f]+", x) else "letters" if re.fullmatch("[A-Za-z]+", x) else "mixed"]
-        hot = [j for j in range(len(x) - 19) if -sum(n / 20 * math.log2(n / 20) for n in (x[j : j + 20].count(c) for c in set(x[j : j + 20]))) >= bar]
+        bar = next((THRESHOLD[k] for k, p in CLASSES.items() if re.search(p, rest)), THRESHOLD["mixed"])
+        entropy = lambda w: -sum(n / 20 * math.log2(n / 20) for n in (w.count(c) for c in set(w)))
+        hot = [j for j in range(len(rest) - 19) if entropy(rest[j : j + 20]) >= bar]
         if hot:
-            more.append((m.start() + hot[0], 3, m.start() + hot[-1] + 20, "entropy"))
+            more.append((m.start() + at[hot[0]], 3, m.start() + at[hot[-1] + 19] + 1, "entropy"))
     line = lambda s: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(s))
     return hashlib.sha256(line(base).encode()).hexdigest(), line(base + more)
 
@@ -124,12 +140,32 @@ def test_near_duplicates(got, docs):
 
 
 def test_token_counts(got, docs):
-    from millrace.llm.tokencount import counter, default_vocabulary
+    from millrace.llm.tokencount import build, counter, default_vocabulary
 
     c, rows = counter(default_vocabulary()), got("op7_token_counts")
     for i, text, _ in docs:
-        after = re.sub("[0-9]{3,}", "<NUM>", text or "")
-        assert (rows[i].n_before, rows[i].n_tokens) == (len(c.coder.encode_ordinary(text or "")), len(c.coder.encode_ordinary(after)))
+        t = text or ""
+        after = re.sub("[0-9]{3,}", "<NUM>", t)
+        assert (rows[i].n_before, rows[i].n_tokens) == (len(c.coder.encode_ordinary(t)), len(c.coder.encode_ordinary(after)))
+        n = len(re.findall("[0-9]{3,}", t))
+        assert rows[i].n_edits == n and (rows[i].n_encoded > 0) == (n > 0) and rows[i].n_encoded <= rows[i].n_tokens
+        if not n:
+            assert rows[i].n_leaves == build(t, c).width
+
+
+def test_pii_spans(got, docs):
+    """All spans of the query against base spans by plain patterns and the model decoded in plain Python."""
+    from test_llm_operators import brute_model_spans
+
+    from millrace.llm.pii import train
+
+    crf, rows = train(), got("op10_pii")
+    for i, text, _ in docs:
+        base = brute_pii(text or "")
+        more = sorted((k, a, b) for k, a, b in brute_model_spans(text or "", crf) if not any(a < e and s < b for _, s, e in base))
+        order = ["tel", "nid", "name", "addr"]
+        more.sort(key=lambda x: (order.index(x[0]), x[1]))
+        assert rows[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in [*base, *more])
 
 
 def test_quality_held_out(got, sf_dir):
