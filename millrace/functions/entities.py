@@ -170,3 +170,65 @@ def mask_counts(text: Column) -> dict[str, Column]:
         out[kind] = out[kind] + n if kind in out else n
         text = F.regexp_replace(text, pattern, mask)
     return out
+
+
+def question_day(question: Column) -> Column:
+    """The one day that a question names, unless it bounds a range; else null."""
+    days = F.regexp_extract_all(question, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))
+    bound = question.rlike(r"(?i)\b(since|after|before|until|from|by|between)\b[^.!?\n]*\b\d{4}-\d{2}-\d{2}\b")
+    return F.when((F.size(days) == 1) & ~bound, F.try_to_date(F.get(days, 0), "yyyy-MM-dd"))
+
+
+def markup_ratio(text: Column) -> Column:
+    """The share of a Markdown body's characters, code and white space aside, that are markup."""
+    from millrace.functions.text import without_code
+
+    plain = without_code(text)
+    solid = lambda t: F.length(F.regexp_replace(t, r"\s+", ""))
+    prose = F.regexp_replace(F.regexp_replace(plain, r"!\[[^\]]*\]\([^)]*\)", " "), r"\[([^\]]*)\]\([^)]*\)", "$1")
+    prose = F.regexp_replace(F.regexp_replace(prose, r"<[^>]+>", " "), r"(?m)^\s{0,3}(#{1,6}\s|>\s?|[-*+]\s|\d+\.\s)", " ")
+    prose = F.regexp_replace(F.regexp_replace(prose, r"\|", " "), r"[*_~`]+", " ")
+    return F.when(solid(plain) == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (solid(plain) - solid(prose)) / solid(plain)))
+
+
+def contextual_prefix(title: Column, synopsis: Column) -> Column:
+    """What is put before a chunk when it is embedded: its title and synopsis between marks; null without either."""
+    t, s = F.nullif(F.trim(F.coalesce(title, F.lit(""))), F.lit("")), F.nullif(F.trim(F.coalesce(synopsis, F.lit(""))), F.lit(""))
+    return F.when(t.isNotNull() | s.isNotNull(), F.concat(F.lit("<context>"), F.coalesce(t, F.lit("")), F.lit("\n"), F.coalesce(F.concat(s, F.lit("\n")), F.lit("")), F.lit("</context>\n")))
+
+
+def frontmatter_tags(tags: Column) -> Column:
+    """The tags of a frontmatter field, a JSON list or a comma-separated string, lower-cased, once each."""
+    listed = F.from_json(tags, "array<string>")
+    raw = F.when(tags.startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.split(tags, ","))
+    return F.array_distinct(F.filter(F.transform(raw, lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+
+
+#: Keys of JSON objects whose values are never shown (fixed values of this library).
+HIDDEN_KEYS = "password|passwd|secret|token|api_?key|authorization|cookie"
+
+
+def redacted_json(text: Column) -> Column:
+    """JSON text with the string values of hidden keys masked, at any depth."""
+    return F.regexp_replace(text, rf'(?i)("(?:{HIDDEN_KEYS})"\s*:\s*)"(?:[^"\\]|\\.)*"', '$1"[redacted]"')
+
+
+def body_parts(text: Column, most: int) -> Column:
+    """A body in parts of at most `most` characters: whole sections where they fit, else paragraphs, else pieces."""
+    sections = F.split(text, r"(?<=\n)(?=#{1,6} )")
+    pieces = lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, F.lit(most))))
+    paragraphs = lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(F.flatten(F.transform(F.split(s, r"(?<=\n\n)"), pieces)))
+    return F.filter(F.flatten(F.transform(sections, paragraphs)), lambda p: p != "")
+
+
+def capitalised_runs(text: Column) -> Column:
+    """Candidates for entities: runs of two to four capitalised words, once each, in order."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){1,3})\b"), F.lit(1)))
+
+
+def parsed_facts(reply: Column) -> Column:
+    """Facts of a model's JSON reply: array of (entity, fact, kind, confidence); junk names, empty claims and broken JSON give none."""
+    rows = F.from_json(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), "array<struct<entity:string,fact:string,kind:string,confidence:double>>")
+    kept = F.filter(F.coalesce(rows, F.array().cast("array<struct<entity:string,fact:string,kind:string,confidence:double>>")), lambda x: ~junk_name(x["entity"]) & F.coalesce(F.trim(x["fact"]) != "", F.lit(False)))
+    kind = lambda x: F.when(x["kind"].isin("event", "preference", "commitment", "belief", "fact"), x["kind"]).otherwise("fact")
+    return F.transform(kept, lambda x: F.struct(F.trim(x["entity"]).alias("entity"), F.trim(x["fact"]).alias("fact"), kind(x).alias("kind"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(x["confidence"], F.lit(1.0)))).alias("confidence")))

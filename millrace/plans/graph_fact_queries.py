@@ -267,7 +267,9 @@ def _(spark, d):
     return Tables(spark, d).part.select(F.col("p_partkey").alias("id"), F.when(n == 1, "resolved").otherwise("ambiguous").alias("state"))
 
 
-@query("open_loops")
+@query("open_loops", r"""WITH t AS (SELECT conv_id AS thread, turn, role, text, TIMESTAMP '2024-01-01' + to_days(CAST(conv_id % 30 AS INTEGER)) + to_hours(turn) AS ts FROM conversations),
+l AS (SELECT thread, max(ts) AS last_at, count(*) AS turns, arg_max(role, (ts, turn, role, text)) AS role, arg_max(text, (ts, turn, role, text)) AS text FROM t GROUP BY 1)
+SELECT thread, last_at, turns, CASE WHEN role = 'user' AND (contains(text, '?') OR regexp_matches(text, '(?i)\b(please|can you|could you)\b')) THEN CASE WHEN epoch(TIMESTAMP '2024-01-25') - epoch(last_at) < 86400 THEN 'fresh' WHEN epoch(TIMESTAMP '2024-01-25') - epoch(last_at) > 14 * 86400 THEN 'expired' ELSE 'open' END ELSE 'settled' END AS state FROM l""")
 def _(spark, d):
     c = Tables(spark, d).conversations
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("conv_id") % 30).cast("int"), F.col("turn").cast("int"))

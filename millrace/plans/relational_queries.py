@@ -202,7 +202,7 @@ def _(spark, d):
     return Tables(spark, d).chunks.groupBy("doc_id").agg(F.md5(F.expr("listagg(content, '\n') within group (order by chunk_index)")).alias("digest"))
 
 
-@query("json_aggregation")
+@query("json_aggregation", """SELECT entity_slug, '[' || string_agg('{"slot":"' || slot || '","source_id":"' || source_id || '"}', ',' ORDER BY slot, source_id) || ']' AS conflict FROM (SELECT DISTINCT entity_slug, slot, source_id FROM facts) GROUP BY 1 HAVING length(conflict) > 40""", "facts")
 def _(spark, d):
     f = Tables(spark, d).facts
     return f.groupBy("entity_slug").agg(F.to_json(F.sort_array(F.collect_set(F.struct("slot", "source_id")))).alias("conflict")).filter(F.length("conflict") > 40)

@@ -123,7 +123,15 @@ def _(spark, d):
     return Tables(spark, d).vault.filter("type = 'product'").filter(S.title_phrase(F.col("title"), F.lit("I saw the red widget 1, and Red Widget 11 there"))).select("slug")
 
 
-@query("resolve_slugs_fuzzy")
+def _trigrams(x: str) -> str:
+    return rf"list_distinct(flatten(list_transform(regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+def _likeness(a: str, b: str) -> str:
+    return f"len(list_intersect({a}, {b})) / greatest(1, len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+
+
+@query("resolve_slugs_fuzzy", f"SELECT slug, round(greatest({_likeness('t', 'q')}, {_likeness('s', 'q')}), 9) AS similarity FROM (SELECT slug, {_trigrams('title')} AS t, {_trigrams('slug')} AS s, {_trigrams(chr(39) + 'small rign 17' + chr(39))} AS q FROM vault) WHERE similarity >= 0.3 ORDER BY 2 DESC, 1 LIMIT 5", "vault")
 def _(spark, d):
     return S.fuzzy(Tables(spark, d).vault, "small rign 17")
 

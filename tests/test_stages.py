@@ -141,3 +141,18 @@ def test_index_reads_its_terms_only(spark, tmp_path):
     assert [r.id for r in S.indexed_ranked(spark, path, ["the", "dog"], 5).collect()] == [1]
     plan = S.indexed_all(spark, path, ["dog"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,dog)]" in plan
+
+
+def test_gate_and_context(spark):
+    from millrace.operators import context as X
+
+    was = {"recall": 0.8, "rr": 0.6, "p50": 40.0, "p95": 100.0}
+    assert X.gate({"recall": 0.79, "rr": 0.6, "p50": 85.0, "p95": 190.0}, was) == []
+    assert X.gate({"recall": 0.7, "rr": 0.6, "p50": 95.0, "p95": 251.0}, was) == ["recall fell from 0.800 to 0.700", "p50 latency 95 ms is above 2 times 40 ms", "p95 latency 251 ms is above 2 times 100 ms"]
+    assert X.gate({"recall": 0.1, "rr": 0.1}, None, least_recall=0.5) == ["recall 0.100 is below 0.500"]
+    got = one(spark, N.parsed_facts(F.col("t")), t='x [{"entity":"Ada","fact":" likes tea ","kind":"odd","confidence":3},{"entity":"me","fact":"y"},{"entity":"Bo","fact":" "}] y')
+    assert [tuple(r) for r in got] == [("Ada", "likes tea", "fact", 1.0)]
+    assert one(spark, N.parsed_facts(F.col("t")), t="no json") == []
+    parts = one(spark, N.body_parts(F.col("t"), 10), t="# a\nshort\n## b\nfirst part\n\nsecond one is long")
+    assert "".join(parts) == "# a\nshort\n## b\nfirst part\n\nsecond one is long" and max(map(len, parts)) <= 10
+    assert one(spark, N.redacted_json(F.col("t")), t='{"a":{"api_key":"x\\"y","b":"c"},"Secret" : ""}') == '{"a":{"api_key":"[redacted]","b":"c"},"Secret" : "[redacted]"}'
