@@ -16,11 +16,12 @@ def embed(df: DataFrame, text: Column, out: str, dims: int = 64) -> DataFrame:
     """df with a deterministic embedding of a text: token counts in hashed dimensions, unit length; zeros without tokens. JVM-side."""
     from millrace.functions.text import tokens
 
-    slots = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    df = df.withColumn("__slots", slots)
-    df = df.withColumn("__counts", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter("__slots", lambda s: s == i)).cast("double")))
-    df = df.withColumn("__norm", F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda a, x: a + x * x)))
-    return df.withColumn(out, F.transform("__counts", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm")).otherwise(0.0))).drop("__slots", "__counts", "__norm")
+    slots = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dims).cast("int"))
+    # Bound to a variable, so that a text is tokenised and hashed once and not for each dimension.
+    every = F.sequence(F.lit(0), F.lit(dims - 1))
+    counts = F.get(F.transform(F.array(slots), lambda ss: F.transform(every, lambda i: F.size(F.filter(ss, lambda s: s == i)).cast("double"))), 0)
+    unit = lambda c: F.get(F.transform(F.array(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0))), 0)
+    return df.withColumn(out, F.get(F.transform(F.array(counts), unit), 0))
 
 
 def leader_clusters(vectors: DataFrame, bucket: str, row_id: str, vector: str, threshold: float = 0.85) -> DataFrame:

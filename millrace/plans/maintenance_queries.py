@@ -39,10 +39,11 @@ def _(spark, d):
     return M.leader_clusters(rows, "bucket", "vec_id", "e", 0.0)
 
 
-@query("deterministic_embedding")
+@query("deterministic_embedding", r"WITH t AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 16 AS dim, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents) GROUP BY 1, 2) SELECT doc_id, dim, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM t")
 def _(spark, d):
     e = M.embed(Tables(spark, d).documents.select("doc_id", "text"), F.col("text"), "e", 16)
-    return e.select("doc_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x), 6).alias("squares"))
+    rows = e.select("doc_id", F.posexplode("e").alias("dim", "value")).filter("value > 0")
+    return rows.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 @query("purge_closure", "WITH e AS (SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey * 2 IN (SELECT p_partkey FROM part)), w(slug, depth) AS (SELECT CAST(3 AS BIGINT), 0 UNION SELECT b, depth + 1 FROM w JOIN e ON a = slug WHERE slug > 0) SELECT slug, min(depth) AS depth FROM w GROUP BY slug", recursive=True)

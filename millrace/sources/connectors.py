@@ -225,3 +225,67 @@ def table_digest(df: DataFrame) -> DataFrame:
     h = F.sha2(row, 256)
     part = lambda a: F.conv(F.substring(h, a, 12), 16, 10).cast("decimal(20,0)")
     return df.select(part(1).alias("a"), part(13).alias("b")).agg(F.count("*").alias("n"), F.sum("a").alias("digest_a"), F.sum("b").alias("digest_b"))
+
+
+MESSAGES = "uuid string, name string, created_at string, chat_messages array<struct<uuid:string, sender:string, text:string, created_at:string, content:array<struct<type:string, text:string>>>>"
+
+
+def chat_list_turns(raw: DataFrame) -> DataFrame:
+    """Chat exports that list their messages (schema MESSAGES): conversation, title, turn, id, role, at, text; other senders and messages
+    without text are left out, and so are conversations without an id."""
+    rows = raw.filter(F.trim("uuid") != "").select(F.trim("uuid").alias("conversation"), F.nullif(F.trim("name"), F.lit("")).alias("title"), F.posexplode("chat_messages").alias("turn", "m"))
+    blocks = F.trim(F.array_join(F.transform(F.filter("m.content", lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"]), "\n\n"))
+    text = F.coalesce(F.nullif(blocks, F.lit("")), F.nullif(F.trim("m.text"), F.lit("")))
+    role = F.when(F.col("m.sender") == "human", "user").when(F.col("m.sender") == "assistant", "assistant")
+    out = rows.select("conversation", "title", "turn", F.col("m.uuid").alias("id"), role.alias("role"), F.try_to_timestamp("m.created_at").alias("at"), text.alias("text"))
+    return out.filter("role is not null and text is not null")
+
+
+def export_format(record: Column) -> Column:
+    """Which kind of chat export a JSON record is of: tree, list, rollout, session, or null."""
+    has = lambda path: F.get_json_object(record, path).isNotNull()
+    return F.when(has("$.mapping"), "tree").when(has("$.chat_messages") & has("$.uuid"), "list").when(has("$.payload") & has("$.timestamp"), "rollout").when(has("$.sessionId") & has("$.message"), "session")
+
+
+def detected_format(records: DataFrame, column: str = "value", probe: int = 20) -> DataFrame:
+    """One row: the format of the first records that have one (by order of tree, list, rollout, session); null if none has."""
+    order = F.array_position(F.lit(["tree", "list", "rollout", "session"]), F.col("format"))
+    found = records.limit(probe).select(export_format(F.col(column)).alias("format")).filter("format is not null")
+    return found.agg(F.min(F.struct(order.alias("n"), "format"))["format"].alias("format"))
+
+
+OFFICE_MAIL = "id string, conversationId string, receivedDateTime string, subject string, `from` struct<emailAddress:struct<name:string, address:string>>, body struct<contentType:string, content:string>, isDraft boolean"
+
+
+def office_messages(raw: DataFrame) -> DataFrame:
+    """Mail of an office suite's JSON: thread, id, at, sender, subject, body (HTML as text); drafts are left out."""
+    from millrace.functions.text import html_text
+
+    body = F.when(F.lower("body.contentType") == "html", F.regexp_replace(html_text(F.col("body.content")), r"^\s+|\s+$", "")).otherwise(F.col("body.content"))
+    kept = raw.filter(~F.coalesce("isDraft", F.lit(False)))
+    return kept.select(F.col("conversationId").alias("thread"), "id", F.try_to_timestamp("receivedDateTime").alias("at"), F.lower("from.emailAddress.address").alias("sender"), "subject", body.alias("body"))
+
+
+OFFICE_EVENT = "id string, subject string, isCancelled boolean, isAllDay boolean, start struct<dateTime:string, timeZone:string>, `end` struct<dateTime:string, timeZone:string>, responseStatus struct<response:string>, attendees array<struct<emailAddress:struct<address:string>, status:struct<response:string>>>"
+
+
+def office_events(raw: DataFrame) -> DataFrame:
+    """Events of an office suite's JSON, as calendar_events gives them; times in the zone that they name, as UTC."""
+    at = lambda c: F.to_utc_timestamp(F.try_to_timestamp(F.regexp_replace(f"{c}.dateTime", r"\.\d+$", "")), F.coalesce(f"{c}.timeZone", F.lit("UTC")))
+    owes = F.coalesce(F.lower("responseStatus.response").isin("notresponded", "none"), F.lit(False))
+    kept = raw.filter(~F.coalesce("isCancelled", F.lit(False)))
+    return kept.select("id", F.col("subject").alias("title"), at("start").alias("from"), at("end").alias("to"), F.coalesce("isAllDay", F.lit(False)).alias("all_day"), F.transform("attendees", lambda a: F.lower(a["emailAddress"]["address"])).alias("attendees"), owes.alias("owes_reply"))
+
+
+TRANSCRIPT = "id string, title string, date long, sentences array<struct<speaker_name:string, text:string, start_time:double, end_time:double>>"
+
+
+def meeting_turns(raw: DataFrame) -> DataFrame:
+    """Recorded meetings (schema TRANSCRIPT): meeting, title, held, turn, who, starts, text; a speaker's sentences that follow each
+    other are one turn. A meeting is one row, and so one task's work."""
+    rows = raw.select(F.col("id").alias("meeting"), "title", F.timestamp_millis("date").alias("held"), F.filter("sentences", lambda s: F.coalesce(F.trim(s["text"]) != "", F.lit(False))).alias("s"))
+    opens = F.filter(F.sequence(F.lit(0), F.size("s")), lambda i: (i < F.size("s")) & ((i == 0) | ~F.get("s", i)["speaker_name"].eqNullSafe(F.get("s", i - 1)["speaker_name"])))
+    turns = rows.withColumn("opens", opens).select("meeting", "title", "held", "s", "opens", F.posexplode("opens").alias("turn", "a"))
+    end = F.coalesce(F.get("opens", F.col("turn") + 1), F.size("s"))
+    said = F.array_join(F.transform(F.slice("s", F.col("a") + 1, end - F.col("a")), lambda x: F.trim(x["text"])), " ")
+    return turns.select("meeting", "title", "held", "turn", F.get("s", F.col("a"))["speaker_name"].alias("who"), F.get("s", F.col("a"))["start_time"].alias("starts"), said.alias("text"))

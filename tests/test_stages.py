@@ -156,3 +156,22 @@ def test_gate_and_context(spark):
     parts = one(spark, N.body_parts(F.col("t"), 10), t="# a\nshort\n## b\nfirst part\n\nsecond one is long")
     assert "".join(parts) == "# a\nshort\n## b\nfirst part\n\nsecond one is long" and max(map(len, parts)) <= 10
     assert one(spark, N.redacted_json(F.col("t")), t='{"a":{"api_key":"x\\"y","b":"c"},"Secret" : ""}') == '{"a":{"api_key":"[redacted]","b":"c"},"Secret" : "[redacted]"}'
+
+
+def test_exports_of_other_stores(spark):
+    read = lambda schema, *rows: spark.createDataFrame([(r,) for r in rows], "value string").select(F.from_json("value", schema).alias("r")).select("r.*")
+    chat = '{"uuid":"u1","name":" ","chat_messages":[{"uuid":"a","sender":"human","text":"hi","created_at":"2024-01-01T10:00:00Z","content":[]},{"uuid":"b","sender":"assistant","content":[{"type":"text","text":"one"},{"type":"tool","text":"no"},{"type":"text","text":"two"}]},{"sender":"system","text":"x"},{"sender":"human","text":" "}]}'
+    got = [(r.conversation, r.title, r.turn, r.role, r.text) for r in C.chat_list_turns(read(C.MESSAGES, chat)).orderBy("turn").collect()]
+    assert got == [("u1", None, 0, "user", "hi"), ("u1", None, 1, "assistant", "one\n\ntwo")]
+    records = spark.createDataFrame([("{}",), ('{"timestamp":1,"payload":{}}',), (chat,)], "value string")
+    assert C.detected_format(records).first().format == "list" and C.detected_format(records.limit(1)).first().format is None
+    mail = '{"id":"1","conversationId":"t","receivedDateTime":"2024-01-02T03:04:05Z","subject":"s","from":{"emailAddress":{"address":"A@B.co"}},"body":{"contentType":"HTML","content":"<p>Hi <b>you</b></p>"}}'
+    m = C.office_messages(read(C.OFFICE_MAIL, mail, '{"id":"2","isDraft":true}')).collect()
+    assert [(r.thread, r.sender, r.body) for r in m] == [("t", "a@b.co", "Hi you")]
+    event = '{"id":"e","subject":"Talk","start":{"dateTime":"2024-06-01T10:00:00.0000000","timeZone":"Europe/Berlin"},"end":{"dateTime":"2024-06-01T11:00:00","timeZone":"UTC"},"responseStatus":{"response":"notResponded"},"attendees":[{"emailAddress":{"address":"X@y.z"}}]}'
+    r = C.office_events(read(C.OFFICE_EVENT, event, '{"id":"f","isCancelled":true}')).select("id", F.date_format("from", "HH:mm").alias("a"), F.date_format("to", "HH:mm").alias("b"), "attendees", "owes_reply").collect()
+    assert [tuple(x) for x in r] == [("e", "08:00", "11:00", ["x@y.z"], True)]
+    meeting = '{"id":"m","title":"T","date":0,"sentences":[{"speaker_name":"A","text":"one","start_time":0.5},{"speaker_name":"A","text":" two "},{"speaker_name":"B","text":""},{"speaker_name":"B","text":"three"},{"speaker_name":"A","text":"four"}]}'
+    got = [(r.turn, r.who, r.text) for r in C.meeting_turns(read(C.TRANSCRIPT, meeting)).orderBy("turn").collect()]
+    assert got == [(0, "A", "one two"), (1, "B", "three"), (2, "A", "four")]
+    assert C.meeting_turns(read(C.TRANSCRIPT, '{"id":"m","sentences":[]}')).count() == 0
