@@ -70,25 +70,31 @@ def _appended(items: Column, first: Column, kind: str, step) -> Column:
     return F.aggregate(items, F.struct(first.alias("at"), _none(f"array<{kind}>").alias("out")), one)["out"]
 
 
-def located(text: Column, pattern: str | Column, found: Column) -> Column:
-    """(start, match) of each of `found`, all matches of pattern in text, from the lengths of what lies between.
+def _running(items: Column, kind: str, value, plus, make) -> Column:
+    """make(state before it, item) of each item, where the state is what `plus` makes of all values before, from 0.
 
-    Appending to an array copies it, so running sums are taken over parts of PART_SIZE matches, and over the sums of parts.
+    Appending to an array copies it, so states run over parts of PART_SIZE items, and over what parts come to.
     """
-    between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    pairs = F.zip_with(between, found, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
-    kind = "struct<start:bigint,hit:string>"
-    width = lambda x: x["gap"] + F.length(x["hit"])
+    zero = F.lit(0).cast("long")
 
-    def part(items: Column, first: Column) -> Column:
-        return _appended(items, first, kind, lambda at, x: (at + width(x), F.struct((at + x["gap"]).alias("start"), x["hit"].alias("hit"))))
+    def part(some: Column, first: Column) -> Column:
+        return _appended(some, first, kind, lambda at, x: (plus(at, value(x)), make(at, x)))
 
     def placed(parts: Column) -> Column:
-        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda n, x: n + width(x)))
-        return F.flatten(F.zip_with(parts, _appended(sums, F.lit(0).cast("long"), "bigint", lambda at, n: (at + n, at)), part))
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda n, x: plus(n, value(x))))
+        return F.flatten(F.zip_with(parts, _appended(sums, zero, "bigint", lambda at, n: (plus(at, n), at)), part))
 
-    cut = lambda ps: F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / PART_SIZE).cast("int")), lambda i: F.slice(ps, i * PART_SIZE + 1, F.lit(PART_SIZE)))
-    return F.when(F.size(found) > 0, _let(pairs, lambda ps: _let(cut(ps), placed))).otherwise(_none(f"array<{kind}>"))
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / PART_SIZE).cast("int")), lambda i: F.slice(xs, i * PART_SIZE + 1, F.lit(PART_SIZE)))
+    return _let(items, lambda xs: F.when(F.size(xs) > 0, _let(cut(xs), placed)).otherwise(_none(f"array<{kind}>")))
+
+
+def located(text: Column, pattern: str | Column, found: Column) -> Column:
+    """(start, match) of each of `found`, all matches of pattern in text, from the lengths of what lies between."""
+    between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    pairs = F.zip_with(between, found, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    kind = "struct<start:bigint,hit:string>"
+    places = _running(pairs, kind, lambda x: x["gap"] + F.length(x["hit"]), lambda a, b: a + b, lambda at, x: F.struct((at + x["gap"]).alias("start"), x["hit"].alias("hit")))
+    return F.when(F.size(found) > 0, places).otherwise(_none(f"array<{kind}>"))
 
 
 def _span(start: Column, stop: Column, kind: str) -> Column:
@@ -176,16 +182,19 @@ def listed(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with each span of its text replaced by mark; overlapping spans become one. Texts without spans, null included, stay."""
-    spans, cut = free(df, "spans", "cut")
-    step = lambda s, x: F.struct(
-        F.greatest(s["at"], x["stop"]).alias("at"),
-        F.when(x["start"] >= s["at"], F.concat(s["out"], F.substr(F.col(text), s["at"].cast("int") + 1, (x["start"] - s["at"]).cast("int")), F.lit(mark))).otherwise(s["out"]).alias("out"),
-    )
-    got = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step)
-    return (
-        with_spans(df, text, spans)
-        .withColumn(cut, F.when(F.size(spans) > 0, got))
-        .withColumn(text, F.when(F.col(cut).isNotNull(), F.concat(F.col(cut)["out"], F.substr(F.col(text), F.col(cut)["at"].cast("int") + 1))).otherwise(F.col(text)))
-        .drop(spans, cut)
-    )
+    """df with each span of its text replaced by mark; overlapping spans become one. Texts without spans, null included, stay.
+
+    A text with spans is cut as code points of four bytes each, whose places need no search from the text's start.
+    """
+    (spans,) = free(df, "spans")
+
+    def clean(points: Column) -> Column:
+        piece = lambda a, b: F.decode(F.substr(points, (a * 4 + 1).cast("int"), ((b - a) * 4).cast("int")), "UTF-32")
+        kind = "struct<before:bigint,start:bigint,stop:bigint>"
+        seen = _running(F.col(spans), kind, lambda x: x["stop"], F.greatest, lambda at, x: F.struct(at.alias("before"), x["start"].alias("start"), x["stop"].alias("stop")))
+        heads = lambda xs: F.transform(F.filter(xs, lambda x: x["start"] >= x["before"]), lambda x: F.concat(piece(x["before"], x["start"]), F.lit(mark)))
+        last = F.aggregate(F.col(spans), F.lit(0).cast("long"), lambda n, x: F.greatest(n, x["stop"]))
+        return F.concat(F.array_join(_let(seen, heads), ""), piece(last, F.floor(F.octet_length(points) / 4)))
+
+    cut = _let(F.encode(F.col(text).cast("string"), "UTF-32"), clean)
+    return with_spans(df, text, spans).withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(F.col(text))).drop(spans)
