@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,21 +25,45 @@ def embed(df: DataFrame, text: Column, out: str, dims: int = 64) -> DataFrame:
     return df.withColumn(out, F.get(F.transform(F.array(counts), unit), 0))
 
 
-def leader_clusters(vectors: DataFrame, bucket: str, row_id: str, vector: str, threshold: float = 0.85) -> DataFrame:
-    """Each row's cluster: the first earlier leader of its bucket whose cosine reaches the threshold, else itself a leader.
+def _unit(x: pd.Series) -> np.ndarray:
+    m = np.stack(x.to_list())
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
-    Greedy in the order of ids, so a bucket is one group; buckets (an entity's facts of one source) are small by their nature.
-    """
-    import numpy as np
 
-    schema = f"{bucket} {vectors.schema[bucket].dataType.simpleString()}, {row_id} long, leader long"
+def leader_clusters(vectors: DataFrame, bucket: str, row_id: str, vector: str, threshold: float = 0.85, block: int = 4096) -> DataFrame:
+    """Each row's cluster: the first earlier leader of its bucket whose cosine reaches the threshold, else itself a leader.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(row_id)
-        m = np.stack(rows[vector].to_list())
-        m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        leaders: list[int] = []
-        out = []
+    Greedy in the order of ids. A bucket of up to `block` rows (an entity's facts of one source) is one group. Larger ones are
+    cut into slices of about `block` rows in the order of ids, one round each: a slice's rows meet the leaders so far in pairs of
+    blocks, and those without a leader are settled among themselves. Either way has the same result.
+    """
+    rows = vectors.select(F.col(bucket).alias("b"), F.col(row_id).alias("id"), F.col(vector).alias("e"))
+    most = rows.groupBy("b").count().agg(F.max("count")).first()[0] or 0
+    if most <= block:
+        return _greedy(rows, threshold).select(F.col("b").alias(bucket), F.col("id").alias(row_id), "leader")
+    n = -(-most // block)
+    cuts = rows.groupBy(F.col("b").alias("c")).agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n).alias("cuts"))
+    rows = settled(rows.join(cuts, F.col("b").eqNullSafe(F.col("c"))).select("b", "id", "e", F.size(F.filter("cuts", lambda x: x < F.col("id"))).alias("slice")))
+    done, leaders = None, None
+    for k in range(n):
+        part = rows.filter(F.col("slice") == k).drop("slice")
+        if leaders is not None:
+            led = settled(_nearest_leader(part, leaders, threshold, block))
+            rest = part.join(led.select("id"), "id", "left_anti").select("b", "id", "e")
+        new = settled(_greedy(part if leaders is None else rest, threshold))
+        fresh = part.join(new.filter("id = leader").select("id"), "id", "left_semi").select("b", "id", "e")
+        leaders = settled(fresh if leaders is None else leaders.unionByName(fresh))
+        now = new if k == 0 else new.unionByName(led)
+        done = now if done is None else done.unionByName(now)
+    return done.select(F.col("b").alias(bucket), F.col("id").alias(row_id), "leader")
+
+
+def _greedy(rows: DataFrame, threshold: float) -> DataFrame:
+    """leader_clusters of (b, id, e), a bucket in one group: b, id, leader."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("id")
+        m, leaders, out = _unit(own["e"]), [], []
         for i in range(len(m)):
             near = np.flatnonzero(m[leaders] @ m[i] >= threshold) if leaders else []
             if len(near):
@@ -46,10 +71,32 @@ def leader_clusters(vectors: DataFrame, bucket: str, row_id: str, vector: str, t
             else:
                 leaders.append(i)
                 out.append(i)
-        ids = rows[row_id].to_numpy()
-        return pd.DataFrame({bucket: rows[bucket].to_numpy(), row_id: ids, "leader": ids[out]})
-
-    return vectors.groupBy(bucket).applyInPandas(run, schema)
+        ids = own["id"].to_numpy()
+        return pd.DataFrame({"b": own["b"].to_numpy(), "id": ids, "leader": ids[out]})
+
+    return rows.groupBy("b").applyInPandas(run, f"b {rows.schema['b'].dataType.simpleString()}, id long, leader long")
+
+
+def _nearest_leader(part: DataFrame, leaders: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(b, id, leader): the first leader that each row of a slice reaches, of those before the slice; rows that reach none are left out."""
+    most = lambda df: -(-(df.groupBy("b").count().agg(F.max("count")).first()[0] or 1) // block)
+    np_, nl = most(part), most(leaders)
+    deal = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    x = part.select("b", "id", "e", deal(np_).alias("xb"), every(nl).alias("yb"))
+    y = leaders.select("b", "id", "e", deal(nl).alias("yb"), every(np_).alias("xb"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"b": left["b"][:0], "id": [], "leader": []})
+        right = right.sort_values("id")
+        hit = _unit(left["e"]) @ _unit(right["e"]).T >= threshold
+        some = hit.any(1)
+        return pd.DataFrame({"b": left["b"].to_numpy()[some], "id": left["id"].to_numpy()[some], "leader": right["id"].to_numpy()[hit[some].argmax(1)]})
+
+    keys = ["b", "xb", "yb"]
+    found = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(run, f"b {part.schema['b'].dataType.simpleString()}, id long, leader long")
+    return found.groupBy("b", "id").agg(F.min("leader").alias("leader"))
 
 
 def similar_active(facts: DataFrame, queries: DataFrame, key: str, row_id: str, vector: str, least: float = 0.8, n: int = 5) -> DataFrame:

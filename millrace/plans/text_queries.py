@@ -108,7 +108,7 @@ def _(spark, d):
     return t.withColumnRenamed("doc_id", "a").join(b, "a").select("a", "b", F.round(X.jaccard(F.col("w"), F.col("v")), 9).alias("similarity"))
 
 
-@query("chunk_documents")
+@query("chunk_documents", r"SELECT doc_id, CAST(sum(greatest(0, ceil((length(s) - 1000) / 900.0)) + 1) AS BIGINT) AS chunks, max(least(length(s), 1000)) AS longest FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '(?m)^(#{1,2} )', chr(1) || '\1', 'g'), chr(1))) AS s FROM documents) WHERE trim(s, ' ') <> '' GROUP BY 1")
 def _(spark, d):
     c = Tables(spark, d).documents.select("doc_id", F.inline(C.chunk(F.col("text"), 1000, 100)))
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))

@@ -16,6 +16,26 @@ def test_leader_clusters_are_greedy(spark):
     assert {r.id: r.leader for r in M.leader_clusters(df, "k", "id", "e").collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
+def test_leader_clusters_of_large_buckets(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(12, 6))
+    rows = [("hot" if i % 10 else f"b{i % 3}", int(i), (middle[i % 12] + 0.5 * rng.normal(size=6)).tolist()) for i in rng.permutation(300)]
+    df = spark.createDataFrame(rows, "k string, id long, e array<double>")
+    want = {}
+    for b in {r[0] for r in rows}:
+        leaders = []
+        for _, i, e in sorted(r for r in rows if r[0] == b):
+            v = np.array(e) / np.linalg.norm(e)
+            want[i] = next((j for j, u in leaders if u @ v >= 0.7), i)
+            if want[i] == i:
+                leaders.append((i, v))
+    assert {r.id: r.leader for r in M.leader_clusters(df, "k", "id", "e", 0.7).collect()} == want
+    assert {r.id: r.leader for r in M.leader_clusters(df, "k", "id", "e", 0.7, block=64).collect()} == want
+    assert M.leader_clusters(df.limit(0), "k", "id", "e").count() == 0
+
+
 def test_embedding_is_deterministic_and_unit(spark):
     df = spark.createDataFrame([("a b a",), ("",)], "t string")
     v = [r.e for r in M.embed(df, F.col("t"), "e", 8).collect()]
