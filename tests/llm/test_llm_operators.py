@@ -601,8 +601,8 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
     rng = random.Random(4)
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
     good = spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1"), "doc_id").orderBy("doc_id").first().text
-    big = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
-    odd = [(1, good), (1, good), (2, good), (None, good), (None, None), (3, None), (4, ""), (5, "   "), (6, big), (7, big), (8, f"{good} {item}"), (None, f"{good[:40]} {item}"), (9, "password = hunter22abc"), (9, "password = hunter22abc"), (10, "x")]
+    big, other = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (150_000, 200))
+    odd = [(1, good), (1, good), (2, good), (None, good), (None, None), (3, None), (4, ""), (5, "   "), (6, big), (7, big), (8, f"{other} {item}"), (None, f"{good[:40]} {item}"), (9, "password = hunter22abc"), (9, "password = hunter22abc"), (10, "x")]
     docs = spark.createDataFrame([(i, t, None, "s" if (i or 0) % 2 else None, len(t or ""), "k", "h", "t", "c", "x") for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long, key string, hash string, spans string, cut string, __key string")
     for name, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
