@@ -95,6 +95,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), words=3, least=10, within=50, top=2000)
+
+
 SQL: dict[str, str] = {}
 
 SQL["op5_decontaminate"] = r"""
@@ -146,4 +152,21 @@ m AS (SELECT doc_id, source, unnest(range(0, n)) AS mix_pass FROM n)
 SELECT doc_id, source, mix_pass, CAST(('0x' || substr(md5('1:' || mix_pass || ':' || doc_id), 1, 8)) AS BIGINT) % 1024 AS mix_block, md5('1:' || mix_pass || ':' || doc_id) AS mix_key FROM m
 """
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op4_media": op4_media, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii}
+SQL["op11_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS x FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS ks(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, x, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, x, f AS a, string_split(x, ' ') AS w FROM f WHERE k >= 2 AND f >= 10),
+cut AS (SELECT lang, x, a, j, array_to_string(list_slice(w, 1, j), ' ') AS xl, array_to_string(list_slice(w, j + 1, k), ' ') AS xr, k FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+sc AS (SELECT cut.*, fl.f AS l, fr.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score
+       FROM cut JOIN f AS fl ON fl.lang = cut.lang AND fl.x = xl JOIN f AS fr ON fr.lang = cut.lang AND fr.x = xr),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, x ORDER BY score, j) AS b FROM sc) WHERE b = 1),
+inside AS (SELECT lang, y, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(list_slice(w, 1, 2), ' '), array_to_string(list_slice(w, 2, 3), ' ')]) AS y FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND y = x WHERE longer IS NULL OR 100 * longer < 50 * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, x) AS rank FROM kept)
+SELECT o.lang, rank, x AS phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op4_media": op4_media, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii, "op11_collocations": op11_collocations}
