@@ -101,6 +101,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), words=3, least=10, within=50, top=2000)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2, seed=42)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.divergence import divergences
+
+    return divergences(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
 SQL: dict[str, str] = {}
 
 SQL["op5_decontaminate"] = r"""
@@ -169,4 +181,23 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT o.lang, rank, x AS phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
 """
 
-QUERIES = {"op1_mixture": op1_mixture, "op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op4_media": op4_media, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii, "op11_collocations": op11_collocations}
+SQL["op13_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS n, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+k AS (SELECT n, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM k GROUP BY lang, term HAVING count(DISTINCT n) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM k JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(c.c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1) // (n + v) AS p
+      FROM gn JOIN v ON v.lang = gn.lang JOIN kept ON kept.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term),
+q AS (SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(c) + 1) // (sum(sum(c)) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM c GROUP BY lang, term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+part AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+         FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+         UNION ALL SELECT p.lang, p.source, 'term', p.term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM part)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+QUERIES = {"op1_mixture": op1_mixture, "op2_near_duplicates": op2_near_duplicates, "op3_url_filter": op3_url_filter, "op4_media": op4_media, "op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii, "op11_collocations": op11_collocations, "op12_simhash": op12_simhash, "op13_divergence": op13_divergence}
