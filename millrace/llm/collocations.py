@@ -7,7 +7,8 @@ phrases are sums over prefixes of windows, and one Spark ROLLUP over the lead co
 Most windows of a corpus occur once. A screen comes first: counts by hash of words and of neighbouring words, of which a bit
 table of bounded size keeps those that occur `least` times. A word or a pair that the table lacks can't be inside a candidate, so it ends
 a window as a piece's end does. Hashes that share a bit only let more windows through; all counts come from the windows. Tasks fold
-their windows before Spark adds them up, and a window that stays below `least` loses its last word before the ROLLUP.
+their windows before Spark adds them up. A window travels as one string, its words and its language between line feeds (which no word
+holds), and gets its columns back for the ROLLUP.
 
 Inside one fold of a task (FOLD rows) words are told apart by 64-bit hashes, everywhere else by their text. Scores are exact:
 floor(1000000 * a * a / (l * r)) in 38-digit decimals, for a up to 10^15. Parts and longer phrases are found by joins, which adaptive
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +85,9 @@ def screen(source: DataFrame, least: int) -> np.ndarray:
 
 
 def windows(source: DataFrame, n: int, cells: np.ndarray) -> DataFrame:
-    """(lang, w1 .. wn, c): counted windows, each perhaps in several rows. w1 is null for words that the screen lacks."""
+    """(window, c): counted windows, each perhaps in several rows: n words, empty where padded, and the language, between line feeds.
+    The first word is empty too if the screen lacks it."""
     shared = source.sparkSession.sparkContext.broadcast(cells)
-    names = [f"w{i}" for i in range(1, n + 1)]
 
     def fold(rows: list[tuple[list[np.ndarray], list[pa.Array], np.ndarray]]):
         keys = [np.concatenate(k) for k in zip(*(r[0] for r in rows), strict=True)]
@@ -110,8 +112,7 @@ def windows(source: DataFrame, n: int, cells: np.ndarray) -> DataFrame:
             there = keys[i + 1][first] != 0
             at_word = np.where(there, np.minimum(first + i, len(w.start) - 1), 0)
             size = np.where(there, w.end[at_word] - w.start[at_word], 0)
-            filled = texts(w.low, w.start[at_word], w.start[at_word] + size)
-            columns.append(pa.LargeStringArray.from_buffers(len(there), *filled.buffers()[1:], pa.py_buffer(np.packbits(there, bitorder="little"))))
+            columns.append(texts(w.low, w.start[at_word], w.start[at_word] + size))
         return [k[first] for k in keys], columns, np.diff(np.append(at, len(order)))
 
     def run(batches):
@@ -121,10 +122,10 @@ def windows(source: DataFrame, n: int, cells: np.ndarray) -> DataFrame:
         def flush():
             keys, columns, c = fold(held)
             held.clear()
-            of = pa.array(list(langs), pa.string())
+            of = pa.array(list(langs), pa.large_string())
             for i in range(0, len(c), 1 << 16):
-                part = [of.take(pa.array(keys[0][i : i + (1 << 16)])), *(x.slice(i, 1 << 16).cast(pa.string()) for x in columns), pa.array(c[i : i + (1 << 16)])]
-                yield pa.RecordBatch.from_arrays(part, ["lang", *names, "c"])
+                window = pc.binary_join_element_wise(*(x.slice(i, 1 << 16) for x in columns), of.take(pa.array(keys[0][i : i + (1 << 16)])), pa.scalar("\n", pa.large_string()))
+                yield pa.RecordBatch.from_arrays([window.cast(pa.string()), pa.array(c[i : i + (1 << 16)])], ["window", "c"])
 
         for b in batches:
             code, lang = codes(b.column(1), langs), b.column(2).to_numpy(zero_copy_only=False).view(U)
@@ -136,20 +137,22 @@ def windows(source: DataFrame, n: int, cells: np.ndarray) -> DataFrame:
         if held:
             yield from flush()
 
-    return source.mapInArrow(run, f"lang string, {', '.join(f'{x} string' for x in names)}, c long")
+    return source.mapInArrow(run, "window string, c long")
 
 
 def levels(counted: DataFrame, n: int, least: int) -> DataFrame:
     """(lang, p, f): counts of phrases p (arrays) of 1 to n words, at least `least`; and with p empty, of all words of a language."""
+    part = lambda i: F.get(F.col("part"), F.lit(i))
     names = [f"w{i}" for i in range(1, n + 1)]
-    top = counted.groupBy("lang", *names).agg(F.sum("c").alias("c"))
-    top = top.withColumn(names[-1], F.when(F.col("c") >= least, F.col(names[-1])))
-    rolled = top.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("level"))
-    size = F.lit(n) - F.expr("bit_count(level)")
-    phrase = F.filter(F.array(*names), lambda x: x.isNotNull())
-    # A phrase of a level has a word in each of the level's columns; where one is null, the window was padded.
-    rolled = rolled.select("lang", phrase.alias("p"), "f", size.alias("size")).filter("size = 0 or size > 0 and size(p) = size")
-    return rolled.filter((F.col("size") == 0) | (F.col("f") >= least)).select("lang", "p", "f")
+    top = counted.groupBy("window").agg(F.sum("c").alias("f")).withColumn("part", F.split("window", "\n", n + 1))
+    top = top.select(part(n).alias("lang"), *[F.nullif(part(i), F.lit("")).alias(x) for i, x in enumerate(names)], "f")
+    # One condition on count and word: the word's part alone would go below the counting, which both branches then couldn't share.
+    longest = top.filter(F.when(F.col("f") >= least, F.length(names[-1])) > 0).select("lang", F.array(*names).alias("p"), "f")
+    rolled = top.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
+    phrase = F.filter(F.array(*names[:-1]), lambda x: x.isNotNull())
+    # A phrase of a level has a word in each of the level's columns; where one is null, the window was padded. Level 0 has all columns.
+    rolled = rolled.select("lang", phrase.alias("p"), "f", (F.lit(n - 1) - F.expr("bit_count(level)")).alias("size")).filter("size >= 0 and size(p) = size")
+    return rolled.filter((F.col("size") == 0) | (F.col("f") >= least)).select("lang", "p", "f").unionByName(longest)
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
