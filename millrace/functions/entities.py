@@ -87,37 +87,6 @@ def verb_link(context: Column, page_type: Column) -> Column:
     return F.when(page_type == "media", "mentions").otherwise(out)
 
 
-#: Short given names and what they stand for.
-DIMINUTIVES = {"bob": "robert", "rob": "robert", "bill": "william", "will": "william", "liz": "elizabeth", "beth": "elizabeth", "kate": "katherine", "tom": "thomas", "jim": "james", "mike": "michael", "sasha": "alexander", "alex": "alexander", "misha": "mikhail", "kolya": "nikolai", "katya": "ekaterina", "vanya": "ivan"}
-
-
-def name_words(name: Column) -> Column:
-    """A name's lower-cased words without titles, commas and full stops."""
-    bare = F.regexp_replace(F.lower(name), r"^(?:(?:mr|mrs|ms|dr|prof)\.?\s+)+", "")
-    return F.filter(F.split(F.regexp_replace(bare, "[.,]", " "), r"\s+"), lambda w: w != "")
-
-
-def full_name(word: Column) -> Column:
-    """What a short given name stands for; other words stay."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in DIMINUTIVES.items() for x in kv]), word), word)
-
-
-def edit_keys(word: Column) -> Column:
-    """The word and each form of it with a character less: two words of one edit share a key. Words under five characters: themselves."""
-    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substr(word, i + 1)))
-    return F.when(F.length(word) >= 5, F.array_distinct(F.concat(F.array(word), less))).otherwise(F.array(word))
-
-
-def one_edit(a: Column, b: Column) -> Column:
-    return (F.least(F.length(a), F.length(b)) >= 5) & (F.levenshtein(a, b) <= 1)
-
-
-def given_match(a: Column, b: Column) -> Column:
-    """Whether two given names can be one person's: equal, an initial of the other, one a short form, or one edit apart."""
-    initial = ((F.length(a) == 1) | (F.length(b) == 1)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1))
-    return (a == b) | initial | (full_name(a) == full_name(b)) | one_edit(a, b)
-
-
 def embedding_signature(model: Column, dims: Column) -> Column:
     return F.concat_ws(":", model, dims.cast("string"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.entities import edit_keys, given_match, name_words
 from millrace.functions.text import trigram_similarity
 from millrace.operators.facts import decayed_confidence
 
@@ -156,28 +155,6 @@ def slug_suggestions(pages: DataFrame, slug: str, folder: str, n: int = 3, least
     return rows.filter("affix").unionByName(near)
 
 
-def name_variants(names: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs (a, b) of names of two or three words that can be one person's: equal surnames, and given names that are equal, an
-    initial, a short form, or one edit apart. names: a; others: b.
-
-    Names are joined on surname and one key of the given name: its initial, its long form, or it with a character less, so a
-    frequent surname alone makes no pairs.
-    """
-
-    def keyed(df: DataFrame, c: str) -> DataFrame:
-        words = df.select(c).distinct().withColumn("w", name_words(F.col(c))).filter(F.size("w").between(2, 3))
-        one = words.select(c, F.get("w", 0).alias("given"), F.element_at("w", -1).alias("surname"))
-        from millrace.functions.entities import full_name
-
-        keys = F.array_distinct(F.concat(edit_keys(F.col("given")), F.array(full_name(F.col("given")), F.concat(F.lit("^"), F.substring("given", 1, 1)))))
-        # A whole word meets another one's initial only where one of them is an initial.
-        return one.withColumn("k", F.explode(keys)).withColumn("initial", F.length("given") == 1)
-
-    a, b = keyed(names, "a"), keyed(others, "b").withColumnsRenamed({"given": "given2", "initial": "initial2"})
-    hit = a.join(b, ["surname", "k"]).filter(~F.col("k").startswith("^") | F.col("initial") | F.col("initial2"))
-    return hit.filter(given_match(F.col("given"), F.col("given2"))).select("a", "b").distinct()
-
-
 def renamed(pages: DataFrame, mapping: DataFrame) -> DataFrame:
     """Pages under new slugs (mapping: old, new); a new slug that a page has already leaves its page as it was."""
     free = mapping.select("old", "new").dropDuplicates(["old"]).join(pages.select(F.col("slug").alias("new")), "new", "left_anti")

@@ -77,18 +77,28 @@ def variant(a: Column, b: Column) -> Column:
     return F.when(F.size(b).between(2, 3), F.when(strong, "strong").when(weak, "weak"))
 
 
+def _given_keys(word: Column) -> Column:
+    """What two given names that match have in common: a form, an initial, or the name with a character less."""
+    less = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    return F.concat(_long_forms(word), F.array(word, F.concat(F.lit("^"), F.substring(word, 1, 1))), F.when(F.length(word) >= 5, less).otherwise(F.array().cast("array<string>")))
+
+
 def name_variants(mentions: DataFrame, people: DataFrame, name: str = "name", title: str = "title") -> DataFrame:
     """(name, slug, title, fit) of each mention and person that fit (see variant); mentions are taken once each.
 
-    Strong fits share the surname, weak ones a given name's long form: mentions and people meet under these words, so no two rows
-    meet that have nothing in common.
+    Strong fits share the surname and a form, the initial or all characters but one of the given name, weak ones a form of the given
+    name: mentions and people meet under these keys, so a frequent surname alone makes no pairs.
     """
-    m = mentions.select(F.col(name).alias("name")).distinct().withColumn("a", name_words(F.col("name")))
+    m = mentions.select(F.col(name).alias("name")).distinct().withColumn("a", name_words(F.col("name"))).filter(F.size("a").between(1, 3))
     p = people.select("slug", F.col(title).alias("title")).withColumn("b", name_words(F.col("title"))).filter(F.size("b").between(2, 3))
-    ends = F.array_distinct(F.array(F.get("a", F.lit(0)), F.try_element_at("a", F.lit(-1))))
-    keys = F.when(F.size("a") == 1, F.transform(_long_forms(F.get("a", F.lit(0))), lambda w: F.concat(F.lit("given "), w))).otherwise(F.transform(ends, lambda w: F.concat(F.lit("last "), w)))
-    own = F.concat(F.array(F.concat(F.lit("last "), F.element_at("b", -1))), F.transform(_long_forms(F.get("b", F.lit(0))), lambda w: F.concat(F.lit("given "), w)))
-    met = m.filter(F.size("a").between(1, 3)).withColumn("k", F.explode(keys)).join(p.withColumn("k", F.explode(F.array_distinct(own))), "k")
+    under = lambda surname, given: F.transform(_given_keys(given), lambda k: F.concat_ws("|", surname, k))
+    first, last = F.get("a", F.lit(0)), F.element_at("a", -1)
+    alone = F.transform(_long_forms(first), lambda w: F.concat(F.lit("|"), w))
+    m = m.withColumn("k", F.explode(F.array_distinct(F.when(F.size("a") == 1, alone).otherwise(F.concat(under(last, first), under(first, last))))))
+    given = F.get("b", F.lit(0))
+    p = p.withColumn("k", F.explode(F.array_distinct(F.concat(under(F.element_at("b", -1), given), F.transform(_long_forms(given), lambda w: F.concat(F.lit("|"), w))))))
+    short = (F.length(first) == 1) | (F.length(last) == 1) | (F.length(given) == 1)
+    met = m.join(p, "k").filter(~F.contains("k", F.lit("|^")) | short)
     fit = met.withColumn("fit", variant(F.col("a"), F.col("b"))).filter("fit is not null")
     return fit.select("name", "slug", "title", "fit").distinct()
 

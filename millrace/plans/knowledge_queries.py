@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import entities as N
 from millrace.operators import knowledge as K
+from millrace.operators import slugs
 from millrace.plans.registry import query
 from millrace.sources.relations import Tables, moment
 
@@ -110,15 +111,17 @@ def _(spark, d):
     return K.slug_suggestions(Tables(spark, d).vault, "17", "part").filter("affix").select("slug", "affix")
 
 
-@query("name_variants", """WITH n AS (SELECT DISTINCT w, string_split(w, ' ') AS p FROM (SELECT lower(p_name) AS w FROM part UNION ALL SELECT left(lower(p_name), 1) || ' ' || split_part(lower(p_name), ' ', 2) FROM part UNION ALL SELECT left(lower(p_name), length(split_part(p_name, ' ', 1)) - 1) || ' ' || split_part(lower(p_name), ' ', 2) FROM part)),
-o AS (SELECT w, p[1] AS g, p[len(p)] AS s FROM n WHERE len(p) BETWEEN 2 AND 3 AND p[1] <> '')
-SELECT a.w AS a, b.w AS b FROM o a JOIN o b ON a.s = b.s AND a.w < b.w AND (a.g = b.g OR ((length(a.g) = 1 OR length(b.g) = 1) AND left(a.g, 1) = left(b.g, 1)) OR (least(length(a.g), length(b.g)) >= 5 AND levenshtein(a.g, b.g) <= 1))""")
+@query("name_variants", """WITH n AS (SELECT DISTINCT w, string_split(w, ' ') AS p FROM (SELECT lower(p_name) AS w FROM part UNION ALL SELECT left(lower(p_name), 1) || ' ' || split_part(lower(p_name), ' ', 2) FROM part UNION ALL SELECT left(lower(p_name), length(split_part(p_name, ' ', 1)) - 1) || ' ' || split_part(lower(p_name), ' ', 2) FROM part UNION ALL SELECT split_part(lower(p_name), ' ', 2) || ' ' || split_part(lower(p_name), ' ', 1) FROM part)),
+o AS (SELECT w, p[1] AS g, p[len(p)] AS s FROM n WHERE len(p) = 2 AND p[1] <> '' AND regexp_full_match(w, '[a-z]+ [a-z]+')),
+m AS (SELECT a.w AS a, b.w AS b, unnest([a.g, a.s]) AS g, unnest([a.s, a.g]) AS s, b.g AS h, b.s AS t FROM o a JOIN o b ON a.s = b.s OR a.g = b.s)
+SELECT DISTINCT a AS name, b AS title, 'strong' AS fit FROM m WHERE s = t AND length(s) > 1 AND (g = h OR ((length(g) = 1 OR length(h) = 1) AND left(g, 1) = left(h, 1)) OR (least(length(g), length(h)) >= 5 AND levenshtein(g, h) <= 1))""")
 def _(spark, d):
-    """Part names as names of people, each also with an initial and with a slip of the pen."""
+    """Part names as names of people, each also with an initial, with a slip of the pen, and surname first."""
     name, p = F.lower("p_name"), Tables(spark, d).part
     given, rest = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
-    every = p.select(F.explode(F.array(name, F.concat_ws(" ", F.substring(name, 1, 1), rest), F.concat_ws(" ", F.substr(name, F.lit(1), F.length(given) - 1), rest))).alias("a")).filter("a not like ' %'")
-    return K.name_variants(every, every.withColumnRenamed("a", "b")).filter("a < b")
+    forms = F.array(name, F.concat_ws(" ", F.substring(name, 1, 1), rest), F.concat_ws(" ", F.substr(name, F.lit(1), F.length(given) - 1), rest), F.concat_ws(" ", rest, given))
+    every = p.select(F.explode(forms).alias("name")).filter("name not like ' %'").distinct()
+    return slugs.name_variants(every, every.select(F.col("name").alias("slug"), F.col("name").alias("title"))).select("name", "title", "fit")
 
 
 @query("pages_renamed", "SELECT CASE WHEN type = 'place' THEN 'country/' || split_part(slug, '/', 2) ELSE slug END AS slug, deleted AND type <> 'person' AS deleted FROM vault", "vault")

@@ -141,13 +141,6 @@ def _(spark, d):
     return Tables(spark, d).facts.filter(F.size(F.array_intersect(X.tokens(F.col("fact")), F.lit(["1", "urgent", "f"]))) >= 3).select("id")
 
 
-@query("gazetteer_mentions", f"SELECT doc_id, w AS name, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) WHERE w IN ('thing', 'erst', 'enden', 'les') GROUP BY ALL")
-def _(spark, d):
-    names = spark.createDataFrame([("thing",), ("erst",), ("enden",), ("les",)], "name string")
-    words = Tables(spark, d).documents.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("name"))
-    return words.join(F.broadcast(names), "name").groupBy("doc_id", "name").agg(F.count("*").alias("n"))  # four names
-
-
 @query("vector_knn", "SELECT id, round(cos, 9) AS score FROM cosines ORDER BY cos DESC, id LIMIT 20", "cosines")
 def _(spark, d):
     t = Tables(spark, d)
