@@ -32,9 +32,9 @@ from millrace.llm.stash import stash
 from millrace.llm.terms import bit_table, codes, grouped, texts, totals
 
 #: Rows that a task holds before it folds them.
-FOLD = 1 << 20
+FOLD = 1 << 19
 #: Bytes of text that are split at once.
-PART = 4 << 20
+PART = 1 << 20
 #: Slices of a language's phrases that are ranked on their own first.
 SLICES = 64
 BREAK = np.zeros(256, bool)
