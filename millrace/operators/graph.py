@@ -95,3 +95,41 @@ def session_of(path: Column) -> Column:
     """A path up to its date or its chat or session segment; null without one."""
     hit = F.regexp_extract(path, r"^(.*?(?:/\d{4}-\d{2}-\d{2}|/(?:chat|session)s?/[^/]+))", 1)
     return F.when(hit != "", hit)
+
+
+def connecting(links: DataFrame, start: str, goal: str, most: int = 6) -> DataFrame:
+    """Shortest ways between two pages over links in either direction, one for each page at which searches from both ends meet first:
+    (middle, length, path), path an array of (slug, type, out) from start to goal; type and out (along the link's direction) name the
+    link to the slug, and are null for the start. No rows, if they are further than `most` links apart.
+
+    Both ends grow by one link in turn, the one with fewer new pages first, so a hub is opened only where both sides come to it.
+    Each page keeps the link that it was reached by (the least of those of its level), which gives the way back by one join a level.
+    """
+    spark = links.sparkSession
+    one = links.filter("source_slug <> target_slug").select("source_slug", "target_slug", "type")
+    edge = settled(one.select(F.col("source_slug").alias("a"), F.col("target_slug").alias("b"), "type", F.lit(True).alias("out")).unionByName(one.select(F.col("target_slug").alias("a"), F.col("source_slug").alias("b"), "type", F.lit(False).alias("out"))).distinct())
+    schema = "slug string, prev string, type string, out boolean, depth int"
+    seen = {k: spark.createDataFrame([(s, None, None, None, 0)], schema) for k, s in (("a", start), ("b", goal))}
+    front = dict(seen)
+    sizes, depth = {"a": 1, "b": 1}, {"a": 0, "b": 0}
+    met = seen["a"].join(seen["b"].select("slug"), "slug", "left_semi").select("slug")
+    while met.isEmpty():
+        k = min(("a", "b"), key=lambda s: (sizes[s], s))
+        if sum(depth.values()) >= most or not sizes[k]:
+            return spark.createDataFrame([], "middle string, length int, path array<struct<slug:string,type:string,out:boolean>>")
+        depth[k] += 1
+        step = edge.join(front[k].select(F.col("slug").alias("a")), "a").groupBy("b").agg(F.min(F.struct("a", "type", "out")).alias("by"))
+        step = step.join(seen[k].select(F.col("slug").alias("b")), "b", "left_anti").select(F.col("b").alias("slug"), F.col("by.a").alias("prev"), F.col("by.type").alias("type"), F.col("by.out").alias("out"), F.lit(depth[k]).alias("depth"))
+        front[k] = settled(step)
+        sizes[k] = front[k].count()
+        seen[k] = seen[k].unionByName(front[k])
+        met = seen["a"].join(seen["b"].select("slug"), "slug", "left_semi").select("slug")
+    hop = "struct<slug:string,type:string,out:boolean>"
+    ways = met.select(F.col("slug").alias("middle"), F.col("slug").alias("at"), F.array().cast(f"array<{hop}>").alias("path"))
+    back = lambda s, k: s.select(F.col("slug").alias("at"), "prev", "type", "out", F.lit(k).alias("side"))
+    for _ in range(depth["a"]):  # the links to each page, back to the start
+        ways = ways.join(back(seen["a"], "a"), "at").select("middle", F.coalesce("prev", "at").alias("at"), F.when(F.col("prev").isNull(), F.col("path")).otherwise(F.concat(F.array(F.struct(F.col("at").alias("slug"), "type", "out")), "path")).alias("path"))
+    ways = ways.select("middle", F.col("middle").alias("at"), F.concat(F.array(F.struct(F.lit(start).alias("slug"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("boolean").alias("out"))), "path").alias("path"))
+    for _ in range(depth["b"]):  # on to the goal: each page's link was made from the goal's side, so it runs the other way
+        ways = ways.join(back(seen["b"], "b"), "at").select("middle", F.coalesce("prev", "at").alias("at"), F.when(F.col("prev").isNull(), F.col("path")).otherwise(F.concat("path", F.array(F.struct(F.col("prev").alias("slug"), "type", (~F.col("out")).alias("out"))))).alias("path"))
+    return ways.select("middle", (F.size("path") - 1).alias("length"), "path")

@@ -182,31 +182,6 @@ def quote_found(answer: Column, evidence: Column) -> Column:
     return F.filter(quotes, lambda q: ~F.contains(flat(evidence), flat(q)))
 
 
-def python_symbols(code: DataFrame, path: str = "path", text: str = "code") -> DataFrame:
-    """Functions and classes of Python sources: path, symbol, kind, parent, start and end line, calls. Broken sources give none."""
-    import ast
-    from collections.abc import Iterator
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for p, source in zip(b["path"], b["code"], strict=True):
-                try:
-                    todo = [(ast.parse(source or ""), "")]
-                except (SyntaxError, ValueError):
-                    continue
-                while todo:
-                    node, parent = todo.pop()
-                    for x in ast.iter_child_nodes(node):
-                        if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                            calls = sorted({c.func.id for c in ast.walk(x) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)})
-                            out.append((p, x.name, "class" if isinstance(x, ast.ClassDef) else "function", parent, x.lineno, x.end_lineno, calls))
-                            todo.append((x, f"{parent}.{x.name}".strip(".")))
-            yield pd.DataFrame(out, columns=["path", "symbol", "kind", "parent", "start_line", "end_line", "calls"])
-
-    return code.select(F.col(path).alias("path"), F.col(text).alias("code")).mapInPandas(run, "path string, symbol string, kind string, parent string, start_line int, end_line int, calls array<string>")
-
-
 def symbol_at(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """The narrowest symbol around each (path, line), by bins of lines."""
     from millrace.operators.relational import latest_per_key, range_join

@@ -80,12 +80,6 @@ def _(spark, d):
     return Tables(spark, d).vault.filter("type = 'person' and salience >= 0").select("slug", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "slug").limit(25)
 
 
-@query("code_callers_depth", "WITH w(slug, depth) AS (SELECT 'part/5', 0 UNION SELECT source_slug, depth + 1 FROM w JOIN links ON target_slug = slug WHERE depth < 1) SELECT slug, min(depth) AS depth, round(greatest(0.05, least(1, 1 / (1 + 0.3 * min(depth)))), 9) AS confidence FROM w GROUP BY slug", "links", recursive=True)
-def _(spark, d):
-    w = G.traverse(Tables(spark, d).links, ["part/5"], 1, "in")
-    return w.withColumn("confidence", F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.0), 1 / (1 + 0.3 * F.col("depth")))), 9))
-
-
 @query("effective_confidence", f"SELECT id, round(CASE WHEN valid_until < DATE '{NOW}' THEN 0 ELSE confidence * exp(-greatest(0, date_diff('day', written_at, TIMESTAMP '{NOW}')) / CASE kind WHEN 'event' THEN 7.0 WHEN 'commitment' THEN 90 WHEN 'preference' THEN 90 ELSE 365 END) END, 9) AS effective FROM facts", "facts")
 def _(spark, d):
     return Tables(spark, d).facts.select("id", F.round(A.decayed_confidence(NOW), 9).alias("effective"))
@@ -261,12 +255,6 @@ def _(spark, d):
     return out
 
 
-@query("symbol_edge_resolution", "WITH c AS (SELECT p_name AS name, p_partkey AS id, count(*) OVER (PARTITION BY p_name, p_brand) AS n, p_brand FROM part) SELECT id, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM c")
-def _(spark, d):
-    n = F.count("*").over(Window.partitionBy("p_name", "p_brand"))
-    return Tables(spark, d).part.select(F.col("p_partkey").alias("id"), F.when(n == 1, "resolved").otherwise("ambiguous").alias("state"))
-
-
 @query("open_loops", r"""WITH t AS (SELECT conv_id AS thread, turn, role, text, TIMESTAMP '2024-01-01' + to_days(CAST(conv_id % 30 AS INTEGER)) + to_hours(turn) AS ts FROM conversations),
 l AS (SELECT thread, max(ts) AS last_at, count(*) AS turns, arg_max(role, (ts, turn, role, text)) AS role, arg_max(text, (ts, turn, role, text)) AS text FROM t GROUP BY 1)
 SELECT thread, last_at, turns, CASE WHEN role = 'user' AND (contains(text, '?') OR regexp_matches(text, '(?i)\b(please|can you|could you)\b')) THEN CASE WHEN epoch(TIMESTAMP '2024-01-25') - epoch(last_at) < 86400 THEN 'fresh' WHEN epoch(TIMESTAMP '2024-01-25') - epoch(last_at) > 14 * 86400 THEN 'expired' ELSE 'open' END ELSE 'settled' END AS state FROM l""")

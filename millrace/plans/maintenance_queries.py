@@ -186,11 +186,6 @@ def _(spark, d):
     return Tables(spark, d).vault.groupBy("source_id").agg(F.count("*").alias("pages"), F.max("updated_at").alias("fresh"), F.count_if("deleted").alias("gone"))
 
 
-@query("code_blast_radius", "WITH e AS (SELECT DISTINCT target_slug AS a, source_slug AS b FROM links WHERE type = 'supplies'), w(slug, depth) AS (SELECT 'part/5', 0 UNION SELECT b, depth + 1 FROM w JOIN e ON a = slug WHERE depth < 1) SELECT slug, min(depth) AS depth FROM w GROUP BY slug", "links", recursive=True)
-def _(spark, d):
-    return G.traverse(Tables(spark, d).links, ["part/5"], 1, "in", ["supplies"])
-
-
 @query("ab_replay", "WITH w AS (SELECT a.vec_id AS q, b.vec_id AS id, b.label = a.label AS good, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), x AS (SELECT q, min(rank) FILTER (good AND rank <= 10) AS was, min(rank) FILTER (good AND rank BETWEEN 2 AND 10) - 1 AS now FROM w WHERE rank <= 10 GROUP BY q) SELECT count(*) AS n, count(now) AS hits, count(*) FILTER (coalesce(1 / now, 0) > coalesce(1 / was, 0)) AS better, count(*) FILTER (coalesce(1 / now, 0) < coalesce(1 / was, 0)) AS worse, round(avg(coalesce(1 / was, 0)), 9) AS mrr_was, round(avg(coalesce(1 / now, 0)), 9) AS mrr_now FROM x")
 def _(spark, d):
     v = Tables(spark, d).embeddings

@@ -303,13 +303,6 @@ def _(spark, d):
     return s.select(F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "misses", "false_fires")
 
 
-@query("holdout_bootstrap")
-def _(spark, d):
-    m = E.metrics(*ranked(spark, d), 10)
-    mean, low, high = E.bootstrap_mean([r.rr for r in m.orderBy("query_id").select("rr").collect()])  # one value a query
-    return spark.createDataFrame([(mean, low, high)], "mrr double, low double, high double")
-
-
 @query("arm_confidence", "SELECT round(CASE WHEN a / (a + b) < 0.6 THEN 0.5 ELSE 1.0 END, 3) AS weight FROM (SELECT max(cos) AS a, (SELECT cos FROM cosines ORDER BY cos DESC, id LIMIT 1 OFFSET 1) AS b FROM cosines)", "cosines")
 def _(spark, d):
     two = Tables(spark, d).cosines.orderBy(F.desc("cos"), "id").limit(2).agg(F.max("cos").alias("a"), F.min("cos").alias("b"))

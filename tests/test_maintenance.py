@@ -60,15 +60,6 @@ def test_divergence_and_quotes(spark):
     assert q.select(M.quote_found(F.col("a"), F.col("e"))).first()[0] == ["never said this"]
 
 
-def test_python_symbols(spark):
-    code = "class A:\n    def f(self):\n        return g(1)\n\ndef g(x):\n    return x\n"
-    s = M.python_symbols(spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.py", None)], "path string, code string"))
-    got = {r.symbol: (r.kind, r.parent, r.start_line, r.end_line, r.calls) for r in s.collect()}
-    assert got == {"A": ("class", "", 1, 3, ["g"]), "f": ("function", "A", 2, 3, ["g"]), "g": ("function", "", 5, 6, [])}
-    lines = spark.createDataFrame([("a.py", 3), ("a.py", 1), ("a.py", 6), ("a.py", 4)], "path string, line int")
-    assert {r.line: r.symbol for r in M.symbol_at(s, lines).collect()} == {3: "f", 1: "A", 6: "g"}
-
-
 def test_page_merge_and_upsert(spark):
     t = spark.createDataFrame([("a", "b"), ("c", "a")], "source_slug string, target_slug string")
     m = spark.createDataFrame([("a", "z")], "old string, new string")
