@@ -1,7 +1,7 @@
 """URL rules by a Bloom filter cascade, with DataFrame functions only.
 
-Each URL yields the keys that a rule could have: every suffix of its host at a label boundary, joined with every
-prefix of its path of a length that occurs among the rules. The distinct keys of the whole corpus are the universe.
+Each URL yields the keys that a rule could have: every suffix of its host of as many labels as some rule's host has, joined with
+every prefix of its path of a length that occurs among the rules. The distinct keys of the whole corpus are the universe.
 Level 1 of a cascade encodes the listed keys; level 2 the universe's other keys that level 1 lets through; level 3
 the listed keys that level 2 lets through; and so on until none is left. A key of the universe is then listed exactly
 if the first level that rejects it is an even one (or none does and the depth is odd): membership without a join.
@@ -47,10 +47,10 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(part(1), UPPER, LOWER), part(2)
 
 
-def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Array of (size, host_size, key): each host suffix with each path prefix of one of the lengths."""
-    labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def rule_keys(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """Array of (size, host_size, key): each host suffix of one of the numbers of labels with each path prefix of one of the lengths."""
+    n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(F.array(*[F.when(n >= k, F.substring_index(host, ".", -k)) for k in labels or [1]]), lambda s: s.isNotNull())
     prefixes = F.filter(F.lit(lengths or [0]), lambda n: F.length(path) >= n)
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda n: F.struct((F.length(s) + n).alias("size"), F.length(s).alias("host_size"), F.concat(s, F.substr(path, F.lit(1), n)).alias("key")))))
 
@@ -132,10 +132,12 @@ def spam_list(pages: DataFrame, url: str = "url", words: str = SPAM) -> DataFram
 def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str = "url", blocked: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule (host + path; null where none fits), verdict (the rule's; where none fits, block if host + path is a
     key of `blocked`, else allow)."""
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # lengths of rule paths, not rules
+    # Lengths of rule paths and numbers of labels of rule hosts, not rules.
+    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]
+    labels = [r[0] for r in rules.select(F.size(F.split("host", r"\.", -1))).distinct().collect()]
     host, path = host_path(F.col(url).cast("string"))
     cut = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    keys = lambda df: df.withColumn("keys", rule_keys(F.col("host"), F.col("path"), lengths))
+    keys = lambda df: df.withColumn("keys", rule_keys(F.col("host"), F.col("path"), lengths, labels))
     own = rules.groupBy(F.concat("host", "path").alias("key")).agg(F.max(F.col("action") == "block").alias("block"))
     # The distinct (host, path prefix) pairs first: far fewer than URLs.
     corpus = keys(cut.select("host", F.substr("path", F.lit(1), F.lit(max(lengths, default=0))).alias("path")).distinct()).select(F.explode("keys.key").alias("key"))

@@ -624,3 +624,17 @@ def test_pipeline_stages_on_odd_rows(spark, sf_dir):
             assert len(rows) == len(odd) and sum(r.text == "[SECRET]" for r in rows) == 2 and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
         else:
             assert {(str(i), t or "") for i, t in odd} == set(texts)
+
+
+def test_url_rules_on_very_long_hosts(spark):
+    import time
+
+    from millrace.llm.urlfilter import judge, rules_table
+
+    long = "http://" + "x." * 50_000 + "example.com/en/7"
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "." * 30_000 + "/en/"), (3, "http://" + "y" * 200_000 + ".net/de/"), (4, "http://com/en/"), (5, "http://example.com" + "/en/7" * 20_000)], "page_id long, url string")
+    judge(pages.filter("page_id = 4"), rules_table(spark)).collect()
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in judge(pages, rules_table(spark)).collect()}
+    assert time.time() - began < 30
+    assert got == {1: ("example.com/en/7", "allow"), 2: (None, "allow"), 3: ("net/de/", "allow"), 4: ("com/en/", "block"), 5: ("example.com/en/7", "allow")}
