@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import jaccard, trigrams
 from millrace.functions.unicode import alias_key, link_target, nfkc
+from millrace.sources.shared import settled
 
 #: Short given names and the names they stand for (fixed values).
 DIMINUTIVES = {
@@ -121,6 +122,8 @@ def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None =
     parts = live.filter(F.contains("slug", F.lit("/"))).select("slug", F.regexp_extract("slug", "([^/]*)$", 1).alias("tail"))
     m = mentions.select(F.trim(F.coalesce(F.col("name"), F.lit(""))).alias("name"), F.coalesce(F.col("source_slug"), F.lit("")).alias("source_slug")).distinct()
     m = m.withColumn("target", link_target(F.col("name"))).withColumn("bare", ~F.contains("target", F.lit("/")) & (F.length("target") >= 2) & (F.col("target") != "unknown"))
+    # Written, as every stage starts from it.
+    every = m = settled(m)
     # The one page of a key other than the mention's own: all of its pages but perhaps that one.
     rest = lambda x: F.when(F.col(f"{x}.n") == 1, F.nullif(F.col(f"{x}.low"), F.col("source_slug"))).when((F.col(f"{x}.n") == 2) & (F.col(f"{x}.low") == F.col("source_slug")), F.col(f"{x}.high")).when((F.col(f"{x}.n") == 2) & (F.col(f"{x}.high") == F.col("source_slug")), F.col(f"{x}.low"))
     as_struct = lambda df, at, x: df.select(at, F.struct("n", "low", "high").alias(x))
@@ -141,20 +144,20 @@ def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None =
     # Strict prefixes of last parts that are some mention.
     starts = parts.withColumn("size", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.length("tail") - 1)))).filter("size < length(tail)")
     starts = starts.select("slug", F.substr("tail", F.lit(1), F.col("size")).alias("start"))
-    starts = starts.join(m.filter("bare").select(F.col("target").alias("start")).distinct(), "start", "left_semi")
+    starts = starts.join(every.filter("bare").select(F.col("target").alias("start")).distinct(), "start", "left_semi")
     m = m.join(as_struct(_only(starts, "start"), "start", "by_start").withColumnRenamed("start", "target"), "target", "left")
 
     people = live.filter((F.lower(F.trim("type")) == "person") & F.col("title").isNotNull() & ~F.col("slug").startswith("life/diary/"))
-    fits = name_variants(m, people).groupBy("name").agg(F.count("*").alias("people"), F.min(F.struct("slug", "fit")).alias("fit"))
+    fits = name_variants(every, people).groupBy("name").agg(F.count("*").alias("people"), F.min(F.struct("slug", "fit")).alias("fit"))
     m = m.join(fits, "name", "left")
 
     # Pages within `margin` below the threshold matter too: they make a best page ambiguous.
     near = max(threshold - margin, 0.01)
-    names = m.filter("target <> 'unknown'").select("name", "target").distinct()
+    names = every.filter("target <> 'unknown'").select("name", "target").distinct()
     by_title = similar(names.select(F.col("name").alias("key"), F.col("name").alias("text")), live.select(F.col("slug").alias("key"), F.col("title").alias("text")), near)
     by_slug = similar(names.select(F.col("name").alias("key"), F.col("target").alias("text")), live.select(F.col("slug").alias("key"), F.regexp_extract("slug", "([^/]*)$", 1).alias("text")), near)
     best = by_title.unionByName(by_slug).groupBy(F.col("left").alias("name"), F.col("right").alias("page")).agg(F.max("similarity").alias("similarity"))
-    best = best.join(m.select("name", "source_slug"), "name").filter(F.col("page") != F.col("source_slug"))
+    best = best.join(every.select("name", "source_slug"), "name").filter(F.col("page") != F.col("source_slug"))
     w = Window.partitionBy("name", "source_slug").orderBy(F.desc("similarity"), "page")
     best = best.withColumn("k", F.row_number().over(w)).filter("k <= 2").groupBy("name", "source_slug").agg(F.max_by("page", -F.col("k")).alias("page"), F.max("similarity").alias("top"), F.max(F.when(F.col("k") == 2, F.col("similarity"))).alias("second"))
     m = m.join(best, ["name", "source_slug"], "left")
