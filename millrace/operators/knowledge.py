@@ -75,14 +75,13 @@ def fence_rows(body: Column, begin: str, end: str) -> Column:
     return F.transform(lines, row).cast(ROW)
 
 
-def fence(facts: DataFrame, key: str, begin: str, end: str, most: int = 500) -> DataFrame:
-    """Per key its facts (row, claim, kind, confidence, valid_from, valid_until, source, active) as a Markdown table between marks; a
-    body holds `most` rows at most, the first by number."""
+def fence(facts: DataFrame, key: str, begin: str, end: str) -> DataFrame:
+    """Per key its facts (row, claim, kind, confidence, valid_from, valid_until, source, active) as a Markdown table between marks, in
+    the order of the rows' numbers."""
     cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
     claim = F.when(F.col("active"), cell("claim")).otherwise(F.concat(F.lit("~~"), cell("claim"), F.lit("~~")))
     line = F.concat(F.lit("| "), F.array_join(F.array(cell("row"), claim, cell("kind"), cell("confidence"), F.lit(""), cell("valid_from"), cell("valid_until"), cell("source")), " | "), F.lit(" |"))
-    w = Window.partitionBy(key).orderBy("row", "claim")
-    first = facts.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("l"))
+    first = facts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("row", "claim", line.alias("line")))).alias("l"))
     head = "| # | claim | kind | confidence | notability | valid_from | valid_until | source |\n|---|-------|------|------------|------------|------------|-------------|--------|"
     return first.select(key, F.concat(F.lit(f"{begin}\n{head}\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit(f"\n{end}")).alias("body"))
 

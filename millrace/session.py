@@ -15,10 +15,13 @@ DEFAULTS = {
 }
 
 
-def get_session(master: str = "local[8]", app: str = "millrace", **conf: str) -> SparkSession:
-    """A session for a laptop or a test; on a cluster, spark-submit's own settings win for what it sets."""
-    b = SparkSession.builder.master(master).appName(app)
-    for k, v in (DEFAULTS | {"spark.sql.shuffle.partitions": "8"} | conf).items():
+def get_session(master: str | None = None, app: str = "millrace", **conf: str) -> SparkSession:
+    """A session with this library's defaults. Master and number of shuffle partitions are set only where they are named here, so that
+    those of spark-submit or of Spark's own configuration hold otherwise."""
+    b = SparkSession.builder.appName(app)
+    if master is not None:
+        b = b.master(master)
+    for k, v in (DEFAULTS | conf).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
