@@ -433,13 +433,15 @@ def _row_start(w: Words, at: np.ndarray, row: int) -> int:
     return int(at[w.bounds[row]])
 
 
-#: Most words of a name and of an address.
-LONGEST = {"name": 4, "addr": 6}
+#: Kinds that are made of words. No name or address repeats its words over and over, or goes on behind a sentence's end; none is too long.
+WORDY = ("name", "addr")
 
 
 def _broken(w: Words, i: int, j: int) -> bool:
-    """Whether a sentence or a clause ends inside words i..j-1: behind a word of two bytes or more."""
-    return any(w.raw[e - 1] in b".!?,;:" and e - s > 2 for s, e in zip(w.start[i : j - 1], w.end[i : j - 1], strict=True))
+    """Whether a sentence or a clause ends inside words i..j-1, behind a word of two bytes or more; or they are over twice as many as
+    different ones."""
+    ends = any(w.raw[e - 1] in b".!?,;:" and e - s > 2 for s, e in zip(w.start[i : j - 1], w.end[i : j - 1], strict=True))
+    return ends or j - i > 2 * len(np.unique(w.hash[i:j]))
 
 
 def model_spans(w: Words, crf: Crf) -> list[tuple[int, int, int, int]]:
@@ -465,7 +467,7 @@ def model_spans(w: Words, crf: Crf) -> list[tuple[int, int, int, int]]:
                 j += 1
                 while j < k and LABELS[y[r, j]] == f"I-{kind}":
                     j += 1
-                if kind in LONGEST and (j - i > LONGEST[kind] or _broken(w, int(first[r]) + i, int(first[r]) + j)):
+                if kind in WORDY and _broken(w, int(first[r]) + i, int(first[r]) + j):
                     continue
                 s, e = int(w.start[first[r] + i]), int(w.end[first[r] + j - 1])
                 while s < e and w.raw[s] < 128 and not (_ALNUM[w.raw[s]] or w.raw[s] in b"(+"):

@@ -466,7 +466,7 @@ def brute_model_spans(text: str, crf) -> list[tuple[str, int, int]]:
     import pyarrow as pa
 
     from millrace.llm.bytewords import SPACED, words
-    from millrace.llm.pii import LABELS, LONGEST, word_features
+    from millrace.llm.pii import LABELS, WORDY, word_features
 
     out = []
     w = next(iter(words(pa.array([text]), SPACED)), None)
@@ -496,7 +496,8 @@ def brute_model_spans(text: str, crf) -> list[tuple[str, int, int]]:
             while t < len(y) and LABELS[y[t]] == f"I-{kind}":
                 t += 1
             inside = [x for _, _, x in found[i + a : i + t - 1]]
-            if kind in LONGEST and (t - a > LONGEST[kind] or any(x[-1] in ".!?,;:" and len(x.encode()) > 2 for x in inside)):
+            different = {x.translate({c: c + 32 for c in range(65, 91)}) for _, _, x in found[i + a : i + t]}
+            if kind in WORDY and (t - a > 2 * len(different) or any(x[-1] in ".!?,;:" and len(x.encode()) > 2 for x in inside)):
                 continue
             s, e = found[i + a][0], found[i + t - 1][1]
             while s < e and text[s] < "\x80" and not (text[s].isalnum() or text[s] in "(+"):
@@ -638,3 +639,13 @@ def test_url_rules_on_very_long_hosts(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in judge(pages, rules_table(spark)).collect()}
     assert time.time() - began < 30
     assert got == {1: ("example.com/en/7", "allow"), 2: (None, "allow"), 3: ("net/de/", "allow"), 4: ("com/en/", "block"), 5: ("example.com/en/7", "allow")}
+
+
+def test_long_names_and_addresses_are_marked_and_repeated_words_are_not(spark):
+    from millrace.llm.pii import scan, train
+
+    texts = ["My name is Maria Anna Sofia Elena Garcia", "I live at 12 North West Old Mill Green Road", "Than Than Than Than Than Than Than Than", "My name is Ann Lee"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.text) for s in r.spans] for r in scan(docs, train()).collect()}
+    assert any(k == "name" and "Maria Anna Sofia Elena Garcia" in t for k, t in got[0]) and any(k == "addr" and "Old Mill Green Road" in t for k, t in got[1])
+    assert got[2] == [] and ("name", "Ann Lee") in got[3]
