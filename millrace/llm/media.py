@@ -60,6 +60,8 @@ class Payload:
 
     def __init__(self, b: bytes) -> None:
         self.b, self.places, self.dead, self.ends = b, {}, set(), None
+        #: Of GIF: places from which no end can be reached, and where the sub-blocks at a place end.
+        self.gif_dead, self.gif_ends = set(), {}
 
     def at(self, mark: bytes) -> list[int]:
         """All places of mark."""
@@ -135,16 +137,22 @@ def _bmp(payload: Payload, at: int) -> int | None:
 
 
 def _gif(payload: Payload, at: int) -> int | None:
-    b = payload.b
+    b, dead, ends = payload.b, payload.gif_dead, payload.gif_ends
+
     def blocks(p: int) -> int:
-        while p < len(b) and b[p]:
+        way = []
+        while p < len(b) and b[p] and p not in ends:
+            way.append(p)
             p += 1 + b[p]
-        return p + 1
+        end = ends.get(p, p + 1)
+        ends.update(dict.fromkeys(way, end))
+        return end
 
     if len(b) < at + 14:
         return None
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1) * (b[at + 10] >> 7)
-    while p < len(b):
+    p, seen = at + 13 + (3 << (b[at + 10] & 7) + 1) * (b[at + 10] >> 7), []
+    while p < len(b) and p not in dead:
+        seen.append(p)
         if b[p] == 0x3B:
             return p + 1 - at
         if b[p] == 0x21:
@@ -152,7 +160,8 @@ def _gif(payload: Payload, at: int) -> int | None:
         elif b[p] == 0x2C and p + 10 < len(b):
             p = blocks(p + 11 + (3 << (b[p + 9] & 7) + 1) * (b[p + 9] >> 7))
         else:
-            return None
+            break
+    dead.update(seen)
     return None
 
 

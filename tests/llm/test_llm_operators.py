@@ -649,3 +649,19 @@ def test_long_names_and_addresses_are_marked_and_repeated_words_are_not(spark):
     got = {r.doc_id: [(s.kind, s.text) for s in r.spans] for r in scan(docs, train()).collect()}
     assert any(k == "name" and "Maria Anna Sofia Elena Garcia" in t for k, t in got[0]) and any(k == "addr" and "Old Mill Green Road" in t for k, t in got[1])
     assert got[2] == [] and ("name", "Ann Lee") in got[3]
+
+
+def test_texts_made_of_image_heads_take_linear_time():
+    import time
+
+    from millrace.llm.media import sniff
+
+    def seconds(unit, n):
+        began = time.process_time()
+        sniff(unit * n)
+        return time.process_time() - began
+
+    for unit in (b"GIF89a" + bytes(7) + b"!A\x0f", b"GIF89a" + bytes(7) + b"!A\x01", b"GIF89a" + bytes(7) + b",ABCDEFGHI\x05", b"GIF89a" + bytes(7) + b"!\xf9\x04abcd\x00"):
+        seconds(unit, 100)
+        half, whole = seconds(unit, 1 << 15), seconds(unit, 1 << 16)
+        assert whole < 3 * max(half, 0.1)
