@@ -70,21 +70,46 @@ def code_refs(text: Column) -> Column:
 
 #: Verbs of link types, the first that fits wins; a marked one doesn't hold beside words for a role that ended (fixed values).
 VERBS = (
-    ("founded", r"(?i)\b(?:founded|co-?founded|started the company|incorporated|founder of|founders? (?:include|are)|the founder|is a co-?founder|is one of the founders)\b", False),
-    ("invested_in", r"(?i)\b(?:invested in|invests in|investing in|invest in|investment in|investments in|backed by|funding from|funded by|raised from|led the (?:seed|Series|round|investment)|early investor|term sheet for)\b", False),
-    ("advises", r"(?i)\b(?:advises|advised|advis[eo]r (?:to|at|for|of)|sits on the board|board member (?:at|of)|board advisor|consults for|consulting role (?:at|with))\b", True),
-    ("works_at", r"(?i)\b(?:CEO of|CTO of|COO of|CFO of|VP at|VP of|works at|worked at|working at|employed by|employed at|joined as|engineer at|engineer for|director at|director of|head of|currently at|previously at|role at|position at)\b", True),
+    ("founded", r"\b(?:founded|co-?founded|started the company|incorporated|founder of|founders? (?:include|are)|the founder|is a co-?founder|is one of the founders)\b", False),
+    ("invested_in", r"\b(?:invested in|invests in|investing in|invest in|investment in|investments in|backed by|funding from|funded by|raised from|led the (?:seed|Series|round|investment)|led .{0,30}(?:Series [A-Z]|seed|round|investment)|participated in (?:the )?(?:seed|Series|round)|wrote (?:a |the )?check|first check|early investor|portfolio (?:company|includes)|board seat (?:at|in|on)|term sheet for)\b", False),
+    ("advises", r"\b(?:advises|advised|advis[eo]r (?:to|at|for|of)|board director|non-executive director|independent director|director on the board|sits on the board|board member (?:at|of)|advisory (?:board|role|position|capacity|engagement|partnership|contract|relationship|work)|board advisor|on .{0,20} advisory board|joined .{0,20} advisory board|in an? advisory (?:capacity|role|position)|as an? (?:advis[eo]r|security advis[eo]r|technical advis[eo]r|strategic advis[eo]r|industry advis[eo]r|product advis[eo]r|board advis[eo]r|senior advis[eo]r)|(?:strategic|technical|security|product|industry|senior|board) advis[eo]r (?:to|at|for|of)|consults for|consulting role (?:at|with))\b", True),
+    ("works_at", r"\b(?:CEO of|CTO of|COO of|CFO of|CMO of|CRO of|VP at|VP of|VPs? Engineering|VPs? Product|works at|worked at|working at|employed by|employed at|joined as|joined the team|engineer at|engineer for|director at|director of|head of|heads up .{0,20} at|leads engineering|leads product|leads the .{0,20} (?:team|org) at|manages engineering at|manages product at|running (?:engineering|product|design) at|currently at|previously at|previously worked at|spent .* (?:years|months) at|stint at|stint as|tenure at|tenure as|role at|position at|(?:senior|staff|principal|lead|backend|frontend|full-?stack|ML|data|security) engineer at|promoted to (?:senior|staff|principal|lead) .{0,20} at|(?:his|her|their|my) time at)\b", True),
+)
+#: Words for a role that ended, and how far before a verb they count (fixed values).
+ENDED = ("former", "formerly", "ex-", "no longer", "not at", "not with", "not working", "never worked", "never was", "left", "quit", "departed", "previously", "used to")
+ENDED_BEFORE = 40
+#: What a person's page says of their role anywhere, the first that fits wins (fixed values).
+ROLES = (
+    ("invested_in", r"\b(?:partner at|partner of|venture partner|VC partner|invested early|investor at|investor in|portfolio|venture capital|early-stage investor|seed investor|fund [A-Z]|invests across|backs companies)\b"),
+    ("advises", r"\b(?:full-time advis[eo]r|professional advis[eo]r|advises (?:multiple|several|various)|is an? (?:advis[eo]r|security advis[eo]r|technical advis[eo]r|strategic advis[eo]r|industry advis[eo]r|product advis[eo]r|senior advis[eo]r)|took on advisory roles|(?:her|his|their) advisory (?:work|role|engagement|portfolio)|serves as (?:an )?advis[eo]r)\b"),
+    ("works_at", r"\b(?:is an? (?:senior|staff|principal|lead|backend|frontend|full-?stack|ML|data|security|DevOps|platform)? ?engineer at|is an? (?:senior|staff|principal|lead)? ?(?:developer|designer|product manager|engineering manager|director|VP) (?:at|of)|holds? the (?:CTO|CEO|CFO|COO|CMO|CRO|VP) (?:role|position|seat|title) at|is the (?:CTO|CEO|CFO|COO|CMO|CRO) of|employee at|on the team at|works on .{0,30} at)\b"),
 )
-ENDED = r"(?i)\b(?:former(?:ly)?|ex-|no longer|not (?:at|with|working)|never (?:worked|was)|left|quit|departed|previously|used to)\b"
 
 
-def verb_link(context: Column, page_type: Column) -> Column:
-    """The link type that a sentence's verbs tell; `mentions` where none does, where a role has ended, and on media pages."""
+def verb_link(context: Column, page_type: Column, target: Column | None = None, body: Column | None = None) -> Column:
+    """The link type that the words around a link tell; `mentions` where none does, and on media and meeting pages.
+
+    A verb of a role doesn't count within ENDED_BEFORE characters behind a word for its end. Jobs and investments are links to
+    companies: a target in another folder is only mentioned. A person's page without any such verb, not even an ended one, that links to a
+    company tells the role by its whole body.
+    """
+    ended = "|".join(rf"\b{w}\b[\s\S]{{0,{ENDED_BEFORE - len(w)}}}" for w in ENDED)
+    plain = lambda verb: rf"(?i){verb}"
+    holds = lambda verb: rf"(?i)(?={verb})(?!previously\b)(?<!{ended})"
+    inside = F.lit(True) if target is None else ~F.contains(target, F.lit("/")) | target.startswith("companies/")
+    fits = lambda kind: F.when(inside, kind).otherwise("mentions") if kind in ("works_at", "invested_in") else F.lit(kind)
+    over = F.lit(False)
+    for _, verb, ends in VERBS:
+        over = over | context.rlike(plain(verb)) if ends else over
     out = F.lit("mentions")
+    if target is not None and body is not None:
+        prior = out
+        for kind, role in reversed(ROLES):
+            prior = F.when(body.rlike(plain(role)), kind).otherwise(prior)
+        out = F.when((page_type == "person") & target.startswith("companies/") & ~over, prior).otherwise(out)
     for kind, verb, ends in reversed(VERBS):
-        hit = context.rlike(verb)
-        out = F.when(hit & ~context.rlike(ENDED) if ends else hit, kind).otherwise(out)
-    return F.when(page_type == "media", "mentions").otherwise(out)
+        out = F.when(context.rlike(holds(verb) if ends else plain(verb)), fits(kind)).otherwise(out)
+    return F.when(page_type.isin("media", "meeting"), "mentions").otherwise(out)
 
 
 def embedding_signature(model: Column, dims: Column) -> Column:

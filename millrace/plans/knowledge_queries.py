@@ -202,13 +202,18 @@ def _(spark, d):
     return docs.select("doc_id", F.explode(N.code_refs(text)).alias("path"))
 
 
-@query("verb_links", "SELECT e, kind, count(*) AS n FROM (SELECT CASE user_id % 5 WHEN 0 THEN 'founded' WHEN 1 THEN 'invested_in' WHEN 2 THEN 'advises' WHEN 3 THEN 'works_at' ELSE 'mentions' END AS e, CASE WHEN event_type = 'error' THEN 'mentions' WHEN user_id % 5 = 0 THEN 'founded' WHEN user_id % 5 = 1 THEN 'invested_in' WHEN user_id % 5 IN (2, 3) AND event_type = 'signup' THEN 'mentions' WHEN user_id % 5 = 2 THEN 'advises' WHEN user_id % 5 = 3 THEN 'works_at' ELSE 'mentions' END AS kind FROM events) GROUP BY ALL")
+SAID = (
+    ("Ada co-founded it", "founded"), ("Ada is one of the founders", "founded"), ("Ada formerly invested in it", "invested_in"), ("Ada led a small Series A of it", "invested_in"), ("Ada sits on the board", "advises"), ("Ada formerly advises it", "mentions"), ("Ada is CTO of it", "works_at"), ("Ada no longer works at it", "mentions"),
+    ("Ada previously worked at it", "mentions"), ("Ada left the town in the hills where she grew up and works at it", "works_at"), ("Ada saw it", "mentions"),
+)
+
+
+@query("verb_links", f"SELECT event_id, CASE WHEN event_type = 'error' THEN 'mentions' ELSE {[k for _, k in SAID]}[event_id % {len(SAID)} + 1] END AS kind FROM events")
 def _(spark, d):
-    k = (F.col("user_id") % 5).cast("int")
-    verb = F.element_at(F.lit(["co-founded", "invested in", "advises", "works at", "saw"]), k + 1)
-    said = F.concat(F.lit("Ada "), F.when(F.col("event_type") == "signup", "formerly ").otherwise(""), verb, F.lit(" [[Acme]]."))
-    e = Tables(spark, d).events.select(F.element_at(F.lit(["founded", "invested_in", "advises", "works_at", "mentions"]), k + 1).alias("e"), N.verb_link(said, F.when(F.col("event_type") == "error", "media").otherwise("note")).alias("kind"))
-    return e.groupBy("e", "kind").agg(F.count("*").alias("n"))
+    """What events' sentences say of a link; errors stand for media pages."""
+    said = F.element_at(F.lit([s for s, _ in SAID]), (F.col("event_id") % len(SAID) + 1).cast("int"))
+    kind = N.verb_link(F.concat(said, F.lit(" [[Acme]].")), F.when(F.col("event_type") == "error", "media").otherwise("note"))
+    return Tables(spark, d).events.select("event_id", kind.alias("kind"))
 
 
 @query("like_join", "SELECT t.user_id AS holder, p.slug FROM (SELECT DISTINCT user_id, 'saw widget ' || (user_id % 50) || ' there' AS said FROM events) t JOIN (SELECT slug, split_part(slug, '/', 2) AS last FROM vault WHERE type = 'place') p ON instr(t.said, ' ' || p.last || ' ') > 0", "vault")

@@ -77,3 +77,20 @@ def test_lint(spark, body, issues):
 def test_repairs(spark):
     fix = lambda t: spark.createDataFrame([(t,)], "b string").select(repaired(F.col("b"))).first()[0]
     assert fix("Certainly! Here is it.\n\n\n\nText\n\n\nmore  ") == "Text\n\nmore\n" and fix("```md\n# T\n```\n") == "# T\n" and fix("a\n```md\nx\n```") == "a\n```md\nx\n```\n"
+
+
+@pytest.mark.parametrize(
+    ("context", "kind", "target", "body", "want"),
+    [
+        ("She co-founded [[Acme]]", "person", None, None, "founded"), ("He is a non-executive director of it", "person", None, None, "advises"), ("led a small Series A of", "note", None, None, "invested_in"), ("spent nine years at", "note", None, None, "works_at"), ("VP Engineering, Acme", "note", None, None, "works_at"),
+        ("no longer works at", "note", None, None, "mentions"), ("previously at Acme", "note", None, None, "mentions"), ("previously worked at Acme", "note", None, None, "mentions"), ("left the town where I grew up in the hills. She works at Acme", "note", None, None, "works_at"), ("left it. She works at Acme", "note", None, None, "mentions"),
+        ("formerly a nurse, now and for good, for all of the years to come, works at Acme", "note", None, None, "works_at"), ("formerly invested in", "note", None, None, "invested_in"), ("works at", "note", "people/ann", None, "mentions"), ("works at", "note", "acme", None, "works_at"), ("advises", "note", "people/ann", None, "advises"),
+        ("works at", "media", None, None, "mentions"), ("works at", "meeting", None, None, "mentions"), ("saw", "person", "companies/acme", "She is a seed investor.", "invested_in"), ("saw", "person", "companies/acme", "She is a staff engineer at a firm", "works_at"), ("saw", "person", "people/x", "seed investor", "mentions"), ("saw", "note", "companies/acme", "seed investor", "mentions"), ("no longer works at", "person", "companies/acme", "seed investor", "mentions"),
+    ],
+)
+def test_verbs(spark, context, kind, target, body, want):
+    from millrace.functions.entities import verb_link
+
+    df = spark.createDataFrame([(context, kind, target, body)], "c string, k string, t string, b string")
+    got = verb_link(F.col("c"), F.col("k"), *([F.col("t"), F.coalesce("b", F.lit(""))] if target else []))
+    assert df.select(got).first()[0] == want
