@@ -83,6 +83,20 @@ def delete_ratio_held(known: DataFrame, listed: DataFrame, key: str, most: float
     return n > 0 and gone / n > most
 
 
+def released_deletions(deletions: DataFrame, sightings: DataFrame, hold: str = "2 hours", late: str = "1 hour") -> DataFrame:
+    """Deletions that a source reported and that hold: (source, id, deleted_at) that no sighting of the same item contradicts.
+
+    deletions: source, id, deleted_at; sightings: source, id, seen_at. A source that is out lists nothing and so seems to have deleted
+    everything, until it is back. Each deletion is held for `hold` of event time in a stream-stream outer join with the sightings: one of the
+    item at or after the deletion and within the hold withdraws it, else it is released once the watermarks of both streams have
+    passed. Rows up to `late` out of order count, later ones are left out; repeated deletions and sightings count once.
+    """
+    gone = deletions.withWatermark("deleted_at", late).dropDuplicatesWithinWatermark(["source", "id", "deleted_at"])
+    seen = sightings.select(F.col("source").alias("s"), F.col("id").alias("i"), "seen_at").withWatermark("seen_at", late)
+    again = (F.col("source") == F.col("s")) & (F.col("id") == F.col("i")) & (F.col("seen_at") >= F.col("deleted_at")) & (F.col("seen_at") <= F.col("deleted_at") + F.expr(f"interval {hold}"))
+    return gone.join(seen, again, "leftOuter").filter(F.col("seen_at").isNull()).select("source", "id", "deleted_at")
+
+
 def drain(writer: DataStreamWriter, seconds: int = 120) -> None:
     """Run a stream over what is there and stop."""
     q = writer.trigger(availableNow=True).start()
