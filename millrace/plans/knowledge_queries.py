@@ -8,6 +8,7 @@ from millrace.functions import entities as N
 from millrace.operators import knowledge as K
 from millrace.operators import slugs
 from millrace.plans.registry import query
+from millrace.plans.search_queries import _likeness, _trigrams
 from millrace.sources.relations import Tables, moment
 
 
@@ -106,9 +107,10 @@ def _(spark, d):
     return Tables(spark, d).events.select("event_id", F.inline(N.dated_bullets(F.when(F.col("event_id") % 2 == 0, bullet).otherwise(heading))))
 
 
-@query("slug_suggest", "SELECT slug, true AS affix FROM vault WHERE slug = 'part/17' AND NOT deleted", "vault")
+@query("slug_suggest", f"""WITH t AS (SELECT slug, {_trigrams('slug')} AS t, {_trigrams("'17'")} AS q FROM vault WHERE NOT deleted), s AS (SELECT slug, slug = 'part/17' AS affix, round({_likeness('t', 'q')}, 9) AS similarity FROM t),
+n AS (SELECT * FROM s WHERE NOT affix AND similarity >= 0.3 ORDER BY similarity DESC, slug LIMIT 3) SELECT * FROM s WHERE affix UNION ALL SELECT * FROM n""", "vault")
 def _(spark, d):
-    return K.slug_suggestions(Tables(spark, d).vault, "17", "part").filter("affix").select("slug", "affix")
+    return K.slug_suggestions(Tables(spark, d).vault, "17", "part").select("slug", "affix", "similarity")
 
 
 @query("name_variants", """WITH n AS (SELECT DISTINCT w, string_split(w, ' ') AS p FROM (SELECT lower(p_name) AS w FROM part UNION ALL SELECT left(lower(p_name), 1) || ' ' || split_part(lower(p_name), ' ', 2) FROM part UNION ALL SELECT left(lower(p_name), length(split_part(p_name, ' ', 1)) - 1) || ' ' || split_part(lower(p_name), ' ', 2) FROM part UNION ALL SELECT split_part(lower(p_name), ' ', 2) || ' ' || split_part(lower(p_name), ' ', 1) FROM part)),

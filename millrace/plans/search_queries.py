@@ -228,9 +228,11 @@ def _(spark, d):
     return Tables(spark, d).vault.select("slug", F.round(K.recency_decay(age), 9).alias("f"), F.round(K.recency_boost(age), 9).alias("b"))
 
 
-@query("source_boost", "SELECT slug, CASE source_id WHEN 'vault' THEN 1.0 ELSE 0.8 END AS boost FROM vault", "vault")
+@query("source_boost", "SELECT p_partkey AS id, [1.0, 0.7, 0.5, 0.6, 0.6, 0.65, 0.85, 0.75, 0.6, 0.65, 0.8, 0.8][p_partkey % 12 + 1] AS boost FROM part")
 def _(spark, d):
-    return Tables(spark, d).vault.select("slug", K.source_boost(F.col("source_id")).alias("boost"))
+    """Every kind of source and one that is none, dealt over the parts."""
+    kinds = F.lit([*K.SOURCES, "nothing known"])
+    return Tables(spark, d).part.select(F.col("p_partkey").alias("id"), K.source_boost(F.element_at(kinds, (F.col("p_partkey") % 12 + 1).cast("int"))).alias("boost"))
 
 
 @query("mattering_boost", "SELECT slug, round(1 + 0.15 * ln(1 + salience), 9) AS f FROM vault WHERE salience > -1", "vault")
@@ -290,10 +292,12 @@ def _(spark, d):
     return E.metrics(*ranked(spark, d), 10).select("query_id", "precision", *[F.round(c, 9).alias(c) for c in ("recall", "rr", "ndcg")])
 
 
-@query("rank_shadow", f"WITH {RANKED}, a AS (SELECT query_id, list_sort(list(id)) AS x FROM ranked WHERE rank <= 5 GROUP BY 1), b AS (SELECT query_id, list_sort(list(id)) AS y FROM ranked WHERE rank BETWEEN 2 AND 6 GROUP BY 1) SELECT query_id, true AS changed, round(len(list_intersect(x, y)) / (10 - len(list_intersect(x, y))), 9) AS jaccard FROM a JOIN b USING (query_id)")
+@query("rank_shadow", f"WITH {RANKED}, a AS (SELECT query_id, list_sort(list(id)) AS x FROM ranked WHERE rank <= 5 GROUP BY 1), b AS (SELECT query_id, list_sort(list(id)) AS y FROM ranked WHERE rank BETWEEN CASE WHEN query_id % 40 = 0 THEN 2 ELSE 1 END AND CASE WHEN query_id % 40 = 0 THEN 6 ELSE 5 END GROUP BY 1) SELECT query_id, query_id % 40 = 0 AS changed, round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 9) AS jaccard FROM a JOIN b USING (query_id)")
 def _(spark, d):
+    """Rankings against themselves, half of them without their best hit."""
     r, _ = ranked(spark, d)
-    return K.shadow(r, r.filter("rank > 1").withColumn("rank", F.col("rank") - 1)).select("query_id", "changed", F.round("jaccard", 9).alias("jaccard"))
+    cut = F.when(F.col("query_id") % 40 == 0, 1).otherwise(0)
+    return K.shadow(r, r.filter(F.col("rank") > cut).withColumn("rank", F.col("rank") - cut)).select("query_id", "changed", F.round("jaccard", 9).alias("jaccard"))
 
 
 @query("push_scores", "WITH f AS (SELECT DISTINCT user_id AS turn, event_type AS slug FROM events WHERE value > 100), g AS (SELECT DISTINCT user_id AS turn, event_type AS slug FROM events WHERE value > 120 OR event_type = 'error'), n AS (SELECT (SELECT count(*) FROM f JOIN g USING (turn, slug)) AS h, (SELECT count(*) FROM f) AS f, (SELECT count(*) FROM g) AS g) SELECT round(h / f, 9) AS precision, round(h / g, 9) AS recall, g - h AS misses, f - h AS false_fires FROM n")
