@@ -1,4 +1,4 @@
-"""Mentions of known names in prose: a dictionary of any size, matched by joins on first atoms and on whole phrases.
+"""Mentions of known names in prose: a dictionary of any size, matched by joins on the first one or two atoms and on whole phrases.
 
 Text and names are read as atoms, words of letters, digits and `_` or single other characters, each with the white space before it as one
 space; a name is matched where its atoms follow each other in the text with the same spaces, whatever their case.
@@ -42,20 +42,22 @@ def mentions(docs: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: st
     the common word: it isn't one, though its place is taken. Code and [[links]] are passed over as white space. `own` is a column with
     the page that the text is, which it can't name.
 
-    Every atom is joined with the first atoms of names, which adaptive execution broadcasts or splits; only atoms that begin
-    some name are compared further, with the atoms that follow them up to the longest name.
+    Every atom, and every pair of neighbours, is joined with the names of one atom and the first two atoms of longer names, which
+    adaptive execution broadcasts or splits; only those that begin some name are compared further, up to the longest name.
     """
-    low = names.withColumn("a", atoms(F.col("phrase"))).select("phrase", "slug", F.get("a", F.lit(0)).alias("first"), F.size("a").alias("n")).filter("n > 0")
-    firsts = low.groupBy("first").agg(F.collect_set("n").alias("sizes"))
+    low = names.withColumn("a", atoms(F.col("phrase"))).select("phrase", "slug", F.array_join(F.slice("a", 1, 2), "").alias("first"), F.size("a").alias("n")).filter("n > 0")
+    firsts = low.groupBy("first", (F.col("n") > 1).alias("two")).agg(F.collect_set("n").alias("sizes"))
     longest = low.agg(F.max("n")).first()[0] or 0
     prose = F.regexp_replace(nfkc(F.col(text).cast("string")), r"(?s)```.*?```|`[^`\n]*`|(?<!\[)\[\[[^\]\n]{0,769}\]\]", " ")
     rows = docs.select(F.col(doc_id).alias("id"), *([F.col(own).alias("own")] if own else []), atoms(prose).alias("t"))
     is_word = lambda a: a.rlike(rf"^{WORD}")
     before = lambda i: F.ltrim(F.coalesce(F.get("t", i - 1), F.lit("")))
     # `tied`: the atom stands right behind a word.
-    places = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.struct(i.alias("at"), F.ltrim(F.lower(F.get("t", i))).alias("first"), F.slice("t", i + 1, F.lit(longest + 1)).alias("next"), (is_word(before(i)) & ~F.get("t", i).startswith(" ")).alias("tied")))
+    places = F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.struct(i.alias("at"), F.slice("t", i + 1, F.lit(longest + 1)).alias("next"), (is_word(before(i)) & ~F.get("t", i).startswith(" ")).alias("tied")))
     starts = rows.filter(F.size("t") > 0).select(*rows.columns[:-1], F.inline(places))
-    tried = starts.join(firsts, "first").withColumn("n", F.explode("sizes")).filter("n <= size(next)")
+    head = lambda k: F.ltrim(F.lower(F.array_join(F.slice("next", 1, k), "")))
+    keys = F.inline(F.array(F.struct(head(1).alias("first"), F.lit(False).alias("two")), F.struct(head(2).alias("first"), F.lit(True).alias("two"))))
+    tried = starts.select("*", keys).join(firsts, ["first", "two"]).withColumn("n", F.explode("sizes")).filter("n <= size(next)")
     last, after = F.get("next", F.col("n") - 1), F.coalesce(F.get("next", F.col("n")), F.lit(""))
     # No word character may stand on either side of a match.
     tried = tried.filter(~F.col("tied") & (is_word(F.ltrim(last)) | ~is_word(after)))
