@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import lexer
+from millrace.sources.shared import settled
 
 
 def language(path: Column) -> Column:
@@ -18,9 +20,11 @@ def language(path: Column) -> Column:
 
 def _lexed(files: DataFrame, made, schema: str, path: str, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
-            rows = [row for p, lang, source in zip(b["path"], b["language"], b["source"], strict=True) for row in made(p, lang, source)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            rows = (row for p, lang, source in zip(b["path"], b["language"], b["source"], strict=True) for row in made(p, lang, source))
+            while some := list(islice(rows, 10_000)):
+                yield pd.DataFrame(some, columns=names)
 
     src = files.select(F.col(path).alias("path"), language(F.col(path)).alias("language"), F.coalesce(F.col(text), F.lit("")).alias("source")).filter("language is not null")
     return src.mapInPandas(run, schema)
@@ -34,8 +38,9 @@ def symbols(files: DataFrame, path: str = "path", text: str = "source") -> DataF
     """(path, language, symbol, qualified, kind, start_line, end_line) of Python, TypeScript and Go files; other files have none."""
 
     def made(p, lang, source):
+        line = lexer.line_numbers(source)
         for s in lexer.symbols(source, lang):
-            yield p, lang, s.name, _qualified(s), s.kind, source.count("\n", 0, s.start) + 1, source.count("\n", 0, max(s.start, s.end - 1)) + 1
+            yield p, lang, s.name, _qualified(s), s.kind, line(s.start), line(max(s.start, s.end - 1))
 
     return _lexed(files, made, "path string, language string, symbol string, qualified string, kind string, start_line int, end_line int", path, text)
 
@@ -44,9 +49,9 @@ def chunks(files: DataFrame, most: int = 4000, path: str = "path", text: str = "
     """(path, index, symbol, kind, start_line, content): pieces of at most `most` characters that make up each file, cut at symbols of the top."""
 
     def made(p, lang, source):
-        found = lexer.symbols(source, lang)
+        found, line = lexer.symbols(source, lang), lexer.line_numbers(source)
         for n, (a, b, i) in enumerate(lexer.chunks(source, found, most)):
-            yield p, n, found[i].name if i >= 0 else None, found[i].kind if i >= 0 else None, source.count("\n", 0, a) + 1, source[a:b]
+            yield p, n, found[i].name if i >= 0 else None, found[i].kind if i >= 0 else None, line(a), source[a:b]
 
     return _lexed(files, made, "path string, index int, symbol string, kind string, start_line int, content string", path, text)
 
@@ -79,7 +84,8 @@ def resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFr
     is the target, several are ambiguous. Every scope is an equi-join on counted names, so a name that very many files define is one row.
     """
     named = symbols.select("path", "language", "symbol", "qualified", symbol_id(F.col("path"), F.col("qualified")).alias("id"))
-    every = named.select("path", "language", "id", F.explode(F.array_distinct(F.array("symbol", "qualified"))).alias("name"))
+    # Written, as every scope counts them and they are lexed.
+    every = settled(named.select("path", "language", "id", F.explode(F.array_distinct(F.array("symbol", "qualified"))).alias("name")))
     counted = lambda df, keys: df.groupBy(*keys).agg(F.count_distinct("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
     as_one = lambda df, keys, x: df.select(*keys, F.struct("n", "low", "high").alias(x))
     c = calls.withColumn("bare", F.element_at(F.split("callee", r"\."), -1)).withColumn("head", F.element_at(F.split("callee", r"\."), 1))
@@ -94,7 +100,8 @@ def resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFr
     stems = F.regexp_extract("path", r"([^/]*?)\.[^./]+$", 1)
     by_stem = as_one(counted(every.withColumn("stem", stems), ["stem", "language", "name"]), ["stem", "language", "name"], "import")
     module = F.when((F.col("head") != F.col("callee")) & F.col("stem").isNotNull() & (F.col("original") != "default"), F.col("original")).otherwise(F.col("stem"))
-    c = c.withColumn("stem2", module)
+    # What no import brings in has no stem: it keeps to its file's name in the join, which can't match as `wanted` is null, rather than to one key.
+    c = c.withColumn("stem2", F.coalesce(module, "path")).withColumn("stem", F.coalesce("stem", "path"))
     first = by_stem.withColumnsRenamed({"stem": "stem2", "name": "wanted"})
     c = c.join(first, ["stem2", "language", "wanted"], "left")
     c = c.join(by_stem.withColumnsRenamed({"name": "wanted", "import": "import2"}), ["stem", "language", "wanted"], "left")

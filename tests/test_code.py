@@ -164,3 +164,35 @@ def test_symbol_at_a_line(spark):
     assert {r.symbol: (r.kind, r.qualified, r.start_line, r.end_line) for r in s.collect()} == {"A": ("class", "A", 1, 3), "f": ("function", "A.f", 2, 3), "g": ("function", "g", 5, 6)}
     lines = spark.createDataFrame([("a.py", 3), ("a.py", 1), ("a.py", 6), ("a.py", 4)], "path string, line int")
     assert {r.line: r.symbol for r in M.symbol_at(s, lines).collect()} == {3: "f", 1: "A", 6: "g"}
+
+
+def test_lexing_takes_time_in_proportion():
+    """Four times the declarations of one file must not take sixteen times the time."""
+    import time
+
+    from millrace.functions import lexer
+
+    def seconds(source, lang):
+        best = 1e9
+        for _ in range(2):
+            t = time.process_time()
+            lexer.symbols(source, lang)
+            best = min(best, time.process_time() - t)
+        return best
+
+    made = {
+        "python": lambda n: "".join(f"def part_{i}(x):\n    return 'a name of a part of some length {i}'\n" for i in range(n)),
+        "go": lambda n: "".join(f"type T{i} int\n" for i in range(n)),
+        "typescript": lambda n: "{ [" * n + "( )" * n,
+    }
+    for lang, of in made.items():
+        small, large = of(8_000), of(32_000)
+        assert seconds(large, lang) < 9 * seconds(small, lang) + 0.2, lang
+
+
+def test_lines_of_symbols_and_chunks(spark):
+    source = "\n\ndef a():\n    pass\n\n\nclass B:\n    def c(self):\n        pass\n"
+    files = spark.createDataFrame([("m.py", source)], "path string, source string")
+    got = {(r.qualified, r.start_line, r.end_line) for r in K.symbols(files).collect()}
+    assert got == {("a", 3, 4), ("B", 7, 9), ("B.c", 8, 9)}
+    assert [r.start_line for r in K.chunks(files).orderBy("index").collect()] == [1, 3, 4, 7, 9]
