@@ -72,6 +72,24 @@ def calls(files: DataFrame, path: str = "path", text: str = "source") -> DataFra
     return _lexed(files, made, "path string, language string, caller string, callee string", path, text)
 
 
+def lexed(files: DataFrame, path: str = "path", text: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """calls, symbols and imports, of one pass over the files whose result is written."""
+
+    def made(p, lang, source):
+        found = lexer.symbols(source, lang)
+        for s in found:
+            yield "symbol", p, lang, s.name, _qualified(s), None
+        for i, callee in lexer.calls(source, lang, found):
+            yield "call", p, lang, callee, _qualified(found[i]) if i >= 0 else None, None
+        for name, original, module in lexer.imports(source, lang):
+            yield "import", p, lang, name, original, module
+
+    one = settled(_lexed(files, made, "part string, path string, language string, a string, b string, c string", path, text))
+    of = lambda part, *names: one.filter(F.col("part") == part).select("path", *names)
+    a, b, c = map(F.col, "abc")
+    return of("call", "language", b.alias("caller"), a.alias("callee")), of("symbol", "language", a.alias("symbol"), b.alias("qualified")), of("import", a.alias("name"), b.alias("original"), c.alias("module"))
+
+
 def symbol_id(path: Column, qualified: Column) -> Column:
     return F.concat_ws("::", path, qualified)
 
@@ -94,17 +112,19 @@ def resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFr
     c = c.withColumn("name", F.when(F.col("head").isin("self", "this", "cls"), F.col("bare")).otherwise(F.col("callee")))
     c = c.join(as_one(counted(every, ["path", "name"]), ["path", "name"], "file"), ["path", "name"], "left")
     brought = imports.select("path", F.col("name").alias("head"), "original", F.element_at(F.split(F.regexp_replace("module", r"\.\w{1,3}$", ""), r"[/.]"), -1).alias("stem")).dropDuplicates(["path", "head"])
-    c = c.join(brought, ["path", "head"], "left")
+    c = settled(c.join(brought, ["path", "head"], "left"))
+    c, rest = c.filter("stem is not null"), c.filter("stem is null")
     c = c.withColumn("wanted", F.when(F.col("stem").isNotNull(), F.when(F.col("head") == F.col("callee"), F.col("original")).otherwise(F.col("bare"))))
     # from a import b; b.f(): b may be the module itself.
     stems = F.regexp_extract("path", r"([^/]*?)\.[^./]+$", 1)
     by_stem = as_one(counted(every.withColumn("stem", stems), ["stem", "language", "name"]), ["stem", "language", "name"], "import")
     module = F.when((F.col("head") != F.col("callee")) & F.col("stem").isNotNull() & (F.col("original") != "default"), F.col("original")).otherwise(F.col("stem"))
-    # What no import brings in has no stem: it keeps to its file's name in the join, which can't match as `wanted` is null, rather than to one key.
-    c = c.withColumn("stem2", F.coalesce(module, "path")).withColumn("stem", F.coalesce("stem", "path"))
+    c = c.withColumn("stem2", module)
     first = by_stem.withColumnsRenamed({"stem": "stem2", "name": "wanted"})
     c = c.join(first, ["stem2", "language", "wanted"], "left")
     c = c.join(by_stem.withColumnsRenamed({"name": "wanted", "import": "import2"}), ["stem", "language", "wanted"], "left")
+    # What no import brings in isn't looked for there.
+    c = c.unionByName(rest, allowMissingColumns=True)
     c = c.join(as_one(counted(every.withColumnRenamed("name", "bare"), ["language", "bare"]), ["language", "bare"], "global"), ["language", "bare"], "left")
     # Without the caller itself.
     less = lambda x: F.col(f"{x}.n") - F.coalesce((F.col("own") == F.col(f"{x}.low")) | (F.col("own") == F.col(f"{x}.high")), F.lit(False)).cast("int")

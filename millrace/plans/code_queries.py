@@ -8,7 +8,6 @@ from millrace.operators import code as K
 from millrace.plans.registry import query
 from millrace.plans.written import written
 from millrace.sources.relations import Tables
-from millrace.sources.shared import settled
 
 
 def files(spark, d):
@@ -57,8 +56,7 @@ def _(spark, d):
 
 def resolved(spark, d):
     def make(path):
-        f = settled(files(spark, d))
-        K.resolved(K.calls(f), K.symbols(f), K.imports(f)).write.parquet(path)
+        K.resolved(*K.lexed(files(spark, d))).write.parquet(path)
 
     return spark.read.parquet(written(spark, d, "calls", make))
 

@@ -196,3 +196,14 @@ def test_lines_of_symbols_and_chunks(spark):
     got = {(r.qualified, r.start_line, r.end_line) for r in K.symbols(files).collect()}
     assert got == {("a", 3, 4), ("B", 7, 9), ("B.c", 8, 9)}
     assert [r.start_line for r in K.chunks(files).orderBy("index").collect()] == [1, 3, 4, 7, 9]
+
+
+def test_one_pass_gives_calls_symbols_and_imports(spark):
+    files = spark.createDataFrame([("m.py", "from n import g as h\n\ndef a():\n    h()\n    b()\n\ndef b():\n    pass\n"), ("n.py", "def g():\n    pass\n")], "path string, source string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    calls, symbols, imports = K.lexed(files)
+    assert rows(calls) == rows(K.calls(files))
+    assert rows(symbols) == rows(K.symbols(files).select(symbols.columns))
+    assert rows(imports) == rows(K.imports(files))
+    got = {(r.callee, r.state, r.scope, r.target) for r in K.resolved(calls, symbols, imports).collect()}
+    assert got == {("h", "resolved", "import", "n.py::g"), ("b", "resolved", "file", "m.py::b")}
