@@ -17,13 +17,38 @@ DIMINUTIVES = {
 }
 
 
+#: Keys that a text is posted under at most for a choice of several rare trigrams (see similar).
+_MOST_KEYS = 100
+_JOINT = "\x00"
+
+
+def _need(n: Column, threshold: float) -> Column:
+    """Trigrams that a set of n has in common with any that is alike and no larger. A hair below the threshold, so that rounding costs no pair."""
+    return F.ceil(F.lit(threshold - 1e-9) * n).cast("int")
+
+
+def _several(m: Column, threshold: float) -> Column:
+    """How many rare trigrams two sets meet under, whose larger one has m: 3, 2 or 1, as many as they must share and as give few keys."""
+    need = _need(m, threshold)
+    p = m - need + 1
+    return F.when((need >= 3) & ((p + 2) * (p + 1) * p <= 6 * _MOST_KEYS), 3).when((need >= 2) & ((p + 1) * p <= 2 * _MOST_KEYS), 2).otherwise(1)
+
+
+def _choices(a: Column, k: int) -> Column:
+    """All choices of k elements of a, in a's order, each as one string."""
+    if k == 1:
+        return a
+    return F.flatten(F.transform(a, lambda x, i: F.transform(_choices(F.slice(a, i + 2, F.size(a)), k - 1), lambda y: F.concat_ws(_JOINT, x, y))))
+
+
 def similar(left: DataFrame, right: DataFrame, threshold: float, key: str = "key", text: str = "text") -> DataFrame:
     """Pairs (left, right, similarity) of two tables (key, text) whose trigrams are alike by `threshold` (over 0) or more.
 
-    Sets of Jaccard similarity t have one of the rarest |s| - ceil(t |s|) + 1 trigrams of either in common, and sizes within t of each
-    other: each side is posted under those trigrams only, rarest first by their counts over both tables, so common trigrams
-    join few rows. A pair that meets under several trigrams is compared under the first that both post. A trigram of very many
-    rows is a skewed join key, which adaptive execution splits.
+    Sets of Jaccard similarity t share ceil(t |s|) trigrams of the larger one s at least, so k of these (or fewer than k if that is less) are
+    among the rarest |s| - ceil(t |s|) + k trigrams of either, and sizes are within t of each other. Each text is posted under all choices of k = 3 of them,
+    or of 2 or 1 where 3 give too many; the larger size of a pair says which k holds for it. Rarest first, by their counts over both
+    tables: a trigram that hundreds of titles have in common makes no pair unless two more are shared. Posts hold keys only; the sets of pairs that met, once each, are
+    joined to them.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -32,13 +57,20 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, key: str = "key
     one = both.select("side", "key", F.size("set").alias("n"), F.explode("set").alias("t"))
     freq = one.groupBy("t").agg(F.count("*").alias("c"))
     ranked = one.join(freq, "t").groupBy("side", "key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
-    ranked = ranked.withColumn("ts", F.transform("ts", lambda x: x["t"]))
-    # A hair below the threshold, so that rounding costs no pair.
-    take = F.col("n") - F.ceil((threshold - 1e-9) * F.col("n")) + 1
-    posts = ranked.select("side", "key", "n", "ts", F.slice("ts", F.lit(1), take.cast("int")).alias("head")).withColumn("t", F.explode("head"))
-    of = lambda side, s: posts.filter(F.col("side") == side).select("t", *[F.col(c).alias(f"{c}{s}") for c in ("key", "n", "ts", "head")])
-    met = of("l", "1").join(of("r", "2"), "t").filter(F.least("n1", "n2") >= (threshold - 1e-9) * F.greatest("n1", "n2"))
-    met = met.filter(F.get(F.array_intersect("head1", "head2"), F.lit(0)) == F.col("t"))
+    # Written, as both sides and the comparison read it.
+    ranked = settled(ranked.withColumn("ts", F.transform("ts", lambda x: x["t"])))
+    n = F.col("n")
+    # Sizes that the larger set of a pair can have; from `far` on, k is 1.
+    far = int(15 / (1 - threshold)) + 2 if threshold < 1 else 0
+    larger = F.sequence(n, F.greatest(n, F.least(F.floor(n / (threshold - 1e-9)).cast("int"), F.lit(far))))
+    posts = ranked.select("side", "key", "n", "ts", F.explode(F.array_distinct(F.transform(larger, lambda m: _several(m, threshold)))).alias("k"))
+    head = F.slice("ts", F.lit(1), n - _need(n, threshold) + F.col("k"))
+    posts = posts.select("side", "key", "n", "k", F.explode(F.when(F.col("k") == 3, _choices(head, 3)).when(F.col("k") == 2, _choices(head, 2)).otherwise(head)).alias("t"))
+    of = lambda df, side, s, *names: df.filter(F.col("side") == side).select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", *names)])
+    met = of(posts, "l", "1", "k", "t").join(of(posts, "r", "2", "k", "t"), (F.col("t1") == F.col("t2")) & (F.col("k1") == F.col("k2")))
+    met = met.filter((F.least("n1", "n2") >= (threshold - 1e-9) * F.greatest("n1", "n2")) & (_several(F.greatest("n1", "n2"), threshold) == F.col("k1")))
+    met = met.select("key1", "n1", "key2", "n2").distinct()
+    met = met.join(of(ranked, "l", "1", "ts"), ["key1", "n1"]).join(of(ranked, "r", "2", "ts"), ["key2", "n2"])
     found = met.select(F.col("key1").alias("left"), F.col("key2").alias("right"), jaccard(F.col("ts1"), F.col("ts2")).alias("similarity"))
     return found.filter(F.col("similarity") >= threshold)
 
@@ -109,14 +141,30 @@ def _only(found: DataFrame, at: str) -> DataFrame:
     return found.groupBy(at).agg(F.count_distinct("slug").alias("n"), F.min("slug").alias("low"), F.max("slug").alias("high"))
 
 
-def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None = None, redirects: DataFrame | None = None, threshold: float = 0.7, margin: float = 0.1) -> DataFrame:
+def _alike(mentions: DataFrame, live: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """(name, source_slug, page, top, second): the page most like each mention by title or last part of its slug, other than the mention's own,
+    how much, and how much the next."""
+    # Pages within `margin` below the threshold matter too: they make a best page ambiguous.
+    near = max(threshold - margin, 0.01)
+    names = mentions.filter("target <> 'unknown'").select("name", "target").distinct()
+    by_title = similar(names.select(F.col("name").alias("key"), F.col("name").alias("text")), live.select(F.col("slug").alias("key"), F.col("title").alias("text")), near)
+    by_slug = similar(names.select(F.col("name").alias("key"), F.col("target").alias("text")), live.select(F.col("slug").alias("key"), F.regexp_extract("slug", "([^/]*)$", 1).alias("text")), near)
+    best = by_title.unionByName(by_slug).groupBy(F.col("left").alias("name"), F.col("right").alias("page")).agg(F.max("similarity").alias("similarity"))
+    # Of three, two are left where one is the mention's own page: names meet their sources with no more than these.
+    first = lambda df, most, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), "page"))).filter(F.col("k") <= most)
+    best = first(best, 3, "name").drop("k").join(mentions.select("name", "source_slug"), "name").filter(F.col("page") != F.col("source_slug"))
+    return first(best, 2, "name", "source_slug").groupBy("name", "source_slug").agg(F.max_by("page", -F.col("k")).alias("page"), F.max("similarity").alias("top"), F.max(F.when(F.col("k") == 2, F.col("similarity"))).alias("second"))
+
+
+def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None = None, redirects: DataFrame | None = None, threshold: float = 0.7, margin: float = 0.1, fuzzy: bool = True) -> DataFrame:
     """The page that each mention means: (name, source_slug, slug, stage), one row for each different (name, source_slug).
 
     mentions (name, source_slug) come from pages; pages (slug, title, type, deleted); aliases (slug, alias); redirects (slug, target). The
     stages, in order: redirect of the mention's slug; exact slug; alias; exact_tail, the last part of a page's slug; name_variant of a
     person; prefix of a last part; trgm, title or last part alike by `threshold`, and by `margin` more than any other page; else
     slugify, the mention as a slug. A stage counts only if it finds one page, and never the page that the mention stands on;
-    what two pages fit stays open. All stages are joins over all mentions at once.
+    what two pages fit stays open. All stages are joins over all mentions at once. Not fuzzy: without the stage trgm, before which no
+    other stage's result depends on it, and whose similarity join costs most.
     """
     live = pages.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("slug", "title", "type").dropDuplicates(["slug"])
     parts = live.filter(F.contains("slug", F.lit("/"))).select("slug", F.regexp_extract("slug", "([^/]*)$", 1).alias("tail"))
@@ -151,23 +199,14 @@ def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None =
     fits = name_variants(every, people).groupBy("name").agg(F.count("*").alias("people"), F.min(F.struct("slug", "fit")).alias("fit"))
     m = m.join(fits, "name", "left")
 
-    # Pages within `margin` below the threshold matter too: they make a best page ambiguous.
-    near = max(threshold - margin, 0.01)
-    names = every.filter("target <> 'unknown'").select("name", "target").distinct()
-    by_title = similar(names.select(F.col("name").alias("key"), F.col("name").alias("text")), live.select(F.col("slug").alias("key"), F.col("title").alias("text")), near)
-    by_slug = similar(names.select(F.col("name").alias("key"), F.col("target").alias("text")), live.select(F.col("slug").alias("key"), F.regexp_extract("slug", "([^/]*)$", 1).alias("text")), near)
-    best = by_title.unionByName(by_slug).groupBy(F.col("left").alias("name"), F.col("right").alias("page")).agg(F.max("similarity").alias("similarity"))
-    best = best.join(every.select("name", "source_slug"), "name").filter(F.col("page") != F.col("source_slug"))
-    w = Window.partitionBy("name", "source_slug").orderBy(F.desc("similarity"), "page")
-    best = best.withColumn("k", F.row_number().over(w)).filter("k <= 2").groupBy("name", "source_slug").agg(F.max_by("page", -F.col("k")).alias("page"), F.max("similarity").alias("top"), F.max(F.when(F.col("k") == 2, F.col("similarity"))).alias("second"))
-    m = m.join(best, ["name", "source_slug"], "left")
+    m = m.join(_alike(every, live, threshold, margin), ["name", "source_slug"], "left") if fuzzy else m.withColumns({"page": F.lit(None).cast("string"), "top": F.lit(None).cast("double"), "second": F.lit(None).cast("double")})
 
     other = lambda c: F.when(c != F.col("source_slug"), c)
     variant_page = F.when((F.col("people") == 1) & (F.col("fit.fit") == "strong"), other(F.col("fit.slug")))
-    fuzzy = F.when((F.col("top") >= threshold) & (F.col("second").isNull() | (F.col("top") - F.col("second") >= margin)), F.col("page"))
+    alike = F.when((F.col("top") >= threshold) & (F.col("second").isNull() | (F.col("top") - F.col("second") >= margin)), F.col("page"))
     # A mention that fits some person, but not one alone, isn't guessed at.
     open_ = F.coalesce(F.col("people"), F.lit(0)) == 0
-    stages = [("redirect", other(F.col("redirect"))), ("exact", other(F.col("exact"))), ("alias", alias), ("exact_tail", F.when(F.col("bare"), rest("by_tail"))), ("name_variant", variant_page), ("prefix", F.when(F.col("bare") & open_, rest("by_start"))), ("trgm", F.when(open_, fuzzy))]
+    stages = [("redirect", other(F.col("redirect"))), ("exact", other(F.col("exact"))), ("alias", alias), ("exact_tail", F.when(F.col("bare"), rest("by_tail"))), ("name_variant", variant_page), ("prefix", F.when(F.col("bare") & open_, rest("by_start"))), ("trgm", F.when(open_, alike))]
     known = F.col("target") != "unknown"
     found = [F.when(known & page.isNotNull(), F.struct(page.alias("slug"), F.lit(stage).alias("stage"))) for stage, page in stages]
     return m.select("name", "source_slug", F.coalesce(*found, F.struct(F.col("target").alias("slug"), F.lit("slugify").alias("stage"))).alias("to")).select("name", "source_slug", "to.slug", "to.stage")

@@ -125,3 +125,40 @@ def test_entries(spark):
     pages = spark.createDataFrame([("p/1", "Alice Smith", "person", False), ("p/2", "ALICE  smith", "person", False), ("p/3", "Bob", "person", False), ("p/4", "April", "person", False), ("p/5", "Acme Corp", "company", None), ("p/6", "Acme Park", "place", False), ("p/7", "Dead Corp", "company", True), ("p/8", "12345", "company", False), ("p/9", None, "person", False)], "slug string, title string, type string, deleted boolean")
     aliases = spark.createDataFrame([("p/3", "Bobby Tables"), ("p/7", "Deadly"), ("p/5", "acme corp")], "slug string, alias string")
     assert {(r.phrase, r.slug) for r in gazetteer.entries(pages, aliases).collect()} == {("acme corp", "p/5"), ("bobby tables", "p/3")}
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.34, 0.5, 0.6, 0.8, 0.99, 1.0])
+def test_similar_pairs_meet_under_several_trigrams(spark, threshold):
+    """Short and long texts, for which one, two or three rare trigrams make a key, against all pairs."""
+    from millrace.functions.text import jaccard, trigrams
+
+    r = random.Random(7)
+    words = ["red", "bolt", "a", "12", "121", "5", "anvil", "éa", "zzz", "new"]
+    rows = [(i, " ".join(r.choice(words) + r.choice(["", "", "1", str(r.randrange(30))]) for _ in range(r.choice([0, 1, 1, 2, 3, 5, 12])))) for i in range(120)]
+    df = spark.createDataFrame(rows, "key int, text string")
+    got = sorted(map(tuple, slugs.similar(df, df, threshold).collect()))
+    sets = df.select(F.col("key").cast("string").alias("key"), trigrams(F.col("text")).alias("s")).filter("size(s) > 0")
+    every = sets.toDF("k1", "s1").crossJoin(sets.toDF("k2", "s2")).select("k1", "k2", jaccard(F.col("s1"), F.col("s2")).alias("j")).filter(F.col("j") >= threshold)
+    assert got == sorted(map(tuple, every.collect()))
+    assert got
+
+
+def test_titles_that_differ_in_a_number_meet_seldom(spark):
+    """2,000 titles share every trigram of their words and hundreds each of their numbers: few pairs may be compared."""
+    df = spark.range(100_000, 102_000).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("red bolt "), (F.col("id") * 7919 % 900_001 + 99_999).cast("string")).alias("text"))
+    seen = spark.sparkContext.accumulator(0)
+    real = slugs.jaccard
+
+    def counting(a, b):
+        def one(x):
+            seen.add(1)
+            return 0
+
+        return real(a, b) + F.udf(one, "int")(a)
+
+    slugs.jaccard = counting
+    try:
+        assert slugs.similar(df, df, 0.8).count() >= 2000
+    finally:
+        slugs.jaccard = real
+    assert seen.value < 100_000
