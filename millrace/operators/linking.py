@@ -36,7 +36,7 @@ def typed_links(pages: DataFrame, vault: DataFrame, aliases: DataFrame | None =
     several = F.when(F.col("raw").startswith("["), F.coalesce(F.from_json("raw", "array<string>"), F.array().cast("array<string>"))).otherwise(F.array("raw"))
     named = rows.withColumn("name", F.explode(several)).withColumn("name", F.trim("name")).filter(F.col("name").isNotNull() & (F.col("name") != "") & ~junk_name(F.col("name")))
     named = settled(named)
-    to = settled(canonical(named.select("name", F.col("slug").alias("source_slug")), vault, aliases, redirects).filter(F.col("stage").isin(*PRECISE)))
+    to = settled(canonical(named.select("name", F.col("slug").alias("source_slug")), vault, aliases, redirects, fuzzy=False).filter(F.col("stage").isin(*PRECISE)))
     hit = named.join(to.select("name", F.col("source_slug").alias("slug"), F.col("slug").alias("other")), ["name", "slug"]).filter("other <> slug").filter(~junk_name(F.col("other")))
     ends = hit.select(F.when(F.col("out"), F.col("slug")).otherwise(F.col("other")).alias("source_slug"), F.when(F.col("out"), F.col("other")).otherwise(F.col("slug")).alias("target_slug"), "type", F.col("slug").alias("origin_slug"), "field", "nth")
     return ends.groupBy(*KEY, "origin_slug").agg(F.min_by("field", "nth").alias("origin_field")).withColumn("confidence", F.lit(CONFIDENCE)).select(*KEY, "confidence", "origin_slug", "origin_field")

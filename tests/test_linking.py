@@ -94,3 +94,16 @@ def test_verbs(spark, context, kind, target, body, want):
     df = spark.createDataFrame([(context, kind, target, body)], "c string, k string, t string, b string")
     got = verb_link(F.col("c"), F.col("k"), *([F.col("t"), F.coalesce("b", F.lit(""))] if target else []))
     assert df.select(got).first()[0] == want
+
+
+def test_typed_links_make_no_similarity_join(spark, monkeypatch):
+    """The fuzzy stage is none of the precise ones, and no precise one depends on it."""
+    from millrace.operators import slugs
+
+    def never(*_, **__):
+        raise AssertionError("compared")
+
+    monkeypatch.setattr(slugs, "similar", never)
+    vault = spark.createDataFrame([("companies/acme", "Acme", "company", False)], "slug string, title string, type string, deleted boolean")
+    pages = spark.createDataFrame([("people/a", "person", '{"company": "Acme", "see_also": ["Acmee"]}')], "slug string, type string, frontmatter string")
+    assert [(r.target_slug, r.type) for r in L.typed_links(pages, vault).collect()] == [("companies/acme", "works_at")]
