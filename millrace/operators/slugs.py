@@ -67,7 +67,8 @@ def similar(left: DataFrame, right: DataFrame, threshold: float, key: str = "key
     head = F.slice("ts", F.lit(1), n - _need(n, threshold) + F.col("k"))
     posts = posts.select("side", "key", "n", "k", F.explode(F.when(F.col("k") == 3, _choices(head, 3)).when(F.col("k") == 2, _choices(head, 2)).otherwise(head)).alias("t"))
     of = lambda df, side, s, *names: df.filter(F.col("side") == side).select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", *names)])
-    met = of(posts, "l", "1", "k", "t").join(of(posts, "r", "2", "k", "t"), (F.col("t1") == F.col("t2")) & (F.col("k1") == F.col("k2")))
+    # Small files hold many posts: a plan by their size would send these through the driver.
+    met = of(posts, "l", "1", "k", "t").hint("merge").join(of(posts, "r", "2", "k", "t"), (F.col("t1") == F.col("t2")) & (F.col("k1") == F.col("k2")))
     met = met.filter((F.least("n1", "n2") >= (threshold - 1e-9) * F.greatest("n1", "n2")) & (_several(F.greatest("n1", "n2"), threshold) == F.col("k1")))
     met = met.select("key1", "n1", "key2", "n2").distinct()
     met = met.join(of(ranked, "l", "1", "ts"), ["key1", "n1"]).join(of(ranked, "r", "2", "ts"), ["key2", "n2"])
