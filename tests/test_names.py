@@ -162,3 +162,14 @@ def test_titles_that_differ_in_a_number_meet_seldom(spark):
     finally:
         slugs.jaccard = real
     assert seen.value < 100_000
+
+
+def test_only_places_of_whole_names_leave_a_task(spark):
+    names = spark.createDataFrame([("alpha beta gamma", "p/1"), ("οδοσ.α", "p/2"), ("delta", "p/3")], "phrase string, slug string")
+    docs = spark.createDataFrame([(1, "Alpha beta " * 2000), (2, "Alpha beta gamma. ΟΔΟΣ.Α Delta"), (3, ""), (4, None)], "doc_id long, text string")
+    low = names.withColumn("a", gazetteer.atoms(F.col("phrase"))).select("phrase", "slug", "a", F.size("a").alias("n"))
+    places = gazetteer._places(docs.filter("text <> ''").select("doc_id", gazetteer.atoms(F.col("text")).alias("t")), low)
+    assert places.filter("doc_id = 1").count() < 200
+    assert {(r.at, r.n) for r in places.filter("doc_id = 2").collect()} >= {(0, 3), (4, 3), (7, 1)}
+    assert sorted((r.id, r.slug, r.at) for r in gazetteer.mentions(docs, names).collect()) == [(2, "p/1", 0), (2, "p/2", 4), (2, "p/3", 7)]
+    assert gazetteer.mentions(docs, names.limit(0)).collect() == []
