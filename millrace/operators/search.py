@@ -42,19 +42,53 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 #: Weights of title and body words (fixed values).
 FIELD = {"title": 1.0, "body": 0.4}
 BUCKETS = 64
+#: Parts by id that the postings of a bucket are dealt into at least.
+SLICES = 4
+#: Words that a task sorts at a time.
+AT_ONCE = 1 << 19
 
 
 def write_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", title: str | None = None, buckets: int = BUCKETS) -> None:
-    """Postings of a corpus, written once: (term, id, field, tf, positions) in `buckets` folders by checksum of the term, sorted by term.
+    """Postings of a corpus, written once: (term, id, field, tf, positions) in `buckets` folders by checksum of the term, files sorted by term.
 
     A search reads the folders of its terms, and of them the row groups that may hold a term; texts aren't read again.
     """
+    post = document_postings(docs, doc_id, text, title)
+    dealt(post.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))).write.partitionBy("bucket").parquet(path)
+
+
+def document_postings(docs: DataFrame, doc_id: str, text: str, title: str | None) -> DataFrame:
+    """(term, id, field, tf, positions) of texts and titles. Each task sorts the words of its own documents, so nothing is shuffled."""
     fields = [("body", text)] + ([("title", title)] if title else [])
     every = F.array(*[F.struct(F.lit(k).alias("field"), F.col(c).cast("string").alias("t")) for k, c in fields])
-    one = docs.select(F.col(doc_id).alias("id"), F.inline(every)).select("id", "field", F.posexplode(tokens(F.col("t"))).alias("pos", "term"))
-    post = one.groupBy("term", "id", "field").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    post = post.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % buckets).cast("int"))
-    post.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    words = docs.select(F.col(doc_id).cast("long").alias("id"), F.inline(every)).select("id", "field", tokens(F.col("t")).alias("t")).filter(F.size("t") > 0)
+    return words.mapInArrow(_posted, "term string, id long, field string, tf long, positions array<int>")
+
+
+def _posted(batches):
+    import numpy as np
+
+    for b in batches:
+        bound, i = b.column(2).offsets.to_numpy(), 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(bound, bound[i] + AT_ONCE, "right")) - 1)
+            at, part = bound[i : j + 1] - bound[i], b.slice(i, j - i)
+            coded = b.column(2).values.slice(bound[i], at[-1]).dictionary_encode()
+            row, term = np.repeat(np.arange(j - i), np.diff(at)), coded.indices.to_numpy()
+            order = np.lexsort((row, term))  # stable: places stay in order
+            row, term, place = row[order], term[order], (np.arange(at[-1]) - at[:-1][row])[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (term[1:] != term[:-1])])
+            stops, own = np.r_[first, len(row)].astype(np.int32), pa.array(row[first])
+            lists = pa.ListArray.from_arrays(pa.array(stops), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(term[first])), part.column(0).take(own), part.column(1).take(own), pa.array(np.diff(stops).astype(np.int64)), lists], ["term", "id", "field", "tf", "positions"])
+            i = j
+
+
+def dealt(posts: DataFrame) -> DataFrame:
+    """Postings dealt by bucket and slices of ids, each task's sorted. Adaptive execution joins small parts and splits large ones, so no
+    task holds a bucket whole and texts aren't read a first time to find ranges."""
+    sliced = posts.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+    return sliced.hint("rebalance", "bucket", "slice").sortWithinPartitions("bucket", "term", "id").drop("slice")
 
 
 def read_index(spark, path: str, terms: Sequence[str], buckets: int = BUCKETS) -> DataFrame:

@@ -131,3 +131,38 @@ def test_answers(spark, tmp_path):
     assert len(answer(index, pages, "board", settings=Settings(per_source=1)).collect()) == 2
     assert answer(index, pages, "...").collect() == [] and answer(index, pages, "zebra").collect() == []
     assert words("The the É-x") == ["the", "é", "x"]
+
+
+def test_postings_are_made_without_a_shuffle(spark, docs):
+    posts = search.document_postings(docs, "doc_id", "text", None)
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, text in DOCS:
+        t = words_of(text)
+        want += [(w, i, "body", t.count(w), [k for k, x in enumerate(t) if x == w]) for w in set(t)]
+    assert sorted(map(tuple, posts.collect())) == sorted(want)
+
+
+def words_of(text):
+    import regex
+
+    return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+
+
+@pytest.mark.parametrize("phrase", [["fox", "hound"], ["red", "red"], ["the"], ["the", "the", "the"], ["hound", "zebra"]])
+def test_phrases_meet_within_documents(spark, docs, tmp_path, phrase):
+    found = Index(spark, f"{tmp_path}/a", 4).create(docs).search_phrase(phrase)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange") == 1
+    n = {i: sum(words_of(t)[k : k + len(phrase)] == phrase for k in range(len(words_of(t)))) for i, t in DOCS}
+    assert {r.id: r.score for r in found.collect()} == {i: k for i, k in n.items() if k}
+
+
+def test_a_bucket_is_dealt_over_several_tasks(spark, tmp_path):
+    hot = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the only word "), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        search.write_index(hot, f"{tmp_path}/a", buckets=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(spark.read.parquet(f"{tmp_path}/a").filter("term = 'the'").select(F.input_file_name()).distinct().collect()) >= 2
