@@ -99,6 +99,15 @@ def session_recall(ranking: DataFrame, gold: DataFrame, ks: Sequence[int] = (5,
     return hit.groupBy("query_id").agg(*[c for k in ks for c in (F.bool_or(found(k)).alias(f"any_{k}"), F.bool_and(found(k)).alias(f"all_{k}"))])
 
 
+def class_recall(ranking: DataFrame, queries: DataFrame, rows: DataFrame, ks: Sequence[int] = (5, 10)) -> DataFrame:
+    """session_recall where all other rows of a query's class are gold: all of them are among the first k where as many are as there are."""
+    from millrace.operators.evaluation import class_hits, class_sizes, first_ranks
+
+    hit = class_hits(first_ranks(ranking), queries, rows).groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"n_{k}") for k in ks])
+    n = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0))
+    return class_sizes(queries, rows).join(hit, "query_id", "left").select("query_id", *[c for k in ks for c in ((n(k) > 0).alias(f"any_{k}"), (n(k) == F.col("relevant")).alias(f"all_{k}"))])
+
+
 def fidelity(gold: DataFrame, stored: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row: gold facts stored with their value, with another one, not at all, and stored ones that no gold fact has."""
     g = gold.select(*keys, F.col(value).alias("g"), F.lit(True).alias("in_gold"))

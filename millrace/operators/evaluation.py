@@ -19,11 +19,36 @@ def metrics(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """Per query with a relevant id: precision, recall, reciprocal rank and nDCG (linear gain) at k. Repeats of an id count once."""
     ranking = first_ranks(ranking)
     good = qrels.filter("grade > 0")
-    gain = lambda g, r: g / F.log2(r + 1)
     ideal = good.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "id")))
-    best = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("r") <= k, gain(F.col("grade"), F.col("r")))).alias("idcg"))
-    hits = ranking.filter(F.col("rank") <= k).join(good, ["query_id", "id"])
-    got = hits.groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(gain(F.col("grade"), F.col("rank"))).alias("dcg"))
+    best = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), F.sum(F.when(F.col("r") <= k, _gain(F.col("grade"), F.col("r")))).alias("idcg"))
+    return _figures(best, ranking.filter(F.col("rank") <= k).join(good, ["query_id", "id"]), k)
+
+
+def class_hits(ranking: DataFrame, queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """The hits of a ranking (query_id, id, rank) that are of their query's class, with grade 1; queries (query_id, label), rows (id, label)."""
+    return ranking.join(queries.withColumnRenamed("label", "want"), "query_id").join(rows, "id").filter("want = label").select("query_id", "id", "rank", F.lit(1.0).alias("grade"))
+
+
+def class_sizes(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, relevant): how many rows are of a query's class, without the query itself; none left out, none with 0."""
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    return queries.join(sizes, "label").select("query_id", (F.col("n") - 1).alias("relevant")).filter("relevant > 0")
+
+
+def class_metrics(ranking: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """metrics where each query is a row, and all other rows of its class are relevant with grade 1: their number is counted by class,
+    not as pairs, which grow with the square of a class."""
+    ideal = F.aggregate(F.sequence(F.lit(1).cast("long"), F.least(F.col("relevant"), F.lit(k))), F.lit(0.0), lambda s, r: s + _gain(F.lit(1.0), r))
+    top = first_ranks(ranking).filter(F.col("rank") <= k)
+    return _figures(class_sizes(queries, rows).withColumn("idcg", ideal), class_hits(top, queries, rows), k)
+
+
+def _gain(grade, rank):
+    return grade / F.log2(rank + 1)
+
+
+def _figures(best: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    got = hits.groupBy("query_id").agg(F.count("*").alias("found"), F.min("rank").alias("first"), F.sum(_gain(F.col("grade"), F.col("rank"))).alias("dcg"))
     zero = F.lit(0)
     return best.join(got, "query_id", "left").select(
         "query_id", (F.coalesce("found", zero) / k).alias("precision"), (F.coalesce("found", zero) / F.col("relevant")).alias("recall"),

@@ -44,6 +44,8 @@ FIELD = {"title": 1.0, "body": 0.4}
 BUCKETS = 64
 #: Parts by id that the postings of a bucket are dealt into at least.
 SLICES = 4
+#: Queries that are multiplied with a block at a time.
+STRIP = 64
 #: Words that a task sorts at a time.
 AT_ONCE = 1 << 19
 
@@ -210,12 +212,11 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, n: int, row_id: str = "ve
     """The n nearest rows of every query by cosine, exactly: query, id, score, rank; a query isn't its own neighbour. With `same`,
     only rows that have the query's value in that column count.
 
-    Queries and rows are dealt into blocks of about `block`; each pair of blocks is one group, multiplied as matrices, which
-    leaves n rows a query; a last ranking merges those. Work is queries x rows, memory two blocks. nearest_cells does
+    Queries and rows are dealt into blocks of about `block`; each pair of blocks is one group, multiplied as matrices by
+    strips of queries, which leaves n rows a query; a last ranking merges those. Work is queries x rows, memory two blocks and a strip. nearest_cells does
     less work, for most of the neighbours.
     """
     import numpy as np
-    import pandas as pd
 
     def blocks(df: DataFrame) -> int:
         return max(1, -(-df.count() // block))
@@ -227,23 +228,29 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, n: int, row_id: str = "ve
     q = queries.select(F.col(row_id).alias("id"), F.col(vector).alias("e"), key.alias("k"), deal(nq).alias("qb"), every(nr).alias("rb"))
     r = vectors.select(F.col(row_id).alias("id"), F.col(vector).alias("e"), key.alias("k"), deal(nr).alias("rb"), every(nq).alias("qb"))
 
-    def unit(x: pd.Series) -> np.ndarray:
-        m = np.stack(x.to_list()).astype(np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "id": [], "score": []})
-        right = right.sort_values("id")
-        s = unit(left["e"]) @ unit(right["e"]).T
-        ids = right["id"].to_numpy()
-        s[(left["id"].to_numpy()[:, None] == ids[None]) | (left["k"].to_numpy()[:, None] != right["k"].to_numpy()[None])] = -np.inf
-        k = min(n + 1, s.shape[1])
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"query": np.repeat(left["id"].to_numpy(), k), "id": ids[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
-        return out[np.isfinite(out["score"])]
-
-    part = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(best, "query long, id long, score double")
+    def unit(x: pa.ChunkedArray) -> np.ndarray:
+        m = x.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        return m
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_by("id")
+            u, v, ids, keys, mine, own = unit(left["e"]), unit(right["e"]).T, *(t[c].to_numpy() for t in (right, left) for c in ("id", "k"))
+            k = min(n + 1, len(ids))
+            for i in range(0, len(u), STRIP):
+                s = u[i : i + STRIP] @ v
+                s[(mine[i : i + STRIP, None] == ids[None]) | (own[i : i + STRIP, None] != keys[None])] = -np.inf
+                np.negative(s, out=s)
+                top = np.argsort(s, axis=1, kind="stable")[:, :k]
+                score = -np.take_along_axis(s, top, 1).ravel()
+                out.append((np.repeat(mine[i : i + STRIP], k), ids[top].ravel(), score))
+        q, r, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        real = np.isfinite(score)
+        return pa.table({"query": q[real], "id": r[real], "score": score[real]})
+
+    part = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(best, "query long, id long, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

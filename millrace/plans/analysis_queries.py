@@ -57,6 +57,5 @@ _WEIGHT = "(" + " + ".join(f"CAST(u >= {b!r} AS INTEGER)" for b in _BOUNDS) + ")
 @query("holdout_bootstrap", f"WITH {RANKED}, v AS (SELECT query_id, coalesce(1 / min(rank) FILTER (good), 0) AS rr FROM ranked GROUP BY 1), w AS (SELECT round, rr, {_WEIGHT} AS w FROM (SELECT round, rr, CAST('0x' || substr(md5('42:' || round || ':' || query_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM v, range(1, 1001) AS r(round))), m AS (SELECT round, sum(w * rr) / sum(w) AS m FROM w WHERE w > 0 GROUP BY round), q AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m) SELECT round(mean, 6) AS mrr, round(least(low, mean), 6) AS low, round(greatest(high, mean), 6) AS high FROM q, (SELECT avg(rr) AS mean FROM v)")
 def _(spark, d):
     """The mean reciprocal rank of the stated query set and its interval by Poisson resampling."""
-    r, rel = ranked(spark, d)
-    got = E.poisson_interval(E.metrics(r, rel, 10).select("query_id", "rr"), "rr")
+    got = E.poisson_interval(E.class_metrics(*ranked(spark, d), 10).select("query_id", "rr"), "rr")
     return got.select(F.round("mean", 6).alias("mrr"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import context as X
 from millrace.operators import evaluation as E
 from millrace.operators import graph as G
 from millrace.operators import rollups as R
+from millrace.operators import search as S
 
 
 def distances(edges, start):
@@ -118,3 +120,21 @@ def test_deletions_are_held_through_an_outage(spark, tmp_path):
     put("seen", [("z", 0, 9.5)], "seen_at")
     put("gone", [("z", 2, 9.5)], "deleted_at")
     assert run() == [("a", 3), ("b", 7)]
+
+
+def test_classes_give_what_their_pairs_give(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=4).tolist(), int(min(i % 7, 4)) if i != 20 else 99) for i in range(400)]
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").repartition(3)
+    m = np.array([r[1] for r in vectors])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    near = S.knn_blocks(v, v.filter("vec_id % 2 = 0"), 6, block=150).select(F.col("query").alias("query_id"), "id", "rank")
+    want = {(q, k + 1): int(i) for q in range(0, 400, 2) for k, i in enumerate([x for x in np.argsort(-(m @ m[q]), kind="stable") if x != q][:6])}
+    assert {(r.query_id, r["rank"]): r.id for r in near.collect()} == want
+    queries, rows = v.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), "label"), v.select(F.col("vec_id").alias("id"), "label")
+    gold = queries.join(rows, "label").filter("query_id <> id").select("query_id", "id", F.lit(1.0).alias("grade"))
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert plain(E.class_metrics(near, queries, rows, 5)) == plain(E.metrics(near, gold, 5))
+    assert plain(X.class_recall(near, queries, rows, (2, 5))) == plain(X.session_recall(near, gold, (2, 5)))
+    assert plain(X.decoys_passed(near, E.class_hits(near, queries, rows), 3)) == plain(X.decoys_passed(near, gold, 3))
+    assert 20 not in {r.query_id for r in E.class_metrics(near, queries, rows, 5).collect()}
