@@ -90,3 +90,18 @@ def test_chunks():
 def test_chunk_columns(spark):
     df = spark.createDataFrame([("# A\ntext",), ("",), (None,)], "b string").select(C.chunked(F.col("b")).alias("c"))
     assert [None if r.c is None else [tuple(x) for x in r.c] for r in df.collect()] == [[(0, "# A\ntext")], [], None]
+
+
+def test_diffs_hold_a_slice_of_their_batch(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from millrace.functions.edits import unified_diff
+
+    texts = pa.array([f"{i}\n" + "x" * 20_000 for i in range(1500)] + [None])
+    tracemalloc.start()
+    made = unified_diff.func(texts, texts.take(pa.array([*range(1, 1501), 0])), pa.array(["p"] * 1501))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.null_count == 2 and made[0].as_py().startswith("--- a/p\n") and peak < 10_000_000
