@@ -26,11 +26,15 @@ def degrees(links: DataFrame) -> DataFrame:
     return ends.groupBy("slug").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
 
 
-def distinct_neighbours(links: DataFrame) -> DataFrame:
-    """Undirected distinct neighbours of every page."""
-    pairs = links.filter("source_slug <> target_slug").select(F.col("source_slug").alias("slug"), F.col("target_slug").alias("other"))
-    pairs = pairs.unionByName(pairs.select(F.col("other").alias("slug"), F.col("slug").alias("other"))).distinct()
-    return pairs.groupBy("slug").agg(F.count("*").alias("neighbours"))
+def different(rows: DataFrame, parts: int) -> DataFrame:
+    """Distinct rows. parts: where rows are many, the partitions that they are dealt over first, so that no task keeps more than its share; 0 leaves it to Spark."""
+    return (rows.repartition(parts, *rows.columns) if parts else rows).distinct()
+
+
+def distinct_neighbours(links: DataFrame, parts: int = 0) -> DataFrame:
+    """Undirected distinct neighbours of every page; each pair is kept once, whichever way its links run. parts: see `different`."""
+    pairs = different(links.filter("source_slug <> target_slug").select(F.least("source_slug", "target_slug").alias("a"), F.greatest("source_slug", "target_slug").alias("b")), parts)
+    return pairs.select(F.explode(F.array("a", "b")).alias("slug")).groupBy("slug").agg(F.count("*").alias("neighbours"))
 
 
 def orphans(pages: DataFrame, links: DataFrame) -> DataFrame:
@@ -97,20 +101,22 @@ def session_of(path: Column) -> Column:
     return F.when(hit != "", hit)
 
 
-def connecting(links: DataFrame, start: str, goal: str, most: int = 6) -> DataFrame:
+def connecting(links: DataFrame, start: str, goal: str, most: int = 6, parts: int = 0) -> DataFrame:
     """Shortest ways between two pages over links in either direction, one for each page at which searches from both ends meet first:
     (middle, length, path), path an array of (slug, type, out) from start to goal; type and out (along the link's direction) name the
     link to the slug, and are null for the start. No rows, if they are further than `most` links apart.
 
     Both ends grow by one link in turn, the one with fewer new pages first, so a hub is opened only where both sides come to it.
     Each page keeps the link that it was reached by (the least of those of its level), which gives the way back by one join a level.
+    parts: see `different`.
     """
     spark = links.sparkSession
-    one = links.filter("source_slug <> target_slug").select("source_slug", "target_slug", "type")
-    edge = settled(one.select(F.col("source_slug").alias("a"), F.col("target_slug").alias("b"), "type", F.lit(True).alias("out")).unionByName(one.select(F.col("target_slug").alias("a"), F.col("source_slug").alias("b"), "type", F.lit(False).alias("out"))).distinct())
+    one = different(links.filter("source_slug <> target_slug").select("source_slug", "target_slug", "type"), parts)
+    way = lambda a, b, out: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col("type").alias("type"), F.lit(out).alias("out"))
+    edge = settled(one.select(F.inline(F.array(way("source_slug", "target_slug", True), way("target_slug", "source_slug", False)))))
     schema = "slug string, prev string, type string, out boolean, depth int"
     seen = {k: spark.createDataFrame([(s, None, None, None, 0)], schema) for k, s in (("a", start), ("b", goal))}
-    front = dict(seen)
+    front = {k: F.broadcast(s) for k, s in seen.items()}  # one row; the later ones' sizes are known from their files
     sizes, depth = {"a": 1, "b": 1}, {"a": 0, "b": 0}
     met = seen["a"].join(seen["b"].select("slug"), "slug", "left_semi").select("slug")
     while met.isEmpty():

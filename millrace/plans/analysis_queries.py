@@ -24,7 +24,7 @@ def _(spark, d):
     t = Tables(spark, d)
     first = t.customer.agg(F.min("c_nationkey")).first()[0]
     two = [f"customer/{r.c_custkey}" for r in t.customer.filter(F.col("c_nationkey") == first).select("c_custkey").orderBy("c_custkey").limit(2).collect()]
-    ways = G.connecting(t.links, *two)
+    ways = G.connecting(t.links, *two, parts=2 * t.parts)
     return ways.select("middle", "length", F.concat_ws(" ", F.transform(F.slice("path", 2, 10), lambda x: x["type"])).alias("kinds"))
 
 

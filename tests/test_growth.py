@@ -36,3 +36,14 @@ def test_union_all_edges_makes_the_links_once(spark, sf_dir, many):
     df = QUERIES["union_all_edges"](spark, sf_dir)
     assert joins(df) == 1
     same(df, SQL["union_all_edges"], sf_dir)
+
+
+def test_connecting_paths_deals_its_edges(spark, sf_dir, many, monkeypatch):
+    from millrace.operators import graph
+
+    made, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: made.append(df) or settled(df))
+    df = QUERIES["connecting_paths"](spark, sf_dir)
+    assert joins(made[0]) == 1
+    assert made[0].rdd.getNumPartitions() == 2 * relations.Tables(spark, sf_dir).parts
+    same(df, SQL["connecting_paths"], sf_dir)
