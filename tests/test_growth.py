@@ -32,10 +32,11 @@ def test_links_are_joined_by_bounded_tasks(spark, sf_dir, many):
     assert max(sizes) < 2 * LINES
 
 
-def test_union_all_edges_makes_the_links_once(spark, sf_dir, many):
-    df = QUERIES["union_all_edges"](spark, sf_dir)
-    assert joins(df) == 1
-    same(df, SQL["union_all_edges"], sf_dir)
+@pytest.mark.parametrize("name, times", [("union_all_edges", 1), ("experts_by_degree", 1)])
+def test_links_are_made_once_for_both_ends(spark, sf_dir, many, name, times):
+    df = QUERIES[name](spark, sf_dir)
+    assert joins(df) == times
+    same(df, SQL[name], sf_dir)
 
 
 def test_connecting_paths_deals_its_edges(spark, sf_dir, many, monkeypatch):
