@@ -21,8 +21,8 @@ def neighbours(links: DataFrame, slug: str, direction: str = "both", limit: int
 
 def degrees(links: DataFrame) -> DataFrame:
     """In, out and total degree of every page, self loops left out; one aggregation with partial sums."""
-    links = links.filter("source_slug <> target_slug")
-    ends = links.select(F.col("source_slug").alias("slug"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(links.select(F.col("target_slug").alias("slug"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    end = lambda slug, o, i: F.struct(F.col(slug).alias("slug"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = links.filter("source_slug <> target_slug").select(F.inline(F.array(end("source_slug", 1, 0), end("target_slug", 0, 1))))
     return ends.groupBy("slug").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.sum(F.col("i") + F.col("o")).alias("degree"))
 
 
