@@ -266,8 +266,7 @@ def _(spark, d):
 
 @query("union_distinct_pages", "SELECT source_slug AS slug FROM links UNION SELECT target_slug FROM links", "links")
 def _(spark, d):
-    k = Tables(spark, d).links
-    return k.select(F.col("source_slug").alias("slug")).union(k.select("target_slug")).distinct()
+    return Tables(spark, d).links.select(F.explode(F.array("source_slug", "target_slug")).alias("slug")).distinct()
 
 
 @query("intersect_except", "(SELECT target_slug AS slug FROM links WHERE type = 'bought' INTERSECT SELECT target_slug FROM links WHERE type = 'supplies') EXCEPT SELECT slug FROM vault WHERE deleted", "links vault")

@@ -32,7 +32,7 @@ def test_links_are_joined_by_bounded_tasks(spark, sf_dir, many):
     assert max(sizes) < 2 * LINES
 
 
-@pytest.mark.parametrize("name, times", [("union_all_edges", 1), ("experts_by_degree", 1), ("anomalous_degrees", 3)])  # the degrees twice, for the mean too, and their join with it
+@pytest.mark.parametrize("name, times", [("union_all_edges", 1), ("experts_by_degree", 1), ("union_distinct_pages", 1), ("anomalous_degrees", 3)])  # the degrees twice, for the mean too, and their join with it
 def test_links_are_made_once_for_both_ends(spark, sf_dir, many, name, times):
     df = QUERIES[name](spark, sf_dir)
     assert joins(df) == times
