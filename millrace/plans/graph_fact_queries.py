@@ -70,7 +70,8 @@ def _(spark, d):
 
 @query("experts_by_degree", "WITH p AS (SELECT source_slug AS slug, target_slug AS o FROM links UNION SELECT target_slug, source_slug FROM links) SELECT slug, count(*) AS neighbours FROM p GROUP BY slug ORDER BY neighbours DESC, slug LIMIT 40", "links")
 def _(spark, d):
-    return G.distinct_neighbours(Tables(spark, d).links).orderBy(F.desc("neighbours"), "slug").limit(40)
+    t = Tables(spark, d)
+    return G.distinct_neighbours(t.links, 2 * t.parts).orderBy(F.desc("neighbours"), "slug").limit(40)
 
 
 @query("experts_by_topic", "SELECT slug, round(ln(1 + salience * 10) * greatest(0.1, exp(-date_diff('day', updated_at, TIMESTAMP '2003-01-01') / 180.0)) * (0.5 + 0.5 * salience), 9) AS score FROM vault WHERE type = 'person' AND salience >= 0 ORDER BY score DESC, slug LIMIT 25", "vault")
