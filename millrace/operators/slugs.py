@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,14 @@ DIMINUTIVES = {
 
 #: Keys that a text is posted under at most for a choice of several rare trigrams (see similar).
 _MOST_KEYS = 100
-_JOINT = "\x00"
+#: Slots that trigrams are counted in by hash, and longs of a set's bit table.
+_SLOTS, _LONGS = 1 << 16, 2
+#: Texts that a task posts, where that gives more than eight tasks.
+_TEXTS = 1 << 15
 
 
 def _need(n: Column, threshold: float) -> Column:
-    """Trigrams that a set of n has in common with any that is alike and no larger. A hair below the threshold, so that rounding costs no pair."""
+    """Trigrams that a set of n has in common with any that is alike. A hair below the threshold, so that rounding costs no pair."""
     return F.ceil(F.lit(threshold - 1e-9) * n).cast("int")
 
 
@@ -34,45 +39,74 @@ def _several(m: Column, threshold: float) -> Column:
     return F.when((need >= 3) & ((p + 2) * (p + 1) * p <= 6 * _MOST_KEYS), 3).when((need >= 2) & ((p + 1) * p <= 2 * _MOST_KEYS), 2).otherwise(1)
 
 
-def _choices(a: Column, k: int) -> Column:
-    """All choices of k elements of a, in a's order, each as one string."""
-    if k == 1:
-        return a
-    return F.flatten(F.transform(a, lambda x, i: F.transform(_choices(F.slice(a, i + 2, F.size(a)), k - 1), lambda y: F.concat_ws(_JOINT, x, y))))
+def _choices(a: Column, k: int, chosen: tuple = (), at: Column | int = 0) -> Column:
+    """All choices of k elements of a, in a's order: a hash of each (h), and the place of its last element (last)."""
+    rest = F.slice(a, F.lit(1) + at, F.size(a))
+    if len(chosen) == k - 1:
+        return F.transform(rest, lambda x, i: F.struct(F.xxhash64(F.lit(k), *chosen, x).alias("h"), (i + 1 + at).alias("last")))
+    return F.flatten(F.transform(rest, lambda x, i: _choices(a, k, (*chosen, x), i + 1 + at)))
+
+
+def _slot(t: Column) -> Column:
+    return F.pmod(F.xxhash64(t), F.lit(_SLOTS)).cast("int")
+
+
+def _rarity(sets: DataFrame) -> bytes:
+    """A byte for each slot, the higher the more pairs its trigrams would make; 255 where one side has none of them."""
+    of = lambda side: F.count(F.when(F.col("side") == side, 1)).alias(side)
+    counts = sets.select("side", F.explode("set").alias("t")).groupBy(_slot(F.col("t")).alias("slot")).agg(of("l"), of("r")).filter("l > 0 and r > 0")
+    out = bytearray(b"\xff" * _SLOTS)
+    for slot, most_l, most_r in counts.collect():
+        out[slot] = min(254, int(5 * math.log(most_l * most_r)))
+    return bytes(out)
+
+
+def _posts(sets: DataFrame, side: str, threshold: float, rarity: Column, s: str) -> DataFrame:
+    """(h, id, n, u, most, bits of the set) of each choice that a text of this side is posted under; most: trigrams that a pair may
+    have to share to meet there for certain."""
+    n, u = F.col("n"), F.size("ts")
+    ranked = F.sort_array(F.transform("set", lambda t: F.struct(F.substring(rarity, _slot(t) + 1, F.lit(1)).alias("c"), t.alias("t"))))
+    ranked = sets.filter(F.col("side") == side).select("id", F.size("set").alias("n"), F.transform(F.filter(ranked, lambda x: x["c"] != F.lit(b"\xff")), lambda x: x["t"]).alias("ts"))
+    # Sizes that the larger set of a pair can have; from `far` on, k is 1.
+    far = int(15 / (1 - threshold)) + 2 if threshold < 1 else 0
+    larger = F.sequence(n, F.greatest(n, F.least(F.floor(n / (threshold - 1e-9)).cast("int"), F.lit(far))))
+    bits = [F.expr(f"aggregate(transform(ts, t -> cast(pmod(xxhash64(t), {64 * _LONGS}) as int)), 0L, (b, x) -> if(shiftright(x, 6) = {i}, b | shiftleft(1L, x & 63), b))").alias(f"bits{i}") for i in range(_LONGS)]
+    ks = F.when(u >= _need(n, threshold), F.array_distinct(F.transform(larger, lambda m: _several(m, threshold))))
+    ranked = ranked.select("*", *bits, F.explode(ks).alias("k"))
+    head = F.slice("ts", F.lit(1), u - _need(n, threshold) + F.col("k"))
+    ranked = ranked.select("id", "n", u.alias("u"), "k", *[f"bits{i}" for i in range(_LONGS)], F.explode(F.when(F.col("k") == 3, _choices(head, 3)).when(F.col("k") == 2, _choices(head, 2)).otherwise(_choices(head, 1))).alias("c"))
+    out = {"h": F.col("c.h"), "id": F.col("id"), "n": n, "u": F.col("u"), "most": F.col("u") + F.col("k") - F.col("c.last"), "k": F.col("k")} | {f"bits{i}": F.col(f"bits{i}") for i in range(_LONGS)}
+    return ranked.select(*[c.cast("short" if x in ("n", "u", "most", "k") else "long").alias(x + s) for x, c in out.items()])
 
 
 def similar(left: DataFrame, right: DataFrame, threshold: float, key: str = "key", text: str = "text") -> DataFrame:
     """Pairs (left, right, similarity) of two tables (key, text) whose trigrams are alike by `threshold` (over 0) or more.
 
-    Sets of Jaccard similarity t share ceil(t |s|) trigrams of the larger one s at least, so k of these (or fewer than k if that is less) are
-    among the rarest |s| - ceil(t |s|) + k trigrams of either, and sizes are within t of each other. Each text is posted under all choices of k = 3 of them,
-    or of 2 or 1 where 3 give too many; the larger size of a pair says which k holds for it. Rarest first, by their counts over both
-    tables: a trigram that hundreds of titles have in common makes no pair unless two more are shared. Posts hold keys only; the sets of pairs that met, once each, are
-    joined to them.
+    Sets of n1 and n2 trigrams with a Jaccard similarity of t share t (n1 + n2) / (1 + t) at least. Only trigrams that both tables have can be shared;
+    all sets have them in one order, rarest first, by counts in a table of fixed size. Behind the first k shared ones are all other shared ones, so these k
+    are among the first u - shared + k of the u that a set has. Each text is posted under all choices of k = 3 of its first ones, or of 2 or 1 where 3
+    give too many; the larger size of a pair says which k holds for it: a trigram that hundreds of titles have in common makes no pair unless two more are shared.
+
+    Posts hold numbers only, a bit table of the set among them, by which most pairs that can't be alike go where they meet. What is left, once each, is
+    compared by its texts.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    sets = lambda df, side: df.select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), trigrams(F.col(text)).alias("set")).filter("size(set) > 0")
-    both = sets(left, "l").unionByName(sets(right, "r"))
-    one = both.select("side", "key", F.size("set").alias("n"), F.explode("set").alias("t"))
-    freq = one.groupBy("t").agg(F.count("*").alias("c"))
-    ranked = one.join(freq, "t").groupBy("side", "key", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("ts"))
-    # Written, as both sides and the comparison read it.
-    ranked = settled(ranked.withColumn("ts", F.transform("ts", lambda x: x["t"])))
-    n = F.col("n")
-    # Sizes that the larger set of a pair can have; from `far` on, k is 1.
-    far = int(15 / (1 - threshold)) + 2 if threshold < 1 else 0
-    larger = F.sequence(n, F.greatest(n, F.least(F.floor(n / (threshold - 1e-9)).cast("int"), F.lit(far))))
-    posts = ranked.select("side", "key", "n", "ts", F.explode(F.array_distinct(F.transform(larger, lambda m: _several(m, threshold)))).alias("k"))
-    head = F.slice("ts", F.lit(1), n - _need(n, threshold) + F.col("k"))
-    posts = posts.select("side", "key", "n", "k", F.explode(F.when(F.col("k") == 3, _choices(head, 3)).when(F.col("k") == 2, _choices(head, 2)).otherwise(head)).alias("t"))
-    of = lambda df, side, s, *names: df.filter(F.col("side") == side).select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", *names)])
+    texts = lambda df, side: df.select(F.lit(side).alias("side"), F.col(key).cast("string").alias("key"), F.col(text).alias("text")).filter("text <> ''")
+    # Written, as the counts, both sides and the comparison read it, and for the ids.
+    both = settled(texts(left, "l").unionByName(texts(right, "r")).withColumn("id", F.monotonically_increasing_id()))
+    parts = -(-both.count() // _TEXTS)
+    dealt = lambda df, by: df.repartition(parts, by) if parts > 8 else df
+    sets = dealt(both, "id").select("side", "id", trigrams(F.col("text")).alias("set"))
+    rarity = F.lit(_rarity(sets))
+    shared = F.ceil(F.lit((threshold - 1e-9) / (1 + threshold)) * (F.col("n1") + F.col("n2")))
+    lacks = lambda a, b: F.expr(f"u{a} - " + " - ".join(f"bit_count(bits{i}{a} & ~bits{i}{b})" for i in range(_LONGS)))
     # Small files hold many posts: a plan by their size would send these through the driver.
-    met = of(posts, "l", "1", "k", "t").hint("merge").join(of(posts, "r", "2", "k", "t"), (F.col("t1") == F.col("t2")) & (F.col("k1") == F.col("k2")))
-    met = met.filter((F.least("n1", "n2") >= (threshold - 1e-9) * F.greatest("n1", "n2")) & (_several(F.greatest("n1", "n2"), threshold) == F.col("k1")))
-    met = met.select("key1", "n1", "key2", "n2").distinct()
-    met = met.join(of(ranked, "l", "1", "ts"), ["key1", "n1"]).join(of(ranked, "r", "2", "ts"), ["key2", "n2"])
-    found = met.select(F.col("key1").alias("left"), F.col("key2").alias("right"), jaccard(F.col("ts1"), F.col("ts2")).alias("similarity"))
+    met = _posts(sets, "l", threshold, rarity, "1").hint("merge").join(_posts(sets, "r", threshold, rarity, "2"), (F.col("h1") == F.col("h2")) & (F.least("most1", "most2", lacks(1, 2), lacks(2, 1)) >= shared) & (_several(F.greatest("n1", "n2"), threshold) == F.col("k1")) & (F.col("k1") == F.col("k2")))
+    met = met.select("id1", "id2").distinct()
+    of = lambda side, s: both.filter(F.col("side") == side).select(*[F.col(c).alias(f"{c}{s}") for c in ("id", "key", "text")])
+    met = settled(dealt(dealt(met, "id1").join(of("l", "1"), "id1"), "id2").join(of("r", "2"), "id2").select("key1", "key2", trigrams(F.col("text1")).alias("set1"), trigrams(F.col("text2")).alias("set2")))
+    found = met.select(F.col("key1").alias("left"), F.col("key2").alias("right"), jaccard(F.col("set1"), F.col("set2")).alias("similarity"))
     return found.filter(F.col("similarity") >= threshold)
 
 

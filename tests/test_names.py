@@ -164,6 +164,24 @@ def test_titles_that_differ_in_a_number_meet_seldom(spark):
     assert seen.value < 100_000
 
 
+def test_titles_are_compared_with_few_others(spark, monkeypatch):
+    """A letter added to titles that differ in a number: few pairs besides those that are alike leave the task in which they meet."""
+    name = F.element_at(F.array(*map(F.lit, ["red bolt ", "hot plate ", "small widget "])), (F.col("id") % 3 + 1).cast("int"))
+    right = spark.range(4000).select(F.col("id").cast("string").alias("key"), F.concat(name, F.col("id") + 100_000).alias("text"))
+    seen, real = spark.sparkContext.accumulator(0), slugs.jaccard
+
+    def counting(a, b):
+        def one(x):
+            seen.add(1)
+            return 0
+
+        return real(a, b) + F.udf(one, "int")(a)
+
+    monkeypatch.setattr(slugs, "jaccard", counting)
+    assert slugs.similar(right.withColumn("text", F.concat("text", F.lit(" a"))), right, 0.8).count() >= 4000
+    assert seen.value < 3 * 4000
+
+
 def test_only_places_of_whole_names_leave_a_task(spark):
     names = spark.createDataFrame([("alpha beta gamma", "p/1"), ("οδοσ.α", "p/2"), ("delta", "p/3")], "phrase string, slug string")
     docs = spark.createDataFrame([(1, "Alpha beta " * 2000), (2, "Alpha beta gamma. ΟΔΟΣ.Α Delta"), (3, ""), (4, None)], "doc_id long, text string")
