@@ -176,11 +176,9 @@ def _only(found: DataFrame, at: str) -> DataFrame:
     return found.groupBy(at).agg(F.count_distinct("slug").alias("n"), F.min("slug").alias("low"), F.max("slug").alias("high"))
 
 
-def _alike(mentions: DataFrame, live: DataFrame, threshold: float, margin: float) -> DataFrame:
+def _best(mentions: DataFrame, live: DataFrame, near: float) -> DataFrame:
     """(name, source_slug, page, top, second): the page most like each mention by title or last part of its slug, other than the mention's own,
-    how much, and how much the next."""
-    # Pages within `margin` below the threshold matter too: they make a best page ambiguous.
-    near = max(threshold - margin, 0.01)
+    how much, and how much the next; of pages alike by `near`."""
     names = mentions.filter("target <> 'unknown'").select("name", "target").distinct()
     by_title = similar(names.select(F.col("name").alias("key"), F.col("name").alias("text")), live.select(F.col("slug").alias("key"), F.col("title").alias("text")), near)
     by_slug = similar(names.select(F.col("name").alias("key"), F.col("target").alias("text")), live.select(F.col("slug").alias("key"), F.regexp_extract("slug", "([^/]*)$", 1).alias("text")), near)
@@ -191,6 +189,20 @@ def _alike(mentions: DataFrame, live: DataFrame, threshold: float, margin: float
     return first(best, 2, "name", "source_slug").groupBy("name", "source_slug").agg(F.max_by("page", -F.col("k")).alias("page"), F.max("similarity").alias("top"), F.max(F.when(F.col("k") == 2, F.col("similarity"))).alias("second"))
 
 
+def _alike(mentions: DataFrame, live: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """_best for the pages that matter: those alike by `threshold`, and by `margin` less, as they make a best page ambiguous.
+
+    Most mentions have a page far above the threshold, and what is less like them by the margin doesn't matter: they are compared for close pages
+    alone, which makes few pairs, and only the others for all.
+    """
+    close = threshold + margin / 2
+    if close + margin >= 1:
+        return _best(mentions, live, max(threshold - margin, 0.01))
+    known = settled(_best(mentions, live, close).filter(F.col("top") - margin - 1e-9 >= close))
+    rest = settled(mentions.join(known, ["name", "source_slug"], "left_anti"))
+    return known.unionByName(_best(rest, live, max(threshold - margin, 0.01)))
+
+
 def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None = None, redirects: DataFrame | None = None, threshold: float = 0.7, margin: float = 0.1, fuzzy: bool = True) -> DataFrame:
     """The page that each mention means: (name, source_slug, slug, stage), one row for each different (name, source_slug).
 
@@ -199,7 +211,7 @@ def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None =
     person; prefix of a last part; trgm, title or last part alike by `threshold`, and by `margin` more than any other page; else
     slugify, the mention as a slug. A stage counts only if it finds one page, and never the page that the mention stands on;
     what two pages fit stays open. All stages are joins over all mentions at once. Not fuzzy: without the stage trgm, before which no
-    other stage's result depends on it, and whose similarity join costs most.
+    other stage's result depends on it, and whose similarity join costs most. It is asked only for mentions that the stages before it leave open.
     """
     live = pages.filter(~F.coalesce(F.col("deleted"), F.lit(False))).select("slug", "title", "type").dropDuplicates(["slug"])
     parts = live.filter(F.contains("slug", F.lit("/"))).select("slug", F.regexp_extract("slug", "([^/]*)$", 1).alias("tail"))
@@ -234,14 +246,17 @@ def canonical(mentions: DataFrame, pages: DataFrame, aliases: DataFrame | None =
     fits = name_variants(every, people).groupBy("name").agg(F.count("*").alias("people"), F.min(F.struct("slug", "fit")).alias("fit"))
     m = m.join(fits, "name", "left")
 
-    m = m.join(_alike(every, live, threshold, margin), ["name", "source_slug"], "left") if fuzzy else m.withColumns({"page": F.lit(None).cast("string"), "top": F.lit(None).cast("double"), "second": F.lit(None).cast("double")})
-
     other = lambda c: F.when(c != F.col("source_slug"), c)
     variant_page = F.when((F.col("people") == 1) & (F.col("fit.fit") == "strong"), other(F.col("fit.slug")))
-    alike = F.when((F.col("top") >= threshold) & (F.col("second").isNull() | (F.col("top") - F.col("second") >= margin)), F.col("page"))
     # A mention that fits some person, but not one alone, isn't guessed at.
     open_ = F.coalesce(F.col("people"), F.lit(0)) == 0
-    stages = [("redirect", other(F.col("redirect"))), ("exact", other(F.col("exact"))), ("alias", alias), ("exact_tail", F.when(F.col("bare"), rest("by_tail"))), ("name_variant", variant_page), ("prefix", F.when(F.col("bare") & open_, rest("by_start"))), ("trgm", F.when(open_, alike))]
+    stages = [("redirect", other(F.col("redirect"))), ("exact", other(F.col("exact"))), ("alias", alias), ("exact_tail", F.when(F.col("bare"), rest("by_tail"))), ("name_variant", variant_page), ("prefix", F.when(F.col("bare") & open_, rest("by_start")))]
     known = F.col("target") != "unknown"
     found = [F.when(known & page.isNotNull(), F.struct(page.alias("slug"), F.lit(stage).alias("stage"))) for stage, page in stages]
-    return m.select("name", "source_slug", F.coalesce(*found, F.struct(F.col("target").alias("slug"), F.lit("slugify").alias("stage"))).alias("to")).select("name", "source_slug", "to.slug", "to.stage")
+    m = m.select("name", "source_slug", "target", F.coalesce(*found).alias("to"), (known & open_).alias("ask"))
+    if fuzzy:
+        m = settled(m)
+        m = m.join(_alike(m.filter("ask and to is null").select("name", "source_slug", "target"), live, threshold, margin), ["name", "source_slug"], "left")
+        alike = (F.col("top") >= threshold) & (F.col("second").isNull() | (F.col("top") - F.col("second") >= margin))
+        m = m.withColumn("to", F.coalesce("to", F.when(alike, F.struct(F.col("page").alias("slug"), F.lit("trgm").alias("stage")))))
+    return m.select("name", "source_slug", F.coalesce("to", F.struct(F.col("target").alias("slug"), F.lit("slugify").alias("stage"))).alias("to")).select("name", "source_slug", "to.slug", "to.stage")

@@ -95,6 +95,46 @@ def canonicals(spark):
     return {(r.name, r.source_slug): (r.slug, r.stage) for r in rows}
 
 
+def test_only_mentions_left_open_are_compared_with_far_pages(spark, monkeypatch):
+    """Mentions that another stage settles are compared with no page, those with a page far above the threshold with close ones only."""
+    asked, real = [], slugs.similar
+
+    def similar(left, right, threshold, *more):
+        asked.append((threshold, sorted(r.key for r in left.select("key").collect())))
+        return real(left, right, threshold, *more)
+
+    monkeypatch.setattr(slugs, "similar", similar)
+    mentions = [("people/alice-smith", "n"), ("A. Smith", "n"), ("Quarterly planning review a", "n"), ("Quarterly planning review a", "projects/quarterly-planning-review"), ("Quarterly plan rev", "n"), ("Other", "n"), ("!!!", "n")]
+    pages = spark.createDataFrame([*PAGES, ("z/1", "Long report 1", "note", False), ("z/2", "Long report 2", "note", False)], "slug string, title string, type string, deleted boolean")
+    got = {(r.name, r.source_slug): (r.slug, r.stage) for r in slugs.canonical(spark.createDataFrame([*mentions, ("Long report", "n")], "name string, source_slug string"), pages).collect()}
+    assert got["Quarterly planning review a", "n"] == ("projects/quarterly-planning-review", "trgm") and got["Long report", "n"] == ("long-report", "slugify")
+    assert got["Quarterly planning review a", "projects/quarterly-planning-review"][1] == got["Other", "n"][1] == "slugify"
+    (high, first), _, (low, rest), _ = asked
+    assert high > low and first == ["Long report", "Other", "Quarterly plan rev", "Quarterly planning review a"]
+    # Two close pages settle it too; a mention whose close page is its own is asked for again.
+    assert rest == ["Other", "Quarterly plan rev", "Quarterly planning review a"]
+    asked.clear()
+    assert slugs.canonical(spark.createDataFrame([("Quarterly planning review a", "n"), ("Other", "n")], "name string, source_slug string"), pages).count() == 2
+    assert asked[0][1] == ["Other", "Quarterly planning review a"] and asked[2][1] == ["Other"]
+
+
+@pytest.mark.parametrize(("threshold", "margin"), [(0.7, 0.1), (0.5, 0.2), (0.4, 0.0), (0.9, 0.1), (0.3, 0.3)])
+def test_alike_equals_all_pairs(spark, threshold, margin):
+    rng = random.Random(5)
+    base = ["alice smith", "acme corporation", "quarterly planning review", "red bolt 1212", "new anvil 7"]
+    change = lambda s: "".join(c for c in s if rng.random() > 0.06) + rng.choice(["", "", "s", " a"])
+    pages = [(f"p/{i}", change(rng.choice(base))) for i in range(40)]
+    names = sorted({change(rng.choice(base)) for _ in range(60)})
+    mentions = [(n, s, target(n)) for n in names for s in ("n", f"p/{rng.randrange(40)}")]
+    got = {(r.name, r.source_slug): r.page for r in slugs._alike(spark.createDataFrame(mentions, "name string, source_slug string, target string"), spark.createDataFrame(pages, "slug string, title string"), threshold, margin).collect() if r.top >= threshold and (r.second is None or r.top - r.second >= margin)}
+    want = {}
+    for n, s, t in mentions:
+        best = sorted((-max(like(n, title), like(t, p.rpartition("/")[2])), p) for p, title in pages if p != s)
+        if -best[0][0] >= threshold and (best[1][0] - best[0][0] >= margin or -best[1][0] < max(threshold - margin, 0.01)):
+            want[n, s] = best[0][1]
+    assert got == want and want
+
+
 def brute_mentions(text, names, own=None):
     pattern = "|".join(r"\s+".join(map(re.escape, n.split(" "))) for n in sorted(names, key=lambda n: (-len(n), n)))
     blank = lambda m: " " * len(m[0])
