@@ -12,10 +12,11 @@ of near copies; long lists that still span several components are compared with
 helps. Then only lists that span components are left, and only pairs across components are looked at: members outside the
 list's largest component against all members, and a pair that meets in several lists is made in one of them: each post carries
 the FEW least tokens of its node, and where two nodes share some of these, the least of them alone makes the pair. Members of long
-lists of that kind (a passage that makes up most of many short documents, outliers of a large group) go through a prefix join on
-their full sets instead, which is exact: similar sets share one of the rarest fifth of their shingles, and what a set shares with no
-other bounds its similarity to any. Nothing is capped or left out. Whether a list is long changes only the cost: signatures miss a
-pair about once in 10^5, full sets never.
+lists of that kind (a passage that makes up most of many short documents, outliers of a large group) are compared by their
+full sets instead, which is exact. Each has a hub, a member of its largest group: whoever is like the hub is linked to it, and two that are alike without that differ from
+the hub in the same shingles for the most part, by which they meet (see _hub_pairs). Members with different hubs go through a prefix join: similar sets share one of the
+rarest fifth of their shingles, and what a set shares with no other bounds its similarity to any. Nothing is capped or left out. Whether a list is
+long changes only the cost: signatures miss a pair about once in 10^5, full sets never.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; fewer words than `shingle` are one
 shingle; rows with one doc_id count as one document, rows without one as a document each, after those with one; equal rows all get their row; an empty table gives an empty
@@ -137,11 +138,11 @@ def _sized(a: str, b: str, percent: int) -> Column:
 
 
 def _spanning(post: DataFrame, labels: DataFrame) -> DataFrame:
-    """The posts of lists that span components, with comp, members (of the list) and major (whether comp is its largest)."""
-    own = post.drop("comp", "members", "major").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    """The posts of lists that span components, with comp, members (of the list), top (its largest component) and major (whether comp is that)."""
+    own = post.drop("comp", "members", "major", "top").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     per = own.groupBy("tok", "comp").agg(F.count("*").alias("c"))
     lists = stash(per.groupBy("tok").agg(F.count("*").alias("comps"), F.sum("c").alias("members"), F.max(F.struct("c", "comp"))["comp"].alias("top")).filter("comps > 1"))
-    return stash(own.join(lists, "tok").withColumn("major", F.col("comp") == F.col("top")).drop("comps", "top"))
+    return stash(own.join(lists, "tok").withColumn("major", F.col("comp") == F.col("top")).drop("comps"))
 
 
 def _leads(post: DataFrame) -> DataFrame:
@@ -159,14 +160,14 @@ def _led(post: DataFrame, lead: DataFrame, percent: int) -> DataFrame:
 def _across(post: DataFrame, percent: int, sets: bool) -> DataFrame:
     """Pairs (node, node2) of different components in one list, that sizes and signatures allow; for posts of sets, that sizes and
     `least` allow (see _set_posts). A pair of many common lists is made in one, or in few if both carry none of them."""
-    cols = ["tok", "node", "n", "comp", "major", "seen", "few", *(["shared", "bits"] if sets else ["pack"])]
+    cols = ["tok", "node", "n", "comp", "major", "seen", "few", *(["shared", "bits", "hub"] if sets else ["pack"])]
     y = post.select(*[F.col(c).alias(f"{c}2") for c in cols])
     x = post.select(*cols).filter(~F.col("major"))
     cond = (F.col("comp") != F.col("comp2")) & (F.col("major2") | (F.col("node") < F.col("node2"))) & ~F.col("seen") & ~F.col("seen2") & _sized("n", "n2", percent)
     if sets:
         # In common: at most what a set shares with any other, less one for each bit that it has and the other lacks.
-        lacks = lambda a, b: " - ".join(f"bit_count(element_at(bits{a}, {i}) & ~element_at(bits{b}, {i}))" for i in range(1, BITS // 64 + 1))
-        for most in ("least(shared, shared2)", f"shared - {lacks('', '2')}", f"shared2 - {lacks('2', '')}"):
+        cond = (F.col("hub") != F.col("hub2")) & cond
+        for most in ("least(shared, shared2)", f"shared - {_lacks('', '2')}", f"shared2 - {_lacks('2', '')}"):
             cond = cond & F.expr(f"{100 + percent} * ({most}) >= {percent} * (n + n2)")
     else:
         cond = cond & (_agree("pack", "pack2") >= AGREE)
@@ -192,6 +193,57 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingl
     return stash(both.filter(F.expr(f"100 * common >= {percent} * (size(sa) + size(sb) - common)")).select("a", "b"))
 
 
+def _bits() -> Column:
+    """Of toks (c, tok): a bit table of BITS bits."""
+    return F.expr(f"transform(sequence(0, {BITS // 64 - 1}), w -> aggregate(filter(toks, t -> shiftright(t.tok & {BITS - 1}, 6) = w), 0L, (b, t) -> b | shiftleft(1L, cast(t.tok & 63 as int))))")
+
+
+def _lacks(a: str, b: str) -> str:
+    """Bits that one set has and the other lacks, to be subtracted."""
+    return " - ".join(f"bit_count(element_at(bits{a}, {i}) & ~element_at(bits{b}, {i}))" for i in range(1, BITS // 64 + 1))
+
+
+def _apart(sets: DataFrame, long: DataFrame) -> DataFrame:
+    """(node, hub, at, n, nh, d, apart): what each set of the nodes in `long` (node, hub) has and its hub lacks, or the other way round."""
+    hubs = stash(sets.join(long.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("hub"), F.col("set").alias("hset")).dropDuplicates(["hub"]))
+    both = sets.join(long.select("node", "hub"), "node").join(hubs, "hub")
+    apart = F.concat(F.array_except("set", "hset"), F.array_except("hset", "set"))
+    return stash(both.select("node", "hub", F.monotonically_increasing_id().alias("at"), F.size("set").alias("n"), F.size("hset").alias("nh"), apart.alias("apart")).withColumn("d", F.size("apart")))
+
+
+def _like_hub(percent: int) -> Column:
+    return F.expr(f"{100 + percent} * d <= {100 - percent} * (n + nh)")
+
+
+def _hub_pairs(apart: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes with one hub that may be alike, in different components and not both like the hub.
+
+    Sets x and y that are d(x) and d(y) elements apart from their hub are d(x) + d(y) - 2 c apart from each other, if c elements of the two differences
+    are the same; alike are those of at most q (n(x) + n(y)) apart, q = (100 - percent) / (100 + percent). With c = 0 both are like the hub (q < 1, and the sizes of set and
+    hub differ by d at most). For any other pair c is at least 1, and where x is unlike the hub, so that d(x) > q (n(x) + nh), more than
+    (d(y) + q (nh - n(y))) / 2: over half of y's difference, of which most is y's own. So few elements, the rarest, are posted: all but those c, less one.
+    Two that are unlike the hub meet in lists of their own (`out`), where this holds for either; where only x is unlike it, its c is over (d(x) - q (n(x) + nh)) / 2 or equal.
+    """
+    q = (100 - percent) / (100 + percent)
+    one = apart.select("hub", "at", F.explode("apart").alias("tok"))
+    freq = stash(one.groupBy("hub", "tok").agg(F.count("*").alias("c")).filter("c > 1"))
+    toks = one.join(freq, ["hub", "tok"]).groupBy("at").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks"))
+    mine = apart.drop("apart").join(toks, "at").join(comps, "node").withColumns({"like": _like_hub(percent), "shared": F.size("toks"), "bits": _bits()})
+    # A hair below, so that rounding costs no pair.
+    far = F.floor(F.expr(f"(d + {q}D * (nh - n)) / 2 - 1e-6")) + 1
+    near = F.ceil(F.expr(f"(d - {q}D * (n + nh)) / 2 - 1e-6"))
+    lists = F.when(F.col("like"), F.array(F.struct(F.lit(False).alias("out"), far.alias("c")))).otherwise(F.array(F.struct(F.lit(False).alias("out"), near.alias("c")), F.struct(F.lit(True).alias("out"), far.alias("c"))))
+    mine = mine.withColumn("list", F.explode(lists)).withColumn("take", (F.col("shared") - F.greatest("list.c", F.lit(1)) + 1).cast("int")).filter("take > 0")
+    post = mine.select(F.col("list.out").alias("out"), "node", "n", "d", "comp", "like", "shared", "bits", F.explode(F.transform(F.slice("toks", F.lit(1), "take"), lambda t: F.xxhash64(t["tok"], "hub", "list.out"))).alias("tok"))
+    post = stash(post)
+    x = post.filter("not like")
+    y = post.filter("like or out").select(*[F.col(c).alias(f"{c}2") for c in post.columns])
+    cond = (F.col("tok") == F.col("tok2")) & (F.col("comp") != F.col("comp2")) & (~F.col("out") | (F.col("node") < F.col("node2"))) & _sized("n", "n2", percent)
+    for most in ("least(shared, shared2)", f"shared - {_lacks('', '2')}", f"shared2 - {_lacks('2', '')}"):
+        cond = cond & F.expr(f"{100 + percent} * (d + d2 - 2 * ({most})) <= {100 - percent} * (n + n2)")
+    return x.join(y, cond).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def _set_posts(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Posts of each set under the rarest of its shingles, as many as it and a similar set can't both miss.
 
@@ -202,8 +254,7 @@ def _set_posts(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     one = sets.select("node", F.explode("set").alias("tok"))
     freq = stash(one.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1"))
     mine = one.join(freq, "tok").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("toks")).join(sizes, "node")
-    bits = F.expr(f"transform(sequence(0, {BITS // 64 - 1}), w -> aggregate(filter(toks, t -> shiftright(t.tok & {BITS - 1}, 6) = w), 0L, (b, t) -> b | shiftleft(1L, cast(t.tok & 63 as int))))")
-    mine = mine.withColumns({"shared": F.size("toks"), "bits": bits})
+    mine = mine.withColumns({"shared": F.size("toks"), "bits": _bits()})
     band = lambda n: F.floor(F.log(n) / F.log(F.lit(BAND)))
     low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)
     mine = mine.withColumn("own", band(F.col("n"))).withColumn("other", F.explode(F.sequence(band(low), band(high))))
@@ -268,9 +319,19 @@ def _near_duplicates(docs: DataFrame, doc_id: str, text: str, shingle: int, perc
     edges = edges.unionByName(confirm(_pairs_across(mixed.filter(f"members <= {LONG_LIST}"), percent)))
     labels = components(edges)
     if left:
-        long = stash(mixed.filter(f"members > {LONG_LIST}").select("node", "n").distinct())
-        posts = _set_posts(stash(_sets(docs, doc_id, text, long, shingle).join(long.select("node"), "node", "left_semi")), long, percent)
-        labels = components(edges.unionByName(confirm(_pairs_across(_spanning(posts, labels), percent, True))))
+        long = stash(mixed.filter(f"members > {LONG_LIST}").groupBy("node", "n").agg(F.max(F.struct("members", "top"))["top"].alias("hub")))
+        of = stash(long.groupBy("node").agg(F.max("hub").alias("hub")))
+        both = of.select("node").unionByName(of.select(F.col("hub").alias("node"))).distinct()
+        sets = stash(_sets(docs, doc_id, text, both, shingle).join(both, "node", "left_semi"))
+        # One hub: by what sets and hub don't have in common. Different hubs: lists that span them.
+        apart = _apart(sets, of)
+        comps = of.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("comp"))
+        found = _hub_pairs(apart, comps, percent)
+        posts = stash(_set_posts(sets.join(of, "node", "left_semi"), long.drop("hub"), percent).join(of, "node"))
+        several = posts.groupBy("tok").agg(F.min("hub").alias("low"), F.max("hub").alias("high")).filter("low <> high")
+        found = found.unionByName(_pairs_across(_spanning(posts.join(several, "tok", "left_semi"), labels), percent, True)).distinct()
+        like = apart.filter(_like_hub(percent) & (F.col("node") != F.col("hub"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+        labels = components(edges.unionByName(like).unionByName(confirm(found)))
     out = rows.join(labels, "node", "left").withColumn("component_id", F.coalesce("label", "node"))
     kept = F.col("doc_id") == F.col("component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), (kept & F.col("leads")).alias("first_copy"))

@@ -128,6 +128,48 @@ def test_near_duplicates_of_larger_groups_make_rows_in_proportion(spark, monkeyp
     assert rows[1] <= 6 * max(rows[0], 100), rows
 
 
+def test_outliers_of_a_large_group_meet_by_what_the_hub_lacks(spark, monkeypatch):
+    """Outliers alone, in chains and like each other only: the result of all pairs, and none of a group goes through the lists of its own shingles."""
+    from millrace.llm import neardup
+
+    shingle, percent = 4, 80
+    monkeypatch.setattr(neardup, "LONG_LIST", 8)
+    posted, asked, across, pairs = [], [], neardup._across, neardup._hub_pairs
+    monkeypatch.setattr(neardup, "_across", lambda post, percent, sets: (posted.append(post.count()) if sets else None) or across(post, percent, sets))
+    monkeypatch.setattr(neardup, "_hub_pairs", lambda *a: asked.append(pairs(*a)) or asked[-1])
+    rng = random.Random(3)
+    base, texts = [f"t{i}" for i in range(160)], []
+
+    def change(words, n):
+        words = list(words)
+        for _ in range(n):
+            i = rng.randrange(len(words))
+            words[i : i + 1] = rng.choice([[f"e{rng.randrange(10**6)}"], [f"e{rng.randrange(10**6)}"], [f"e{rng.randrange(50)}"], [], [words[i], f"e{rng.randrange(10**6)}"]])
+        return words
+
+    for _ in range(120):
+        texts.append(change(base, rng.randrange(9)))
+    for _ in range(12):  # each a few steps away from the last
+        step = change(base, rng.randrange(5, 10))
+        for _ in range(4):
+            step = change(step, rng.randrange(4))
+            texts.append(step)
+    texts += [base[:n] for n in range(100, 160, 6)]
+    texts = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(table(spark, texts), shingle=shingle, percent=percent).collect()}
+    sets = {i: {tuple(t.split()[j : j + shingle]) for j in range(len(t.split()) - shingle + 1)} for i, t in texts}
+    label = {i: i for i in sets}
+    root = lambda i: i if label[i] == i else root(label[i])
+    for i in sets:
+        for j in range(i):
+            c = len(sets[i] & sets[j])
+            if 100 * c >= percent * (len(sets[i]) + len(sets[j]) - c):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    assert got == {i: root(i) for i in sets}
+    assert asked and sum(posted) == 0
+
+
 def test_near_duplicates_just_above_the_threshold(spark):
     """Pairs of similarity 0.80 to 0.82, half of them with a passage in many documents: none is missed."""
     from millrace.llm.neardup import near_duplicates
